@@ -7,7 +7,7 @@ calls otherwise, each a round trip to the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 
 def num(value: float) -> str:
@@ -24,6 +24,18 @@ def bind(values: Mapping[str, str], name: str, body: str) -> str:
     return f"get(transform(array({record(values)}), {name} -> {body}), 0)"
 
 
+def let(steps: Sequence[tuple[str, Mapping[str, str]]], result: str) -> str:
+    """Nested :func:`bind`: each step may use the names of the steps before it.
+
+    The text stays as long as the steps. A chain of projections would not: a
+    filter above it is rewritten in terms of its inputs, which copies every
+    intermediate value into each of its uses.
+    """
+    for name, values in reversed(steps):
+        result = bind(values, name, result)
+    return result
+
+
 def record(values: Mapping[str, str]) -> str:
     """Struct with explicit field names."""
     return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in values.items()) + ")"

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdance.functions.arrays import let, record
+
 PIVOT_LIMIT = 1e-12
 
 _VARS = ("x", "e", "w", "y")
@@ -65,51 +67,54 @@ def fit_groups(
 
 def _solve(g: DataFrame) -> DataFrame:
     kept = [c for c in g.columns if not c.startswith(("_", "s_"))]
-    held = [*kept, "_n", "_e0", "_y0"]
-
-    # means, and centred sums of squares and products
-    means = [f"m_{a}" for a in _VARS]
-    moments = [f"v_{a}{b}" for a, b in _PRODUCTS]
-    g = g.selectExpr(
-        *held,
-        *[f"try_divide(s_{a}, double(_n)) AS m_{a}" for a in _VARS],
-        *[f"s_{a}{a} AS q_{a}" for a in _VARS],
-        *[f"s_{a}{b} - try_divide(s_{a} * s_{b}, double(_n)) AS v_{a}{b}" for a, b in _PRODUCTS],
-    )
-    # spreads; a variable without spread makes the fit singular. From here on
-    # a singular pivot is NULL, never zero, so plain division is safe.
-    spreads = [f"d_{a}" for a in _VARS]
-    g = g.selectExpr(
-        *held, *means, *moments, *[f"{_root(f'v_{a}{a}', f'q_{a}')} AS d_{a}" for a in _VARS]
-    )
-    # Cholesky factor of the correlation matrix of (x, e, w)
-    g = g.selectExpr(
-        *held, *means, *spreads,
-        "v_xe / (d_x * d_e) AS l21",
-        "v_xw / (d_x * d_w) AS l31",
-        "v_ew / (d_e * d_w) AS r32",
-        "v_xy / d_x AS z1", "v_ey / d_e AS r2", "v_wy / d_w AS r3",
-    )
-    g = g.selectExpr("*", f"{_root('(1 - l21 * l21)', '1')} AS l22")
-    g = g.selectExpr("*", "(r32 - l31 * l21) / l22 AS l32", "(r2 - l21 * z1) / l22 AS z2")
-    g = g.selectExpr("*", f"{_root('(1 - l31 * l31 - l32 * l32)', '1')} AS l33")
-    g = g.selectExpr("*", "(r3 - l31 * z1 - l32 * z2) / l33 AS z3")
-    # back substitution
-    g = g.selectExpr("*", "z3 / l33 AS g3")
-    g = g.selectExpr("*", "(z2 - l32 * g3) / l22 AS g2")
-    g = g.selectExpr(
-        *held, *means, "d_y", "z1 * z1 + z2 * z2 + z3 * z3 AS fitted",
-        "(z1 - l21 * g2 - l31 * g3) / d_x AS b1", "g2 / d_e AS c2", "g3 / d_w AS c3",
-    )
+    pairs = ["".join(p) for p in _PRODUCTS]
+    steps = [
+        # means, and centred sums of squares and products
+        ("m", {a: f"try_divide(s_{a}, double(_n))" for a in _VARS}),
+        ("v", {p: f"s_{p} - m.{p[0]} * s_{p[1]}" for p in pairs}),
+        # spreads; a variable without spread makes the fit singular. From here
+        # on a singular pivot is NULL, never zero, so plain division is safe.
+        ("d", {a: _root(f"v.{a}{a}", f"s_{a}{a}") for a in _VARS}),
+        # Cholesky factor of the correlation matrix of (x, e, w), with the
+        # right-hand side carried along
+        (
+            "f",
+            {
+                "l21": "v.xe / (d.x * d.e)",
+                "l31": "v.xw / (d.x * d.w)",
+                "r32": "v.ew / (d.e * d.w)",
+                "z1": "v.xy / d.x",
+                "r2": "v.ey / d.e",
+                "r3": "v.wy / d.w",
+            },
+        ),
+        ("g", {"l22": _root("(1D - f.l21 * f.l21)", "1D")}),
+        ("h", {"l32": "(f.r32 - f.l31 * f.l21) / g.l22", "z2": "(f.r2 - f.l21 * f.z1) / g.l22"}),
+        ("i", {"l33": _root("(1D - f.l31 * f.l31 - h.l32 * h.l32)", "1D")}),
+        ("j", {"z3": "(f.r3 - f.l31 * f.z1 - h.l32 * h.z2) / i.l33"}),
+        # back substitution
+        ("k", {"g3": "j.z3 / i.l33"}),
+        ("o", {"g2": "(h.z2 - h.l32 * k.g3) / g.l22"}),
+        (
+            "b",
+            {
+                "x": "(f.z1 - f.l21 * o.g2 - f.l31 * k.g3) / d.x",
+                "e": "o.g2 / d.e",
+                "w": "k.g3 / d.w",
+                "fitted": "f.z1 * f.z1 + h.z2 * h.z2 + j.z3 * j.z3",
+            },
+        ),
+    ]
     # undo the shift of e and y: w = x*e - x*e0
-    return g.selectExpr(
-        *kept,
-        "_n AS n",
-        "_y0 + m_y - b1 * m_x - c2 * (m_e + _e0) - c3 * m_w AS c0",
-        "b1 - c3 * _e0 AS c1",
-        "c2",
-        "c3",
-        "if(fitted > 0, fitted / (d_y * d_y), NULL) AS rsq",
+    result = {
+        "c0": "_y0 + m.y - b.x * m.x - b.e * (m.e + _e0) - b.w * m.w",
+        "c1": "b.x - b.w * _e0",
+        "c2": "b.e",
+        "c3": "b.w",
+        "rsq": "if(b.fitted > 0, b.fitted / (d.y * d.y), NULL)",
+    }
+    return g.selectExpr(*kept, "_n AS n", f"{let(steps, record(result))} AS fit").selectExpr(
+        *kept, "n", *[f"fit.{name} AS {name}" for name in result]
     )
 
 

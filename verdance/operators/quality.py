@@ -78,8 +78,8 @@ def missing_slots(arrivals: DataFrame, keys: Sequence[str], bucket: str) -> Data
         *keys, "explode(sequence(first, last, interval 1 day)) AS day"
     ).selectExpr(
         *keys,
-        f"""explode(sequence(timestamp_ntz(day) + {_clock(SCHEDULE['first'])},
-                             timestamp_ntz(day) + {_clock(SCHEDULE['last'])},
+        f"""explode(sequence(cast(day AS TIMESTAMP_NTZ) + {_clock(SCHEDULE['first'])},
+                             cast(day AS TIMESTAMP_NTZ) + {_clock(SCHEDULE['last'])},
                              interval {SCHEDULE['minutes']} minutes)) AS slot""",
     )
     return expected.join(seen, [*keys, "slot"], "left_anti")
