@@ -17,10 +17,13 @@ from verdance.functions.arrays import forward_difference, median
 from verdance.functions.lsq import fit_groups
 from verdance.operators import darkmodel, level1, offsets, pairing, panels, quality
 from verdance.plans.diurnal import COLUMNS, diurnal
+from verdance.session import scratch_path
 from verdance.sources import raw
 from verdance.sources import tables as T
 from verdance.sources.calibration import checked_broadcast
 from verdance.sources.sinks import latest_day
+from verdance.streaming import jobs
+from verdance.streaming import tables as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -606,3 +609,93 @@ def quarantine(spark, sf):
         "coalesce(if(parse_error IS NULL, size(filter(flatten(spectra), v -> v IS NULL)), 0), 0)"
         " AS n_missing",
     )
+
+
+# --- streams ---------------------------------------------------------------------
+
+@query
+def stream_daily_sif(spark, sf):
+    """Daily means over closed days; fluorescence joined from the batch table."""
+    sif = _fits(spark, sf).where("pair_no = 1").selectExpr("file_id AS event_id", "sif")
+    events = streams.events(spark, sf).join(sif, "event_id", "left")
+    days = jobs.rollup(
+        events,
+        "at",
+        "1 day",
+        ["event_type"],
+        {"n": "count(1)", "mean_value": "avg(value)", "mean_sif": "avg(sif)", "n_sif": "count(sif)"},
+    )
+    out = jobs.drain(days, "daily")
+    return out.selectExpr(
+        stamp("window_start", "day"), "event_type", "n", r("mean_value"), r("mean_sif"), "n_sif"
+    )
+
+
+@query
+def stream_quarter_hour(spark, sf):
+    """Quarter-hour means over closed quarter-hours."""
+    out = jobs.drain(
+        jobs.rollup(
+            streams.events(spark, sf),
+            "at",
+            "15 minutes",
+            ["event_type"],
+            {"n": "count(1)", "mean_value": "avg(value)"},
+        ),
+        "quarter",
+    )
+    return out.selectExpr(stamp("window_start", "bucket"), "event_type", "n", r("mean_value"))
+
+
+@query
+def stream_pair(spark, sf):
+    """Views with the first click of the quarter-hour, for closed quarter-hours."""
+    name = K.file_name("ts", f"'{K.PREFIX['HR']}'")
+    views = streams.events(spark, sf).where("event_type = 'view'").select("event_id", "at")
+    clicks = streams.events(spark, sf).where("event_type = 'click'").selectExpr(
+        "event_id", "value", "at", f"{name} AS file_name"
+    )
+    out = jobs.drain(
+        jobs.pair_streams(
+            views, clicks, "at", ["file_name", "event_id"], ["event_id", "value"], "b_"
+        ),
+        "pair",
+    )
+    return out.selectExpr(
+        "event_id", stamp("bucket_ts", "bucket"), "double(b_event_id) AS b_event_id", r("b_value")
+    )
+
+
+@query
+def stream_dedup(spark, sf):
+    """Every third file is delivered again; each name is kept once."""
+    prefix = "if(event_type = 'view', 'QE_PRO_', 'HR2000PLUS_')"
+    files = streams.events(spark, sf).selectExpr(
+        f"{K.file_name('ts', prefix)} AS file_name",
+        "at AS obs_ts",
+        "explode(if(event_id % 3 = 0, array(1, 2), array(1))) AS delivery",
+    )
+    out = jobs.drain(jobs.drop_redelivered(files), "dedup")
+    return out.selectExpr("file_name", stamp(jobs.naive("obs_ts"), "obs_ts"))
+
+
+@query
+def stream_ingest(spark, sf):
+    """File drop: files rendered from the spectra, taken up as a stream, bad ones set aside."""
+    files = _raw(spark, sf, "QE", "QE_PRO_").selectExpr(
+        "file_name",
+        "if(file_id % 9 = 4, replace(value, 'QE-PRO', 'other'), value) AS value",
+    )
+    landing = scratch_path(spark, "landing")
+    raw.export_raw(files, landing)
+    drop = raw.read_exported(spark, landing, streaming=True)
+    out = jobs.drain(jobs.ingest(drop, _RAW_PROFILES), "ingest", jobs.INGEST_FOLDERS)
+    return out.selectExpr(
+        "file_name",
+        "instrument",
+        "string(obs_date) AS obs_date",
+        "parse_ok",
+        "n_rows",
+        r(_total("flatten(spectra)"), 2, "sum_counts"),
+        "coalesce(parse_error, 'none') AS parse_error",
+    )

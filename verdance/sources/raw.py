@@ -32,7 +32,6 @@ QE_LINES = {
 HR_LINES = {"time": 1, "model": 3, "nl": 6, "wavelength": 7, "t1": 8, "t2": 9, "spectra": 11}
 
 PROFILES = {"QE": QE, "HR": HR}
-TEXT_SCHEMA = "file_name STRING, value STRING"
 
 
 def discover(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -54,9 +53,11 @@ def discover(spark: SparkSession, path: str, streaming: bool = False) -> DataFra
     )
 
 
-def read_exported(spark: SparkSession, path: str) -> DataFrame:
+def read_exported(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Files written by :func:`export_raw`."""
-    files = spark.read.option("wholetext", True).text(path)
+    reader = spark.readStream if streaming else spark.read
+    schema = "value STRING, file_name STRING"
+    files = reader.format("text").schema(schema).option("wholetext", True).load(path)
     return files.selectExpr("file_name", "value")
 
 
