@@ -6,6 +6,8 @@ without a formatter, so neither the session time zone nor the locale matters.
 
 from __future__ import annotations
 
+from verdance.functions.arrays import bind
+
 # Month and weekday names as written by the instruments.
 MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 WEEKDAYS = "MonTueWedThuFriSatSun"
@@ -13,22 +15,24 @@ WEEKDAYS = "MonTueWedThuFriSatSun"
 FILE_NAME = r"^(fix_)?(QE_PRO|HR2000PLUS)_(.{20})\\.csv$"
 PREFIX = {"QE": "QE_PRO_", "HR": "HR2000PLUS_"}
 
-_CLOCK = r"^([A-Z][a-z]{2})[ _]+(\\d{1,2})[ _](\\d{2})[:_](\\d{2})[:_](\\d{2})[ _](\\d{4})$"
+_CLOCK = r"^[A-Z][a-z]{2}[ _]+\\d{1,2}[ _]\\d{2}[:_]\\d{2}[:_]\\d{2}[ _]\\d{4}$"
 
 
 def parse_clock(text: str) -> str:
     """``Jul 18 16:00:40 2016`` or ``Jul_18_16_00_40_2016``; NULL when malformed."""
 
-    def part(i: int) -> str:
-        return f"regexp_extract({text}, '{_CLOCK}', {i})"
+    def number(i: int, kind: str = "INT") -> str:
+        return f"try_cast(get(clk.p, {i}) AS {kind})"
 
-    at = f"instr('{MONTHS}', {part(1)})"
-    month = f"if({part(1)} <> '' AND {at} % 3 = 1, int(({at} + 2) div 3), NULL)"
-    rest = ", ".join(f"try_cast({part(i)} AS INT)" for i in (2, 3, 4))
-    return (
-        f"try_make_timestamp_ntz(try_cast({part(6)} AS INT), {month}, {rest},"
-        f" try_cast({part(5)} AS DECIMAL(16, 6)))"
+    at = f"instr('{MONTHS}', get(clk.p, 0))"
+    month = f"if({at} % 3 = 1, int(({at} + 2) div 3), NULL)"
+    parsed = (
+        f"try_make_timestamp_ntz({number(5)}, {month}, {number(1)}, {number(2)}, {number(3)},"
+        f" {number(4, 'DECIMAL(16, 6)')})"
     )
+    # one pattern test and one split per text
+    parts = f"if(txt.t RLIKE '{_CLOCK}', split(txt.t, '[ _:]+'), NULL)"
+    return bind({"t": text}, "txt", bind({"p": parts}, "clk", parsed))
 
 
 def parse_header_time(line: str) -> str:

@@ -102,13 +102,12 @@ def spectrum_pixels(
     last = last or profile.pixels
     vectors = pixel_vectors(profile, obs, first, last)
     scalars = file_scalars(profile)
-    held = [*keys, *scalars, *vectors]
     whole = (first, last) == (1, profile.pixels)
     rows = "spectra" if whole else f"transform(spectra, r -> {pixels('r', first, last)})"
     px = (
         obs.selectExpr(*keys, *named(scalars), *named(vectors), f"{rows} AS rows")
-        .selectExpr(*held, "posexplode(rows) AS (r, row)")
-        .selectExpr(*held, "r", "posexplode(row) AS (i, counts)")
+        .selectExpr("*", "posexplode(rows) AS (r, row)")
+        .selectExpr("*", "posexplode(row) AS (i, counts)")
     )
     irr = f"r % 2 = {profile.irr_parity - 1}"
 
@@ -166,18 +165,16 @@ def pair_pixels(
             f"transform(spectra, r -> {pixels('r', first, last)}) AS rows",
             "if(size(spectra) > 1, sequence(0, size(spectra) div 2 - 1), NULL) AS pairs",
         )
-        .selectExpr(*held, "rows", "explode_outer(pairs) AS p")
+        .selectExpr("*", "explode_outer(pairs) AS p")
         .selectExpr(
-            *held,
+            "*",
             "int(p + 1) AS pair_no",
             *[f"get(rows, int(p * 2 + {R.parity(profile, w) - 1})) AS c_{w}" for w in CHANNELS],
         )
         .selectExpr("*", *[f"{at_middle(w)} AS {w}_mid" for w in CHANNELS])
     )
-    px = pairs.selectExpr(
-        *held, "pair_no", "irr_mid", "rad_mid", "c_rad", "posexplode_outer(c_irr) AS (i, s_irr)"
-    ).selectExpr(
-        *held, "pair_no", "irr_mid", "rad_mid", "i",
+    px = pairs.selectExpr("*", "posexplode_outer(c_irr) AS (i, s_irr)").selectExpr(
+        "*",
         f"{corrected(profile, 'irr', 's_irr', 'i')} AS x_irr",
         f"{corrected(profile, 'rad', 'get(c_rad, i)', 'i')} AS x_rad",
     )

@@ -11,6 +11,9 @@ from verdance.functions.arrays import median, num
 from verdance.profiles import SCHEDULE, TEC_SET_POINT_C, ExposureRule, InstrumentProfile
 
 
+FLAGS = ("under", "ok", "over")
+
+
 def shutter_status(dark: str, profile: InstrumentProfile) -> str:
     """``shutter`` when the median of the dark spectrum is above the limit."""
     return f"if({median(dark)} > {num(profile.dark_limit)}, 'shutter', 'ok')"
@@ -39,13 +42,16 @@ def exposure_advice(peak: str, time_us: str, rule: ExposureRule) -> str:
     )
 
 
-def exposure_shares(peaks: DataFrame, keys: Sequence[str], flag: str = "flag") -> DataFrame:
-    """Share of under-, well and over-exposed spectra per key."""
-    shares = [
-        F.expr(f"double(count_if({flag} = '{v}')) / count(1) AS share_{v}")
-        for v in ("under", "ok", "over")
-    ]
-    return peaks.groupBy(*keys).agg(F.expr("count(1) AS n"), *shares)
+def exposure_counts(peaks: DataFrame, keys: Sequence[str], flag: str = "flag") -> DataFrame:
+    """Spectra per key: all, under-, well and over-exposed."""
+    counts = [F.expr(f"count_if({flag} = '{v}') AS n_{v}") for v in FLAGS]
+    return peaks.groupBy(*keys).agg(F.expr("count(1) AS n"), *counts)
+
+
+def exposure_shares(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shares per (coarser) key from :func:`exposure_counts`."""
+    shares = [F.expr(f"double(sum(n_{v})) / sum(n) AS share_{v}") for v in FLAGS]
+    return counts.groupBy(*keys).agg(F.expr("sum(n) AS n"), *shares)
 
 
 def temperature_quality(

@@ -65,9 +65,12 @@ def diurnal(
         "if(shutter = 'ok', measurement_t, NULL) AS temp_measure",
     )
     partner = reference_values(hr_obs, hr, "irr_750_HR", n_pairs=PAIRS).selectExpr(
-        "file_name AS hr_name", "obs_ts AS hr_ts", *_HR
+        "file_id AS hr_id", "file_name AS hr_name", "obs_ts AS hr_ts", *_HR
     )
-    joined = _by_bucket(wide, partner) if pairing == "bucket" else _by_position(wide, partner)
+    if pairing == "bucket":
+        joined = _by_bucket(wide, partner)
+    else:
+        joined = _by_position(wide, partner, qe_obs, hr_obs)
     own = [c for c in COLUMNS if c not in _HR]
     theirs = [f"if(status = 'ok', {c}, NULL) AS {c}" for c in _HR]
     return joined.selectExpr("file_id", "file_name", "status", *own, *theirs)
@@ -79,14 +82,16 @@ def _by_bucket(wide: DataFrame, partner: DataFrame) -> DataFrame:
     return pair_first_match(lhs, rhs, "bucket", ["hr_name", "hr_ts"], _HR, "file_id")
 
 
-def _by_position(wide: DataFrame, partner: DataFrame) -> DataFrame:
-    names = ordinal(
-        wide.selectExpr("file_id", "file_name", "to_date(obs_ts) AS day"),
-        ["day"],
-        ["file_name", "file_id"],
-    )
-    others = ordinal(
-        partner.selectExpr("*", "to_date(hr_ts) AS day"), ["day"], ["hr_name", "hr_ts"]
-    ).select("day", "n", *_HR)
-    matched = names.join(others, ["day", "n"], "left").select("file_id", *_HR)
-    return wide.join(matched, "file_id", "left")
+def _by_position(
+    wide: DataFrame, partner: DataFrame, qe_obs: DataFrame, hr_obs: DataFrame
+) -> DataFrame:
+    """Positions come from the file headers alone; spectra take no part in the sort."""
+
+    def numbered(obs: DataFrame, name: str) -> DataFrame:
+        heads = obs.selectExpr(f"file_id AS {name}", "file_name", "to_date(obs_ts) AS day")
+        return ordinal(heads, ["day"], ["file_name", name]).select(name, "day", "n")
+
+    matched = numbered(qe_obs, "file_id").join(numbered(hr_obs, "hr_id"), ["day", "n"], "left")
+    values = partner.drop("hr_name", "hr_ts")
+    found = wide.join(matched.select("file_id", "hr_id"), "file_id", "left")
+    return found.join(values, "hr_id", "left")

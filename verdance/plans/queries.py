@@ -272,10 +272,10 @@ def _peaks(spark, sf) -> DataFrame:
 
 @query
 def peak_dn_qc(spark, sf):
-    """Exposure shares by day, instrument and channel."""
-    days = T.headers(spark, sf).selectExpr("file_id", f"date_format(obs_ts, 'yyyy-MM-dd') AS day")
-    dated = _peaks(spark, sf).join(days, "file_id", "left")
-    dated = dated.selectExpr("*", f"{T.INSTRUMENT} AS instrument")
+    """Exposure shares by day, instrument and channel; files are reduced before the join."""
+    counts = quality.exposure_counts(_peaks(spark, sf), ["file_id", "channel"])
+    days = T.headers(spark, sf).selectExpr("file_id", "date_format(obs_ts, 'yyyy-MM-dd') AS day")
+    dated = counts.join(days, "file_id", "left").selectExpr("*", f"{T.INSTRUMENT} AS instrument")
     out = quality.exposure_shares(dated, ["day", "instrument", "channel"])
     return out.selectExpr(
         "day", "instrument", "channel", "n", r("share_under"), r("share_ok"), r("share_over")
@@ -284,7 +284,8 @@ def peak_dn_qc(spark, sf):
 
 @query
 def peak_dn_by_file(spark, sf):
-    out = quality.exposure_shares(_peaks(spark, sf), ["file_id"])
+    counts = quality.exposure_counts(_peaks(spark, sf), ["file_id"])
+    out = quality.exposure_shares(counts, ["file_id"])
     return out.selectExpr("file_id", "n", r("share_under"), r("share_ok"), r("share_over"))
 
 
@@ -657,7 +658,7 @@ def stream_pair(spark, sf):
     )
     out = jobs.drain(
         jobs.pair_streams(
-            views, clicks, "at", ["file_name", "event_id"], ["event_id", "value"], "b_"
+            views, clicks, "at", ["file_name", "event_id"], ["event_id", "value"], "event_id", "b_"
         ),
         "pair",
     )

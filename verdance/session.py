@@ -17,7 +17,8 @@ def local_session(app: str = "verdance", cores: int | str = 8, memory: str = "8g
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
+        # a few bytes of spectra are a lot of pixel work: do not merge small partitions
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

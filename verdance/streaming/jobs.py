@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from verdance.operators.pairing import SALTS
 from verdance.profiles import InstrumentProfile
 from verdance.session import scratch_path
 from verdance.sources import raw
@@ -121,13 +122,16 @@ def pair_streams(
     ts: str,
     order: Sequence[str],
     values: Sequence[str],
+    row_id: str,
     prefix: str,
     delay: str = "1 hour",
+    salts: int = SALTS,
 ) -> DataFrame:
     """Left rows with the first right row of their quarter-hour, NULLs without one.
 
     The right stream is reduced to one row per quarter-hour before the join, so
-    a crowded quarter-hour adds no combinations to the state.
+    a crowded quarter-hour adds no combinations to the state; its left rows are
+    spread over ``salts`` partitions.
     """
     bucket = F.window(ts, "15 minutes")
     best = F.expr(f"min_by(struct({', '.join(values)}), struct({', '.join(order)})) AS best")
@@ -135,14 +139,21 @@ def pair_streams(
         right.withWatermark(ts, delay)
         .groupBy(bucket.alias("slot"))
         .agg(best)
-        .selectExpr("slot", *[f"best.{v} AS {prefix}{v}" for v in values])
+        .selectExpr(
+            "slot",
+            *[f"best.{v} AS {prefix}{v}" for v in values],
+            f"explode(sequence(0, {salts - 1})) AS _salt",
+        )
     )
     # the window takes over as the one event-time column of the join
     held = [c for c in left.columns if c != ts]
     lhs = left.withWatermark(ts, delay).select(
-        *held, F.expr(naive(ts)).alias("_at"), bucket.alias("slot")
+        *held,
+        F.expr(naive(ts)).alias("_at"),
+        bucket.alias("slot"),
+        F.expr(f"int(pmod(xxhash64({row_id}), {salts}))").alias("_salt"),
     )
-    out = lhs.join(firsts, "slot", "left_outer")
+    out = lhs.join(firsts, ["slot", "_salt"], "left_outer")
     return out.selectExpr(
         *held,
         f"_at AS {ts}",

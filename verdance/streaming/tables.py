@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdance.sources.tables import table
+from verdance.sources.tables import SCHEMAS
 from verdance.streaming.jobs import instant
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table as a file stream."""
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
