@@ -79,13 +79,17 @@ def corrected(profile: InstrumentProfile, which: str, counts: str, i: str) -> st
 
 
 def flux(
-    profile: InstrumentProfile, which: str, linear: str, i: str, first: int, per_pixel: bool
+    profile: InstrumentProfile, which: str, linear: str, i: str, span: tuple[int, int], per_pixel: bool
 ) -> str:
-    """Flux of one pixel, NULL at black pixels; ``i`` counts from the cut's start."""
+    """Flux of one pixel, NULL at black pixels; ``i`` counts from the start of ``span``."""
+    first, last = span
     scale = R.factor(
         f"get(k_{which}, {i})", f"t_{which}", profile, which, f"get(w, {i})" if per_pixel else None
     )
-    return f"if({R.is_black(f'{i} + {first - 1}', profile)}, NULL, {scale} * {linear})"
+    value = f"{scale} * {linear}"
+    if not any(lo <= last and first <= hi for lo, hi in profile.black):
+        return value
+    return f"if({R.is_black(f'{i} + {first - 1}', profile)}, NULL, {value})"
 
 
 def spectrum_pixels(
@@ -118,7 +122,7 @@ def spectrum_pixels(
     out = out.selectExpr("*", f"{R.linearise('corrected')} AS linear")
     last_col = []
     if "k_irr" in vectors:
-        value = either(lambda w: flux(profile, w, "linear", "i", first, "w" in vectors))
+        value = either(lambda w: flux(profile, w, "linear", "i", (first, last), "w" in vectors))
         last_col = [f"{value} AS flux"]
     return out.selectExpr(
         *keys,
@@ -155,7 +159,7 @@ def pair_pixels(
 
     def at_middle(which: str) -> str:
         signal = corrected(profile, which, f"get(c_{which}, {middle})", middle)
-        return flux(profile, which, R.linearise(signal), middle, first, per_pixel)
+        return flux(profile, which, R.linearise(signal), middle, (first, last), per_pixel)
 
     pairs = (
         obs.selectExpr(
@@ -183,7 +187,7 @@ def pair_pixels(
         "pair_no",
         f"i + {first} AS pixel",
         *[
-            f"{flux(profile, w, R.linearise(f'x_{w}'), 'i', first, per_pixel)} AS {w}"
+            f"{flux(profile, w, R.linearise(f'x_{w}'), 'i', (first, last), per_pixel)} AS {w}"
             for w in CHANNELS
         ],
         "irr_mid",
@@ -205,7 +209,7 @@ def reference_values(
     for k in range(n_pairs):
         counts = f"get(get(spectra, {2 * k + R.parity(profile, which) - 1}), {ref - 1})"
         linear = R.linearise(corrected(profile, which, counts, "0"))
-        out.append(f"{flux(profile, which, linear, '0', ref, 'w' in vectors)} AS {prefix}{k + 1}")
+        out.append(f"{flux(profile, which, linear, '0', (ref, ref), 'w' in vectors)} AS {prefix}{k + 1}")
     return staged.selectExpr(*obs.columns, *out)
 
 

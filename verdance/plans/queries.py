@@ -104,6 +104,18 @@ def dark_subtract_black(spark, sf):
     return _pixels(spark, sf, T.EMB_HR, "corrected")
 
 
+@query
+def dark_subtract_own_black(spark, sf):
+    """Variant: every spectrum minus the mean of its own black pixels."""
+    px = T.spectra(spark, sf).selectExpr(
+        "file_id",
+        "row_no",
+        f"{R.spectrum_offset('counts', T.EMB_HR)} AS offset",
+        "posexplode(counts) AS (i, c)",
+    )
+    return px.selectExpr("file_id", "row_no", "i + 1 AS pixel", r("c - offset", 4, "corrected"))
+
+
 # --- response, calibration, reflectance -------------------------------------
 
 @query
@@ -460,9 +472,9 @@ def band_width(spark, sf):
 
 # --- products ---------------------------------------------------------------
 
-def _instruments(spark, sf) -> tuple[DataFrame, DataFrame]:
-    qe = T.dated(T.calibrated(spark, sf, "QE"), spark, sf)
-    hr = T.dated(T.calibrated(spark, sf, "HR"), spark, sf)
+def _instruments(spark, sf, per_pixel: bool = False) -> tuple[DataFrame, DataFrame]:
+    qe = T.dated(T.calibrated(spark, sf, "QE", per_pixel), spark, sf)
+    hr = T.dated(T.calibrated(spark, sf, "HR", per_pixel), spark, sf)
     return qe, hr
 
 
@@ -485,6 +497,13 @@ def diurnal_positional(spark, sf):
     return _rounded(diurnal(*_instruments(spark, sf), T.EMB, T.EMB_HR, pairing="position"))
 
 
+@query
+def diurnal_rad_irr(spark, sf):
+    """Second set-up: radiance first, plain dark, width per pixel, pairing by position."""
+    qe, hr = _instruments(spark, sf, per_pixel=True)
+    return _rounded(diurnal(qe, hr, T.EMB_RAD_FIRST, T.EMB_HR_RAD_FIRST, pairing="position"))
+
+
 @query
 def panel_long(spark, sf):
     qe = panels.panel_table(T.calibrated(spark, sf, "QE"), T.EMB, ["file_id"])

@@ -30,6 +30,7 @@ EMB_HR = EMB.variant(
     name="emb64hr", black=((1, 4),), dark="black", reference_pixel=40, window=None,
     display_clip=(10, 50), dark_limit=None,
 )
+EMB_HR_RAD_FIRST = EMB_HR.variant(name="emb64hrk", channel_order="rad_irr")
 EMB_RAD_FIRST = EMB.variant(name="emb64k", channel_order="rad_irr", dark="plain")
 
 ROWS = EMB.rows_per_file

@@ -39,7 +39,9 @@ def start(
 ) -> StreamingQuery:
     """Write everything now available as Parquet, exactly once, then stop.
 
-    Run it again with the same checkpoint to take up only what is new.
+    Run it again with the same checkpoint to take up only what is new. A new
+    checkpoint gets at most two state partitions per core: each one writes its
+    own state files in every batch, so more of them only cost time.
     """
     writer = (
         stream.writeStream.format("parquet")
@@ -50,7 +52,14 @@ def start(
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    return writer.start()
+    conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    configured = conf.get(key)
+    cores = stream.sparkSession.sparkContext.defaultParallelism
+    conf.set(key, str(min(int(configured), 2 * cores)))
+    try:
+        return writer.start()  # the query keeps its own copy of the settings
+    finally:
+        conf.set(key, configured)
 
 
 def drain(stream: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
