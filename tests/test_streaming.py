@@ -34,6 +34,20 @@ def test_ingest_takes_up_only_new_files(spark, tmp_path):
     assert sorted(map(str, table.select(cols).collect())) == sorted(map(str, batch.select(cols).collect()))
 
 
+def test_redelivery_under_another_path(spark, tmp_path):
+    for night in ("n1", "n2"):
+        (tmp_path / "landing" / night).mkdir(parents=True)
+        drop(tmp_path / "landing" / night, T0, rf.qe_file(T0))
+    drop(tmp_path / "landing" / "n2", T0 - dt.timedelta(days=40), "broken")
+    args = (spark, str(tmp_path / "landing"), str(tmp_path / "t"), str(tmp_path / "c"), "2 days")
+    jobs.ingest_folder(*args).awaitTermination()
+    (tmp_path / "landing" / "n3").mkdir()
+    drop(tmp_path / "landing" / "n3", T0, rf.qe_file(T0))
+    jobs.ingest_folder(*args).awaitTermination()
+    names = sorted(r.file_name for r in spark.read.parquet(str(tmp_path / "t")).collect())
+    assert names == sorted([rf.name(T0, "QE_PRO_"), rf.name(T0 - dt.timedelta(days=40), "QE_PRO_")])
+
+
 def as_stream(spark, folder, batches, schema):
     """One Parquet file per batch, taken in order."""
     for i, rows in enumerate(batches):
@@ -48,7 +62,7 @@ def test_redelivered_names_are_dropped_across_batches(spark, tmp_path):
     batches = [[("a", T0), ("b", T0), ("a", T0)], [("a", T0), ("c", T0)]]
     stream = as_stream(spark, tmp_path / "in", batches, "file_name string, ts timestamp_ntz")
     files = stream.selectExpr("file_name", f"{jobs.instant('ts')} AS obs_ts")
-    out = jobs.drain(jobs.drop_redelivered(files), "t")
+    out = jobs.drain(jobs.drop_redelivered(files, "obs_ts"), "t")
     assert sorted(r.file_name for r in out.collect()) == ["a", "b", "c"]
 
 

@@ -8,40 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdance.functions.arrays import num
-from verdance.functions.radiometry import line_type
+from verdance.functions.radiometry import line_type, parity
 from verdance.operators.level1 import fluorescence, pair_pixels, spectrum_pixels
 from verdance.profiles import InstrumentProfile
 
 HEADROOM = 1.1
+COLUMNS = ("panel", "pair_no", "channel", "line_type", "pixel", "wavelength", "value")
 
 
-def flux_series(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]) -> DataFrame:
-    """Ten lines per file: colour by pair, line type by row parity."""
-    px = spectrum_pixels(obs, profile, [*keys, "wavelength"])
-    return px.selectExpr(
-        *keys,
-        "'flux' AS panel",
-        "pair_no",
-        "channel",
-        f"{line_type('row_no')} AS line_type",
-        "pixel",
-        "get(wavelength, pixel - 1) AS wavelength",
-        "flux AS value",
-    )
-
+def spectrum_series(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]) -> DataFrame:
+    """Flux (ten lines per file) and reflectance (five) in one pass over the pixels.
 
-def reflectance_series(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]) -> DataFrame:
+    Lines are coloured by pair; the line type follows the parity of the row.
+    """
     px = pair_pixels(obs, profile, [*keys, "wavelength"]).where("pixel IS NOT NULL")
-    return px.selectExpr(
-        *keys,
-        "'reflectance' AS panel",
-        "pair_no",
-        "'both' AS channel",
-        "1 AS line_type",
-        "pixel",
-        "get(wavelength, pixel - 1) AS wavelength",
-        "try_divide(rad, irr) AS value",
+    irr, rad = (line_type(str(parity(profile, w))) for w in ("irr", "rad"))
+    lines = f"""stack(3, 'flux', 'irr', {irr}, irr,
+                         'flux', 'rad', {rad}, rad,
+                         'reflectance', 'both', 1, try_divide(rad, irr))
+                AS (panel, channel, line_type, value)"""
+    out = px.selectExpr(
+        *keys, "pair_no", "pixel", "get(wavelength, pixel - 1) AS wavelength", lines
     )
+    return out.select(*keys, *COLUMNS)
 
 
 def sif_series(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]) -> DataFrame:
@@ -66,7 +55,7 @@ def sif_series(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str])
 
 def panel_table(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]) -> DataFrame:
     """All panels of one instrument; the fluorescence panel where it has a window."""
-    out = flux_series(obs, profile, keys).unionByName(reflectance_series(obs, profile, keys))
+    out = spectrum_series(obs, profile, keys)
     return out if profile.window is None else out.unionByName(sif_series(obs, profile, keys))
 
 

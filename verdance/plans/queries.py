@@ -695,7 +695,7 @@ def stream_dedup(spark, sf):
         "at AS obs_ts",
         "explode(if(event_id % 3 = 0, array(1, 2), array(1))) AS delivery",
     )
-    out = jobs.drain(jobs.drop_redelivered(files), "dedup")
+    out = jobs.drain(jobs.drop_redelivered(files, "obs_ts"), "dedup")
     return out.selectExpr("file_name", stamp(jobs.naive("obs_ts"), "obs_ts"))
 
 

@@ -35,7 +35,7 @@ PROFILES = {"QE": QE, "HR": HR}
 
 
 def discover(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Instrument files below ``path``: ``file_name, value`` (the whole text).
+    """Instrument files below ``path``: ``file_name, arrived, value`` (the whole text).
 
     The name test is anchored, so a fixed run is never taken for an automatic
     one. Whole days can be pruned by pointing ``path`` at their folders.
@@ -48,9 +48,11 @@ def discover(spark: SparkSession, path: str, streaming: bool = False) -> DataFra
         .option("pathGlobFilter", "*.csv")
         .load(path)
     )
-    return files.selectExpr("_metadata.file_name AS file_name", "value").where(
-        f"file_name RLIKE '{K.FILE_NAME}'"
-    )
+    return files.selectExpr(
+        "_metadata.file_name AS file_name",
+        "_metadata.file_modification_time AS arrived",
+        "value",
+    ).where(f"file_name RLIKE '{K.FILE_NAME}'")
 
 
 def read_exported(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:

@@ -32,9 +32,9 @@ def write_diurnal_csv(diurnal: DataFrame, folder: str) -> str:
 
     Rows are in file name order. Returns the path.
     """
-    day = latest_day(diurnal).first()["latest_day"]
-    path = f"{folder.rstrip('/')}/{'NA' if day is None else day}sif.csv"
     numbered = ordinal(diurnal.select("file_name", *COLUMNS), [], ["file_name"], "row")
+    day = latest_day(numbered).first()["latest_day"]
+    path = f"{folder.rstrip('/')}/{'NA' if day is None else day}sif.csv"
     numbered.select("row", *COLUMNS).orderBy("row").write.option("header", True).option(
         "nullValue", "NA"
     ).csv(path)

@@ -91,16 +91,28 @@ INGEST_FOLDERS = ("parse_ok", "instrument", "obs_date")
 
 
 def ingest_folder(
-    spark: SparkSession, landing: str, path: str, checkpoint: str
+    spark: SparkSession, landing: str, path: str, checkpoint: str, redelivery: str | None = None
 ) -> StreamingQuery:
-    """Take up the files that arrived in ``landing`` since the last run."""
-    return start(ingest(raw.discover(spark, landing, streaming=True)), path, checkpoint, INGEST_FOLDERS)
+    """Take up the files that arrived in ``landing`` since the last run.
+
+    The file source never reads a path twice. With ``redelivery`` (for instance
+    ``'2 days'``) a name that arrives again under another path within that time
+    is dropped as well.
+    """
+    files = raw.discover(spark, landing, streaming=True)
+    if redelivery is not None:
+        files = drop_redelivered(files, "arrived", "file_name", redelivery)
+    return start(ingest(files), path, checkpoint, INGEST_FOLDERS)
 
 
 def drop_redelivered(
-    files: DataFrame, ts: str = "obs_ts", name: str = "file_name", delay: str = "1 day"
+    files: DataFrame, ts: str = "arrived", name: str = "file_name", delay: str = "1 day"
 ) -> DataFrame:
-    """Drop files whose name was seen within ``delay``; state is kept that long only."""
+    """Drop files whose name was seen within ``delay``; state is kept that long only.
+
+    Measured by arrival a file is never too late to be taken up, however old
+    its observation is.
+    """
     return files.withWatermark(ts, delay).dropDuplicatesWithinWatermark([name])
 
 
