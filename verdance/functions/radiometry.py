@@ -6,13 +6,10 @@ The scalar formulas serve exploded plans and array lambdas alike.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
 from verdance.functions.arrays import bind, num, pick, record, strict_mean
 from verdance.profiles import BARE_FIBRE, COSINE_CORRECTOR, InstrumentProfile, Optic
 
 NL_TERMS = 8
-Ranges = Sequence[tuple[int, int]]
 
 
 # --- scalar formulas ------------------------------------------------------
@@ -152,29 +149,22 @@ def flux_pairs(
     times: tuple[str, str] = ("inte_t1_us", "inte_t2_us"),
     coefs: tuple[str, str] = ("coef_irr", "coef_rad"),
     darks: tuple[str | None, str | None] = ("dark1", "dark2"),
-    ranges: Ranges | None = None,
     band: str | None = None,
 ) -> str:
-    """``ARRAY<STRUCT<irr, rad>>`` of flux, one element per pair of rows.
-
-    ``ranges`` limits the work to some inclusive pixel ranges, joined end to
-    end. Black pixels are always read whole, so every value equals the one of
-    the full spectrum.
-    """
-    cut: Callable[[str], str] = (lambda a: a) if ranges is None else (lambda a: pick(a, ranges))
+    """``ARRAY<STRUCT<irr, rad>>`` of flux, one element per pair of rows."""
     dark = dark_columns(profile, spectra, *darks)
     values = {
         "s": spectra,
-        **{n: cut(c) if n.startswith("dark_") else c for n, c in dark.items()},
+        **dark,
         **{
-            f"f_{w}": cut(factor_array(coef, by_parity(profile, w, *times), profile, w, band))
+            f"f_{w}": factor_array(coef, by_parity(profile, w, *times), profile, w, band)
             for w, coef in zip(("irr", "rad"), coefs)
         },
         **response_terms(nl_coeff),
     }
 
     def one(which: str) -> str:
-        row = cut(f"get(b.s, 2 * k + {parity(profile, which) - 1})")
+        row = f"get(b.s, 2 * k + {parity(profile, which) - 1})"
         name = f"dark_{which}"
         signal = subtract_dark(row, f"b.{name}" if name in dark else None, f"b.off_{which}")
         return f"zip_with({signal}, b.f_{which}, (y, f) -> {linearise('y', 'b.')} * f)"

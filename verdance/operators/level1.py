@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from verdance.functions import radiometry as R
 from verdance.functions.arrays import num, pick, pixels, strict_mean
-from verdance.functions.lsq import fit_groups
+from verdance.functions.lsq import fit_groups, line
 from verdance.profiles import InstrumentProfile
 
 CHANNELS = ("irr", "rad")
@@ -270,6 +270,14 @@ def fluorescence(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]
     )
 
 
+def curves(fits: DataFrame, profile: InstrumentProfile) -> DataFrame:
+    """Add the fluorescence and slope lines over the window, as arrays."""
+    n = profile.window_size
+    return fits.selectExpr(
+        "*", f"{line('c0', 'c1', n)} AS sif_line", f"{line('c2', 'c3', n)} AS slope_line"
+    )
+
+
 def flux_table(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]) -> DataFrame:
     """Calibrated flux at rest: one row per pair with whole-spectrum arrays.
 

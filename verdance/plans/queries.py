@@ -17,6 +17,7 @@ from verdance.functions.arrays import forward_difference, median
 from verdance.functions.lsq import fit_groups
 from verdance.operators import darkmodel, level1, offsets, pairing, panels, quality
 from verdance.plans.diurnal import COLUMNS, diurnal
+from verdance.profiles import FIXED_RUN_US
 from verdance.session import scratch_path
 from verdance.sources import raw
 from verdance.sources import tables as T
@@ -201,12 +202,11 @@ def sif_rsq(spark, sf):
 
 @query
 def sif_curve(spark, sf):
-    n = T.EMB.window_size
-    lines = _fits(spark, sf).where("status = 'ok'").selectExpr(
-        "file_id", "pair_no", "c0", "c1", "c2", "c3", f"explode(sequence(1, {n})) AS x"
+    lines = level1.curves(_fits(spark, sf).where("status = 'ok'"), T.EMB).selectExpr(
+        "file_id", "pair_no", "slope_line", "posexplode(sif_line) AS (i, sif)"
     )
     return lines.selectExpr(
-        "file_id", "pair_no", "x", r("c0 + c1 * x", 6, "sif"), r("c2 + c3 * x", 6, "slope")
+        "file_id", "pair_no", "i + 1 AS x", r("sif"), r("get(slope_line, i)", 6, "slope")
     )
 
 
@@ -552,7 +552,8 @@ def fixed_vs_auto(spark, sf):
 def _raw(spark, sf, instrument: str, prefix: str, fixed: bool = False) -> DataFrame:
     obs = T.dated(T.observations(spark, sf), spark, sf).where("obs_ts IS NOT NULL")
     if fixed:
-        obs = obs.withColumns({"inte_t1_us": F.lit(2_000_000), "inte_t2_us": F.lit(1_000_000)})
+        t1, t2 = FIXED_RUN_US
+        obs = obs.withColumns({"inte_t1_us": F.lit(t1), "inte_t2_us": F.lit(t2)})
     return obs.selectExpr(
         "file_id",
         f"{K.file_name('obs_ts', repr(prefix))} AS file_name",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from verdance.functions import radiometry as R
 from verdance.functions.timekeys import file_name
-from verdance.profiles import ExposureRule, InstrumentProfile
+from verdance.profiles import DARK_MODEL_BANDS, ExposureRule, InstrumentProfile
 from verdance.sources.calibration import checked_broadcast, vectors
 
 EMB = InstrumentProfile(
@@ -164,12 +164,16 @@ def dated(obs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dark_models(spark: SparkSession) -> DataFrame:
-    """Dark model of the stand-in instrument for the three temperature bands."""
+    """Dark model of the stand-in instrument, one row per temperature band."""
+    bands = spark.createDataFrame(
+        [(i, *band) for i, band in enumerate(DARK_MODEL_BANDS)],
+        "id INT, band STRING, temp_lo DOUBLE, temp_hi DOUBLE",
+    )
     pixels = f"sequence(1, {EMB.pixels})"
-    return spark.range(0, 3, 1, 1).selectExpr(
-        "elt(int(id + 1), 'M20', 'M15', 'M10') AS band",
-        "element_at(array(-20D, -15D, -11D), int(id + 1)) AS temp_lo",
-        "element_at(array(-19D, -14D, -9D), int(id + 1)) AS temp_hi",
+    return bands.selectExpr(
+        "band",
+        "temp_lo",
+        "temp_hi",
         f"transform({pixels}, p -> 900 + id * 20 + p * 0.4D) AS v1",
         f"transform({pixels}, p -> 5 + id + p * 0.01D) AS v2",
     )
