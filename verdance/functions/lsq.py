@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdance.functions.arrays import let, record
+from verdance.functions.arrays import record
 
 PIVOT_LIMIT = 1e-12
 
@@ -25,9 +25,9 @@ _VARS = ("x", "e", "w", "y")
 _PRODUCTS = [(a, b) for i, a in enumerate(_VARS) for b in _VARS[i:]]
 
 
-def _root(pivot: str, scale: str) -> str:
-    """Square root of a pivot, NULL where the design is singular."""
-    return f"if({pivot} > {PIVOT_LIMIT} * {scale}, sqrt({pivot}), NULL)"
+def _pivot(value: str, scale: str) -> str:
+    """A pivot, NULL where the design is singular."""
+    return f"if({value} > {PIVOT_LIMIT} * {scale}, {value}, NULL)"
 
 
 def fit_groups(
@@ -66,56 +66,49 @@ def fit_groups(
 
 
 def _solve(g: DataFrame) -> DataFrame:
+    """Sums to coefficients, all in generated code.
+
+    The result leaves through a one-element generator. Without it a filter on
+    the result would be pushed below these projections, which replaces every
+    intermediate name by its definition again and again until the code no
+    longer compiles.
+    """
     kept = [c for c in g.columns if not c.startswith(("_", "s_"))]
-    pairs = ["".join(p) for p in _PRODUCTS]
     steps = [
         # means, and centred sums of squares and products
-        ("m", {a: f"try_divide(s_{a}, double(_n))" for a in _VARS}),
-        ("v", {p: f"s_{p} - m.{p[0]} * s_{p[1]}" for p in pairs}),
+        {f"m_{a}": f"try_divide(s_{a}, double(_n))" for a in _VARS},
+        {f"v_{a}{b}": f"s_{a}{b} - m_{a} * s_{b}" for a, b in _PRODUCTS},
         # spreads; a variable without spread makes the fit singular. From here
         # on a singular pivot is NULL, never zero, so plain division is safe.
-        ("d", {a: _root(f"v.{a}{a}", f"s_{a}{a}") for a in _VARS}),
-        # Cholesky factor of the correlation matrix of (x, e, w), with the
-        # right-hand side carried along
-        (
-            "f",
-            {
-                "l21": "v.xe / (d.x * d.e)",
-                "l31": "v.xw / (d.x * d.w)",
-                "r32": "v.ew / (d.e * d.w)",
-                "z1": "v.xy / d.x",
-                "r2": "v.ey / d.e",
-                "r3": "v.wy / d.w",
-            },
-        ),
-        ("g", {"l22": _root("(1D - f.l21 * f.l21)", "1D")}),
-        ("h", {"l32": "(f.r32 - f.l31 * f.l21) / g.l22", "z2": "(f.r2 - f.l21 * f.z1) / g.l22"}),
-        ("i", {"l33": _root("(1D - f.l31 * f.l31 - h.l32 * h.l32)", "1D")}),
-        ("j", {"z3": "(f.r3 - f.l31 * f.z1 - h.l32 * h.z2) / i.l33"}),
-        # back substitution
-        ("k", {"g3": "j.z3 / i.l33"}),
-        ("o", {"g2": "(h.z2 - h.l32 * k.g3) / g.l22"}),
-        (
-            "b",
-            {
-                "x": "(f.z1 - f.l21 * o.g2 - f.l31 * k.g3) / d.x",
-                "e": "o.g2 / d.e",
-                "w": "k.g3 / d.w",
-                "fitted": "f.z1 * f.z1 + h.z2 * h.z2 + j.z3 * j.z3",
-            },
-        ),
+        {f"d_{a}": f"sqrt({_pivot(f'v_{a}{a}', f's_{a}{a}')})" for a in _VARS},
+        # correlation matrix of (x, e, w) and its right-hand side
+        {
+            "l21": "v_xe / (d_x * d_e)",
+            "l31": "v_xw / (d_x * d_w)",
+            "r32": "v_ew / (d_e * d_w)",
+            "z1": "v_xy / d_x",
+            "r2": "v_ey / d_e",
+            "r3": "v_wy / d_w",
+        },
+        # elimination
+        {"p2": _pivot("(1D - l21 * l21)", "1D"), "t": "r32 - l31 * l21", "u2": "r2 - l21 * z1"},
+        {"p3": _pivot("(1D - l31 * l31 - t * t / p2)", "1D"), "u3": "r3 - l31 * z1 - t * u2 / p2"},
+        # back substitution; "fitted" is the centred sum of squares of the fit
+        {"g3": "u3 / p3"},
+        {"g2": "(u2 - t * g3) / p2", "fitted": "z1 * z1 + u2 * u2 / p2 + u3 * u3 / p3"},
+        {"b_x": "(z1 - l21 * g2 - l31 * g3) / d_x", "b_e": "g2 / d_e", "b_w": "g3 / d_w"},
     ]
+    for step in steps:
+        g = g.selectExpr("*", *[f"{e} AS {name}" for name, e in step.items()])
     # undo the shift of e and y: w = x*e - x*e0
     result = {
-        "c0": "_y0 + m.y - b.x * m.x - b.e * (m.e + _e0) - b.w * m.w",
-        "c1": "b.x - b.w * _e0",
-        "c2": "b.e",
-        "c3": "b.w",
-        "rsq": "if(b.fitted > 0, b.fitted / (d.y * d.y), NULL)",
+        "c0": "_y0 + m_y - b_x * m_x - b_e * (m_e + _e0) - b_w * m_w",
+        "c1": "b_x - b_w * _e0",
+        "c2": "b_e",
+        "c3": "b_w",
+        "rsq": "if(fitted > 0, fitted / (d_y * d_y), NULL)",
     }
-    return g.selectExpr(*kept, "_n AS n", f"{let(steps, record(result))} AS fit").selectExpr(
-        *kept, "n", *[f"fit.{name} AS {name}" for name in result]
-    )
+    return g.selectExpr(*kept, "_n AS n", f"inline_outer(array({record(result)}))")
 
 
 def line(c_const: str, c_slope: str, n: int) -> str:

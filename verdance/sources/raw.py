@@ -69,7 +69,7 @@ def export_raw(files: DataFrame, path: str) -> None:
 
 
 def _number(text: str) -> str:
-    return finite(f"try_cast(trim({text}) AS DOUBLE)")
+    return finite(f"try_cast({text} AS DOUBLE)")
 
 
 def _numbers(line: str) -> str:
@@ -174,18 +174,18 @@ def render(instrument: str) -> str:
     inte_t2_us, dark1, dark2, spectra``.
     """
 
+    # a decimal cast prints fixed digits several times faster than a format string
     def fixed(value: str, digits: int) -> str:
-        return f"coalesce(format_string('%.{digits}f', {value}), 'NA')"
+        return f"coalesce(string(try_cast({value} AS DECIMAL(24, {digits}))), 'NA')"
 
-    def joined(arr: str, fmt: str = "%.6f") -> str:
-        one = f"if(v IS NULL, 'NA', format_string('{fmt}', v))"
+    def joined(arr: str, one: str = fixed("v", 6)) -> str:
         return f"array_join(transform({arr}, v -> {one}), ',')"
 
     def text(label: str, value: str) -> str:
         return f"concat('{label}', {value})"
 
     head = [text(LABEL_TIME, K.clock_text("obs_ts")), "''", f"'{LABEL_MODEL}{MODELS[instrument]}'"]
-    coeffs = [f"'{LABEL_NL}'", joined("nl_coeff", "%e"), joined("wavelength")]
+    coeffs = [f"'{LABEL_NL}'", joined("nl_coeff", "format_string('%e', v)"), joined("wavelength")]
     t1, t2 = text(LABEL_T1, "inte_t1_us"), text(LABEL_T2, "inte_t2_us")
     if instrument == "QE":
         lines = [
