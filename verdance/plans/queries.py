@@ -230,12 +230,12 @@ def sif_modelled_dark(spark, sf):
     obs = T.dated(T.calibrated(spark, sf), spark, sf)
     modelled = darkmodel.use_modelled_dark(obs, bands)
     fits = level1.fluorescence(modelled, T.EMB, ["file_id", "dark_status"])
-    best = fits.groupBy("file_id", "dark_status").agg(
-        F.expr("max(if(pair_no = 1, sif, NULL)) AS sif1"),
-        F.expr("max(if(pair_no = 1, rsq, NULL)) AS rsq1"),
+    means = fits.groupBy("file_id", "dark_status").agg(
+        F.expr("avg(sif) AS mean_sif"),
+        F.expr("avg(rsq) AS mean_rsq"),
         F.expr("count(sif) AS n_fits"),
     )
-    return best.selectExpr("file_id", "dark_status", r("sif1"), r("rsq1"), "n_fits")
+    return means.selectExpr("file_id", "dark_status", r("mean_sif"), r("mean_rsq"), "n_fits")
 
 
 @query
@@ -527,18 +527,15 @@ def panel_ranges(spark, sf):
 
 @query
 def fixed_vs_auto(spark, sf):
-    """Fixed runs against the first automatic run of the quarter-hour.
-
-    Every second QE file is taken as a fixed run.
-    """
-    qe = T.dated(T.calibrated(spark, sf, "QE"), spark, sf)
+    """Fixed runs (odd files) against the first automatic run (even files) of the quarter-hour."""
+    obs = T.dated(T.calibrated(spark, sf), spark, sf)
     values = [f"irr{k}" for k in range(1, 6)]
-    runs = level1.reference_values(qe, T.EMB, "irr").selectExpr(
+    runs = level1.reference_values(obs, T.EMB, "irr").selectExpr(
         "file_id", "file_name", f"{K.quarter_hour('obs_ts')} AS bucket", *values
     )
     out = pairing.pair_first_match(
-        runs.where("file_id % 4 = 2"),
-        runs.where("file_id % 4 = 0"),
+        runs.where("file_id % 2 = 1"),
+        runs.where("file_id % 2 = 0"),
         "bucket",
         ["file_name", "file_id"],
         ["file_id", *values],
@@ -642,7 +639,8 @@ def quarantine(spark, sf):
 @query
 def stream_daily_sif(spark, sf):
     """Daily means over closed days; fluorescence joined from the batch table."""
-    sif = _fits(spark, sf).where("pair_no = 1").selectExpr("file_id AS event_id", "sif")
+    sif = _fits(spark, sf).groupBy("file_id").agg(F.expr("avg(sif) AS sif"))
+    sif = sif.withColumnRenamed("file_id", "event_id")
     events = streams.events(spark, sf).join(sif, "event_id", "left")
     days = jobs.rollup(
         events,
