@@ -44,15 +44,21 @@ def spread(*cols: str | Column) -> Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, cell: int = 4096) -> DataFrame:
-    """Adds ``rank``: 0, 1, ... within ``keys``.
+def ranked(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows: int,
+    along: DataFrame | None = None,
+    cell: int = 4096,
+) -> DataFrame:
+    """Adds ``rank``: 0, 1, ... within ``keys``, and the columns that ``along`` has for the keys.
 
     Rows of a key are dealt over hash cells of about ``cell`` rows, however hot the key; a cell's ranks start
     where the counts of the key's earlier cells end, so no task sees more than a cell or a key's cell counts.
-    ``order`` must tell rows apart (equal rows are interchangeable); ``rows`` is the number of rows of ``df``.
+    Rows equal in ``order`` are interchangeable; ``rows`` is the number of rows of ``df``.
     """
-    cells = max(1, -(-rows // cell))
-    dealt = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)))
+    dealt = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(max(1, -(-rows // cell)))))
     by_key = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         dealt.groupBy(*keys, "_cell")
@@ -60,11 +66,18 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int,
         .withColumn("_start", F.coalesce(F.sum("_n").over(by_key), F.lit(0)))
         .drop("_n")
     )
+    more = []
+    if along is not None:
+        more = [c for c in along.columns if c not in keys]
+        starts = starts.join(along, [starts[k].eqNullSafe(along[k]) for k in keys]).select(
+            *[starts[k] for k in keys], "_cell", "_start", *more
+        )
     inside = Window.partitionBy(*keys, "_cell").orderBy(*order)
     numbered = dealt.withColumn("_row", F.row_number().over(inside) - 1)
-    on = [numbered[k].eqNullSafe(starts[k]) for k in (*keys, "_cell")]
-    out = numbered.join(starts, on, "inner")
-    return out.select(*[numbered[c] for c in df.columns], (F.col("_start") + F.col("_row")).alias("rank"))
+    out = numbered.join(starts, [numbered[k].eqNullSafe(starts[k]) for k in (*keys, "_cell")])
+    return out.select(
+        *[numbered[c] for c in df.columns], *[starts[c] for c in more], (F.col("_start") + F.col("_row")).alias("rank")
+    )
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
