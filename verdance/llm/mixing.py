@@ -7,7 +7,7 @@ kept inside a shrinking bracket, run over the histogram (source, size) -> docume
 
 Rates become whole copies by one pass of systematic rounding: along a source's documents in order of size the running
 sum of rates is rounded, so each document gets its rate rounded down or up and a source misses its target by less
-than its largest document. The running sums are dealt over size zones, size classes and hash cells, so no source
+than its largest document; of ``OFFSETS`` starts of the running sum a source takes the one with the least miss. The running sums are dealt over size zones, size classes and hash cells, so no source
 and no size meets in one task. All sums behind the rounding are integers: reruns agree.
 
 A null text has size 0, a null source is a source of its own, sources without words have target 0, documents without
@@ -29,7 +29,10 @@ CLOSE = 1e-9
 #: Newton steps; the bracket is halved at least every other step, so the distance is met long before.
 STEPS = 80
 #: Rates are whole multiples of 1 / ONE.
-ONE = 1 << 20
+SHIFT = 20
+ONE = 1 << SHIFT
+#: Offsets that are tried for the rounding of a source.
+OFFSETS = 64
 #: Size zones per doubling of the size.
 ZONES = 16
 
@@ -156,9 +159,22 @@ def plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) ->
         .select("source", "size", "source_size", "target", "units", (F.col("z") + F.col("c")).alias("start"))
     )
     numbered = ranked(sized, ["source", "size"], ["doc_id"], sized.count(), along=placed)
-    first = F.col("start") + F.col("rank") * F.col("units") + ONE // 2
-    copies = F.shiftright(first + F.col("units"), 20) - F.shiftright(first, 20)
-    return numbered.select(
+    numbered = cut(numbered.withColumn("from", F.col("start") + F.col("rank") * F.col("units")), "mix-numbered")
+
+    def rounded(offset: Column) -> Column:
+        first = F.col("from") + offset
+        return F.shiftright(first + F.col("units"), SHIFT) - F.shiftright(first, SHIFT)
+
+    # every offset rounds alike; a source takes the one that brings it nearest to its target
+    offsets = [F.lit(k * ONE // OFFSETS) for k in range(OFFSETS)]
+    tried = numbered.groupBy("source").agg(
+        F.first("target").alias("target"), *[F.sum(rounded(o) * F.col("size")).alias(f"w{k}") for k, o in enumerate(offsets)]
+    )
+    misses = F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("target")).alias("miss"), o.alias("offset")) for k, o in enumerate(offsets)])
+    best = cut(tried.select(F.col("source").alias("s"), F.array_min(misses)["offset"].alias("offset")), "mix-offsets")
+    chosen = numbered.join(best, numbered["source"].eqNullSafe(best["s"]))
+    copies = rounded(F.col("offset"))
+    return chosen.select(
         "doc_id",
         "source",
         "size",
