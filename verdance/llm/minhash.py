@@ -8,9 +8,10 @@ their sets' Jaccard similarity reaches the threshold; groups are the connected c
 * Documents that share a bucket of some band are candidates. The band count is such that a pair at the threshold
   misses every band with a probability below ``MISS``.
 * In each bucket all members are first compared with its hub, the member in most company over all its buckets. That
-  is one comparison a member, and it joins nearly all of a group of copies. What is left are pairs of one bucket that
-  lie in different components: those are compared block by block inside tasks, and only pairs that the packed
-  signatures and the known distances to a common hub allow leave the task, each in one band only.
+  is one comparison a member, and it joins most of a group of copies. What is left are pairs of one bucket that
+  lie in different components: those are compared block by block inside tasks, by their packed signatures and the
+  known distances to a common hub. In ``BEST_ROUNDS`` rounds each member's best partner alone is confirmed, again one
+  comparison a member; then all pairs that are still apart and may reach the threshold are.
 * Every link is confirmed on the full sets. None of these steps has a cap.
 
 Null or empty texts: empty set, own component. Rows that share a doc_id are one node (each row is returned); rows with
@@ -38,6 +39,8 @@ MISS = 1e-7
 SLACK = 4.0
 #: Members of a bucket that are compared in one task, squared.
 BLOCK = 256
+#: Rounds in which only the best partner of each member is confirmed.
+BEST_ROUNDS = 2
 
 _SEED = np.random.Generator(np.random.PCG64(7))
 _FLIP = _SEED.integers(0, 2**64, 4096, dtype=np.uint64)
@@ -180,11 +183,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     )
 
 
-def _cross(members: DataFrame, near: Near) -> DataFrame:
-    """Pairs of one bucket but different components that may reach the threshold.
+def _cross(members: DataFrame, near: Near, best: bool) -> DataFrame:
+    """(owner, a, b, equal): pairs of one bucket but different components that may reach the threshold.
 
-    A bucket is dealt over blocks of about ``BLOCK`` members; a task compares two blocks at a time. A pair leaves in
-    its first common band only.
+    A bucket is dealt over blocks of about ``BLOCK`` members; a task compares two blocks at a time. A pair is seen in
+    its first common band only. With ``best`` a member leaves the task with its best partner there.
     """
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
@@ -211,6 +214,8 @@ def _cross(members: DataFrame, near: Near) -> DataFrame:
                 x = columns(batch.column("x").slice(k, 1).flatten())
                 y = x if same else columns(batch.column("y").slice(k, 1).flatten())
                 packed = y["packed"].view(np.uint64)
+                top_x, top_y = (np.full(len(z["doc_id"]), -1) for z in (x, y))
+                with_x, with_y = np.zeros(len(top_x), np.int64), np.zeros(len(top_y), np.int64)
                 for i in range(len(x["doc_id"])):
                     ok = y["root"] != x["root"][i]
                     if same:
@@ -229,12 +234,36 @@ def _cross(members: DataFrame, near: Near) -> DataFrame:
                     folded = d.copy()
                     for s in range(1, near.bits):
                         folded |= d >> np.uint64(s)
-                    at = at[np.bitwise_count(folded & lane).sum(axis=1) <= most]
-                    if len(at):
-                        one, two = np.full(len(at), x["doc_id"][i]), y["doc_id"][at]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+                    equal = near.minima - np.bitwise_count(folded & lane).sum(axis=1).astype(np.int64)
+                    at, equal = at[equal >= near.least_equal], equal[equal >= near.least_equal]
+                    if best and len(at):
+                        k = int(equal.argmax())
+                        if equal[k] > top_x[i]:
+                            top_x[i], with_x[i] = equal[k], y["doc_id"][at[k]]
+                        more = equal > top_y[at]
+                        top_y[at[more]], with_y[at[more]] = equal[more], x["doc_id"][i]
+                    elif len(at):
+                        yield pairs(np.full(len(at), x["doc_id"][i]), y["doc_id"][at], equal)
+                if best:
+                    yield pairs(x["doc_id"][top_x >= 0], with_x[top_x >= 0], top_x[top_x >= 0])
+                    yield pairs(y["doc_id"][top_y >= 0], with_y[top_y >= 0], top_y[top_y >= 0])
+
+    def pairs(owner: np.ndarray, other: np.ndarray, equal: np.ndarray) -> pa.RecordBatch:
+        columns = [owner, np.minimum(owner, other), np.maximum(owner, other), equal]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["owner", "a", "b", "equal"])
+
+    return both.mapInArrow(run, "owner long, a long, b long, equal long")
+
+
+def _joined(names: DataFrame, links: DataFrame) -> DataFrame:
+    """``names`` (node, root) after more links (a, b) between nodes."""
+    lifted = (
+        links.join(names.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+        .join(names.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        .select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    )
+    tops = components(lifted, "near-components").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return cut(names.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "near-names")
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -267,43 +296,30 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         .where(_equal_low_bits(near, "pa", "pb") >= near.least_equal)
         .select("a", "b")
     )
-    candidates = members.select("doc_id").distinct()
+    candidates = cut(members.select("doc_id").distinct(), "near-candidates")
     sets = cut(shingle_sets(docs.join(candidates, "doc_id", "left_semi"), near.words), "near-sets").dropDuplicates(
         ["doc_id"]
     )
     compared = cut(_confirmed(likely, sets, near), "near-compared")
-    links = compared.where("linked").select("a", "b")
-    roots = cut(components(links, "near-components"), "near-roots")
-
-    # buckets with more than one component after that
-    rooted = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "root", F.coalesce("root", "doc_id")
-    )
-    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    own_hub = compared.groupBy("b").agg(F.max_by(F.struct("a", "similar"), F.struct("similar", -F.col("a"))).alias("h"))
-    known = own_hub.select(F.col("b").alias("doc_id"), F.col("h.a").alias("hub"), F.col("h.similar").alias("similar"))
-    left = (
-        rooted.join(mixed.select("band", "key"), ["band", "key"], "left_semi")
-        .join(known, "doc_id", "left")
-        .join(nodes.drop("key", "band"), "doc_id")
-    )
-    more = cut(_cross(left, near), "near-cross")
-    late = _confirmed(more, sets, near).where("linked").select("a", "b")
-    # second contraction: links between the components found first
-    names = roots.select("node", "root")
-    lifted = (
-        late.join(names.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-        .join(names.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    )
-    tops = cut(components(lifted, "near-tops"), "near-tops").select(F.col("node").alias("root"), F.col("root").alias("top"))
-    final = (
-        nodes.select(F.col("doc_id").alias("first"))
-        .join(names.select(F.col("node").alias("first"), "root"), "first", "left")
-        .withColumn("root", F.coalesce("root", "first"))
-        .join(tops, "root", "left")
-        .select("first", F.coalesce("top", "root").alias("component_id"))
-    )
+    names = candidates.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root"))
+    names = _joined(names, compared.where("linked").select("a", "b"))
+
+    nearest = compared.groupBy("b").agg(F.max_by(F.struct("a", "similar"), F.struct("similar", -F.col("a"))).alias("h"))
+    known = nearest.select(F.col("b").alias("doc_id"), F.col("h.a").alias("hub"), F.col("h.similar").alias("similar"))
+    described = cut(nodes.join(candidates, "doc_id", "left_semi").join(known, "doc_id", "left"), "near-described")
+    for rounds in range(BEST_ROUNDS + 1):
+        best = rounds < BEST_ROUNDS
+        rooted = members.join(names.withColumnRenamed("node", "doc_id"), "doc_id")
+        apart = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        left = rooted.join(apart.select("band", "key"), ["band", "key"], "left_semi").join(described, "doc_id")
+        found = _cross(left, near, best)
+        if best:
+            own = found.groupBy("owner").agg(F.max_by(F.struct("a", "b"), F.struct("equal", -F.col("a"), -F.col("b"))).alias("p"))
+            found = own.select("p.a", "p.b").distinct()
+        found = cut(found.select("a", "b"), "near-found")
+        names = _joined(names, _confirmed(found, sets, near).where("linked").select("a", "b"))
+    final = nodes.select(F.col("doc_id").alias("first")).join(names.withColumnRenamed("node", "first"), "first", "left")
+    final = final.select("first", F.coalesce("root", "first").alias("component_id"))
     labelled = firsts.join(final, "first").select("print", "component_id")
     out = signed.select("doc_id", "n_shingles", "print").join(labelled, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
