@@ -1,30 +1,67 @@
-"""The corpus pipeline: documents through five stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read again by the next.
+
+Every stage works on all rows that the one before kept. Documents that the quality classifier rejects go; lines that
+are later copies of repeated runs go, and with them texts that consist of nothing else; of near copies the document with
+the smallest doc_id stays; the mix repeats or leaves out documents by source; the last stage places what is left in
+training sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdance.llm import minhash
+from verdance.llm import bytenet, lines, minhash, mixing, packing
 from verdance.llm.common import cut, ship, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents that the classifier, trained on their own labels, predicts to be good."""
+    ship(spark)
+    net = bytenet.trained(docs, table(spark, sf_dir, "labels"))
+    return bytenet.scored(docs, net, accepted=True).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: texts without the later copies of repeated runs of lines."""
+    return lines.without_copies(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    """Operator 10: one document of each group of near copies, five words and a similarity of 0.8."""
     ship(spark)
     return minhash.first_of_each(docs, minhash.Near(words=5, percent=80))
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents as often as the mix of their sources takes them."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: the documents' pieces with their places in sequences of 4096 tokens."""
+    ship(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix", mix),
+    ("pack", pack),
+]
 
-#: Stages fit models and take iterative decisions that SQL can't express; tests compare with brute force.
+#: The stages fit models, iterate and tokenize, which SQL can't express; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that the stages keep, as the last stage places them."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -332,6 +332,11 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its group, with all their columns."""
+    """The rows of ``docs`` whose document is the first of its group, with all their columns.
+
+    Of rows that repeat a doc_id with its text one stays.
+    """
     gone = near_duplicates(docs, near).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    left = docs.join(gone.distinct(), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
