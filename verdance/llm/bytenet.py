@@ -186,19 +186,25 @@ def trained(docs: DataFrame, labels: DataFrame) -> Net:
 
 
 def scored(docs: DataFrame, net: Net, columns: list[str] | None = None, accepted: bool = False) -> DataFrame:
-    """``columns`` of ``docs`` (all) with score and predicted; with ``accepted`` only the rows that are predicted 1."""
+    """``columns`` of ``docs`` (all) with score and predicted; with ``accepted`` the rows that are predicted 1, as they are.
+
+    Columns of ``docs`` that are named score or predicted give way.
+    """
     names = docs.columns if columns is None else columns
+    names = names if accepted else [c for c in names if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [net.score(buf, at) for _, _, buf, at in tb.slices(batch.column("_text"), _SLICE)]
+            parts = [net.score(buf, at) for _, _, buf, at in tb.slices(batch.column(len(names)), _SLICE)]
             score = np.concatenate(parts) if parts else np.zeros(0)
             good = score >= THRESHOLD
-            arrays = [batch.column(c) for c in names] + [pa.array(score, pa.float64()), pa.array(good.astype(np.int32))]
-            out = pa.RecordBatch.from_arrays(arrays, names=[*names, "score", "predicted"])
-            yield out.filter(pa.array(good)) if accepted else out
-
-    fields = [docs.schema[c] for c in names]
-    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    read = docs.select(*names, F.col("text").cast("string").alias("_text"))
-    return read.mapInArrow(run, schema)
+            arrays = [batch.column(k) for k in range(len(names))]
+            if accepted:
+                yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(good))
+            else:
+                arrays += [pa.array(score, pa.float64()), pa.array(good.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "score", "predicted"])
+
+    more = [] if accepted else [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    schema = T.StructType([*[docs.schema[c] for c in names], *more])
+    return docs.select(*names, F.col("text").cast("string").alias("_scored_text")).mapInArrow(run, schema)

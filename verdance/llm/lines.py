@@ -123,20 +123,17 @@ def later_copies(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the later copies taken out of ``text``, and n_lines, n_removed."""
-    names = docs.columns
-    keyed = docs.withColumns(_key(docs))
+    """row (all columns of ``docs`` as they were), text without the later copies, n_lines, n_removed."""
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.struct("*").alias("row"), text.alias("text"), *[c.alias(k) for k, c in _key(docs).items()])
     gone = later_copies(keyed.select(*_KEY, "text"), least).groupBy(*_KEY).agg(F.collect_list("n").alias("gone"))
-    joined = keyed.join(gone, _KEY, "left")
-    lines = F.split(F.col("text").cast("string"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(left, lambda i: F.element_at("_lines", i + 1)), "\n")
-    )
-    out = joined.withColumn("_lines", lines).withColumn("text", text)
-    return out.select(
-        *names,
-        F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).alias("n_lines"),
+    joined = keyed.join(gone, _KEY, "left").withColumn("lines", F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    shorter = F.array_join(F.transform(left, lambda i: F.element_at("lines", i + 1)), "\n")
+    return joined.select(
+        "row",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(shorter).alias("text"),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"),
     )
 
@@ -144,14 +141,14 @@ def deduplicated(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 def digest(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed and the SHA-256 of the text that is left."""
     left = deduplicated(docs.select("doc_id", "text"), least)
-    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("string"), 256).alias("kept_sha256"))
+    return left.select("row.doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def without_copies(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """The columns of ``docs`` with shorter texts; a text that lost all its words leaves, n_chars follows the text."""
     left = deduplicated(docs, least).where(f"n_removed = 0 or regexp_like(text, '{WORD}')")
-    columns = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return left.select(*columns)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return left.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 #: The same for DuckDB: every shortest run by its text.

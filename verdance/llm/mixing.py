@@ -188,9 +188,9 @@ def plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) ->
 
 def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; rows of one document share its larger number of copies."""
-    copies = plan(docs, weights, most).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    copies = copies.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), "_copies").where("_copies > 0")
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & docs["source"].cast("string").eqNullSafe(F.col("_source"))
-    joined = docs.join(copies, same)
-    again = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return again.select(*[docs[c] for c in docs.columns])
+    copies = plan(docs, weights, most).groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
+    copies = copies.where("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"))
+    same = rows["row.doc_id"].eqNullSafe(copies["doc_id"]) & rows["row.source"].cast("string").eqNullSafe(copies["source"])
+    again = rows.join(copies, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return again.select("row.*")
