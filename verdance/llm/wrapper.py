@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from verdance.llm.common import cut
 
-#: A slot is template if its commonest text is on this share of its pages, or its texts differ less than that often.
+#: With so many pages a slot is template if its commonest text is on that share of them, or its texts differ too little.
 COMMON, VARIED, PAGES = 0.5, 0.2, 4
 #: The same inside an article.
 COMMON_INSIDE, PAGES_INSIDE = 0.8, 20
@@ -337,7 +337,8 @@ def read_pages(pages: DataFrame) -> DataFrame:
 
 def _slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield b.assign(slots=[slots(s, t) for s, t in zip(b["shape"], b["template"], strict=True)])[["host", "shape", "slots"]]
+        found = [slots(s, t) for s, t in zip(b["shape"], b["template"], strict=True)]
+        yield pd.DataFrame({"host": b["host"], "shape": b["shape"], "pages": b["pages"], "slots": found})
 
 
 def templates(read: DataFrame) -> DataFrame:
@@ -345,28 +346,38 @@ def templates(read: DataFrame) -> DataFrame:
     shapes = read.groupBy("host", "shape").agg(F.count("*").alias("pages"))
     shapes = cut(shapes, "wrapper-shapes")
     commonest = shapes.groupBy("host").agg(F.max_by("shape", F.struct("pages", "shape")).alias("template"))
-    placed = shapes.join(commonest, "host").select("host", "shape", "template")
-    placed = cut(placed.mapInPandas(_slots_of, "host string, shape string, slots array<long>"), "wrapper-slots")
-    located = read.select("host", "shape", F.explode("blocks").alias("b")).join(placed, ["host", "shape"])
-    texts = located.select(
-        "host",
-        F.element_at("slots", F.col("b.node") + 1).alias("slot"),
-        F.col("b.inside").alias("inside"),
-        F.xxhash64("b.text").alias("text"),
+    placed = shapes.join(commonest, "host").select("host", "shape", "template", "pages")
+    placed = placed.mapInPandas(_slots_of, "host string, shape string, pages long, slots array<long>")
+    placed = cut(placed, "wrapper-slots")
+    found = F.array_distinct(
+        F.transform(
+            "blocks",
+            lambda b: F.struct(
+                F.element_at("slots", b["node"] + 1).alias("slot"),
+                b["inside"].alias("inside"),
+                F.xxhash64(b["text"]).alias("text"),
+            ),
+        )
     )
+    texts = read.join(placed, ["host", "shape"]).select("host", F.explode(found).alias("f")).select("host", "f.*")
     counted = texts.groupBy("host", "slot", "inside", "text").agg(F.count("*").alias("n"))
     stats = counted.groupBy("host", "slot").agg(
-        F.sum("n").alias("all"),
+        F.sum("n").alias("texts"),
         F.count("*").alias("different"),
         F.max("n").alias("top"),
         F.max("inside").alias("inside"),
     )
-    repeated = (F.col("top") >= COMMON * F.col("all")) | (F.col("different") < VARIED * F.col("all"))
+    having = placed.select("host", "pages", F.explode(F.array_distinct("slots")).alias("slot"))
+    stats = stats.join(having.groupBy("host", "slot").agg(F.sum("pages").alias("pages")), ["host", "slot"])
+    repeated = (F.col("top") >= COMMON * F.col("pages")) | (F.col("different") < VARIED * F.col("texts"))
     fixed = F.when(
-        F.col("inside"), (F.col("all") >= PAGES_INSIDE) & (F.col("top") >= COMMON_INSIDE * F.col("all"))
-    ).otherwise((F.col("all") >= PAGES) & repeated)
-    dropped = stats.where(fixed).groupBy("host").agg(F.collect_set("slot").alias("template"))  # slots of one template
-    joined = placed.join(dropped, "host", "left")
+        F.col("inside"), (F.col("pages") >= PAGES_INSIDE) & (F.col("top") >= COMMON_INSIDE * F.col("pages"))
+    ).otherwise((F.col("pages") >= PAGES) & repeated)
+    # slots of one template; where nothing varies there is nothing to tell content by, and all of it stays
+    dropped = stats.groupBy("host").agg(
+        F.collect_set(F.when(fixed, F.col("slot"))).alias("template"), F.every(fixed).alias("none_varies")
+    )
+    joined = placed.join(dropped.where("not none_varies"), "host", "left")
     drop = F.transform("slots", lambda s: F.coalesce(F.array_contains("template", s), F.lit(False)))
     return cut(joined.select("host", "shape", drop.alias("drop")), "wrapper-templates")
 
