@@ -10,7 +10,8 @@ tables are kept; a text's prefixes are its pieces' tables behind a running sum.
 ``WordIds`` gives the ids of the word tokenizer. White space only separates there, so the ids of a text are those of
 its space-separated words in order; words seen for the first time are handed to the library together.
 
-Both keep the tables of a bounded number of words (``KEEP``) in a worker; they are a cache, not a cap.
+Both keep the results of a bounded number of words (``KEEP``) in a worker: the first it meets, among them all common
+ones. Other words are worked out each time.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose tables a worker keeps.
-KEEP = 400_000
+KEEP = 1_000_000
 
 #: The pattern of the byte-level tokenizer; a fixed value of its file format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,6 +46,11 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: (token, rank that made it, rank that merges it on).
+_Edge = tuple[bytes, int, int]
+_NEVER = 1 << 60
+
+
 class PrefixCounter:
     """Exact token counts of every prefix, for a byte-level merge vocabulary in a tokenizer file."""
 
@@ -64,29 +70,55 @@ class PrefixCounter:
         self.pattern = regex.compile(SPLIT)
         self.space = regex.compile(r"\s+")
         self.tables: dict[str, tuple[int, ...]] = {}
+        self.edges: dict[bytes, tuple[list[_Edge], list[_Edge]] | None] = {}
         self.stay: dict[tuple[bytes, bytes], bool] = {}
         self.words = _Counts(self)
 
-    def merged(self, piece: bytes) -> list[bytes]:
-        """The tokens of a piece by its merges, lowest rank first."""
+    def merged(self, piece: bytes, down_to: int = 1) -> list[bytes]:
+        """The tokens of a piece by its merges, lowest rank first, until there are ``down_to``."""
         parts = [piece[k : k + 1] for k in range(len(piece))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda k: self.rank.get((parts[k], parts[k + 1]), 1 << 60))
+        while len(parts) > down_to:
+            best = min(range(len(parts) - 1), key=lambda k: self.rank.get((parts[k], parts[k + 1]), _NEVER))
             if (parts[best], parts[best + 1]) not in self.rank:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def whole(self, token: bytes) -> bool:
-        """Whether the token is what its own bytes merge to."""
-        return self.stays(token, b"")
+    def edge(self, token: bytes) -> tuple[list[_Edge], list[_Edge]] | None:
+        """What stands at the token's left and right edge while it is merged; null if its bytes merge to more tokens."""
+        if token not in self.edges:
+            found = None
+            if len(self.merged(token)) == 1:
+                left, right = [], []
+                for side, out in ((0, left), (1, right)):
+                    part, until = token, _NEVER
+                    while part:
+                        halves = self.merged(part, 2) if len(part) > 1 else []
+                        made = self.rank[tuple(halves)] if halves else -1
+                        out.append((part, made, until))
+                        part, until = (halves[side], made) if halves else (b"", 0)
+                found = left, right
+            self.edges[token] = found
+        return self.edges[token]
 
     def stays(self, a: bytes, b: bytes) -> bool:
+        """Whether the bytes of two tokens merge to just these two.
+
+        They don't if what is at a's right edge and what is at b's left edge at some time have a merge that comes
+        before either is merged into its own token; of equal merges the left one comes first.
+        """
         got = self.stay.get((a, b))
         if got is None:
-            if len(self.stay) > 4 * KEEP:
-                self.stay.clear()
-            got = self.stay[a, b] = self.merged(a + b) == ([a, b] if b else [a])
+            got = True
+            for x, x_made, x_until in self.edge(a)[1]:
+                for y, y_made, y_until in self.edge(b)[0]:
+                    together = self.rank.get((x, y))
+                    if together is not None:
+                        when = max(together, x_made, y_made)
+                        if when < x_until and when <= y_until:
+                            got = False
+            if len(self.stay) < 4 * KEEP:
+                self.stay[a, b] = got
         return got
 
     def prefixes(self, piece: str) -> tuple[int, ...]:
@@ -94,12 +126,20 @@ class PrefixCounter:
         data = piece.encode()
         last: list[bytes] = [b""]
         counts = [0]
+        ids, stay = self.ids, self.stay
         for end in range(1, len(data) + 1):
             for start in range(max(0, end - self.longest), end):
                 token = data[start:end]
-                if token not in self.ids:
+                if token not in ids:
                     continue
-                if self.stays(last[start], token) if start else self.whole(token):
+                if start:
+                    before = last[start]
+                    fits = stay.get((before, token))
+                    if fits is None:
+                        fits = self.edge(token) is not None and self.stays(before, token)
+                else:
+                    fits = self.edge(token) is not None
+                if fits:
                     last.append(token)
                     counts.append(counts[start] + 1)
                     break
@@ -108,9 +148,9 @@ class PrefixCounter:
     def table(self, piece: str) -> tuple[int, ...]:
         got = self.tables.get(piece)
         if got is None:
-            if len(self.tables) > KEEP:
-                self.tables.clear()
-            got = self.tables[piece] = self.prefixes(piece)
+            got = self.prefixes(piece)
+            if len(self.tables) < KEEP // 4:
+                self.tables[piece] = got
         return got
 
     def _parts(self, text: str) -> Iterator[str]:
@@ -196,17 +236,17 @@ class _Counts(dict):
         return sum(c.table(p)[-1] for p in c.pattern.findall(lead + word))
 
     def __missing__(self, word: str) -> int:
-        if len(self) > KEEP:
-            self.clear()
-        got = self[word] = self._new(word, " ")
+        got = self._new(word, " ")
+        if len(self) < KEEP:
+            self[word] = got
         return got
 
     def first(self, word: str) -> int:
         got = self.heads.get(word)
         if got is None:
-            if len(self.heads) > KEEP:
-                self.heads.clear()
-            got = self.heads[word] = self._new(word, "")
+            got = self._new(word, "")
+            if len(self.heads) < KEEP // 4:
+                self.heads[word] = got
         return got
 
 
@@ -292,7 +332,6 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
         self.merges = PieceMerges(path)
         self.pattern = regex.compile(WORD_SPLIT)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -301,34 +340,31 @@ class WordIds:
         """Whether the text can be taken word by word: nothing in it spans a space or changes by its surroundings."""
         return unicodedata.is_normalized("NFC", text) and not any(s in text for s in self.special)
 
-    def learn(self, words: set[str]) -> None:
-        """Ids of new words: those of their pieces."""
-        if len(self.known) > KEEP:
-            self.known = {"": b""}
-        if len(self.parts) > KEEP:
-            self.parts = {}
+    def learned(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words: those of their pieces, which are merged together."""
         find = self.pattern.findall
         split = {w: find(w.replace("\u03a3", "\u03c3").lower()) for w in words}  # the library has no final sigma
-        self._learn_pieces(list(set().union(*split.values()).difference(self.parts)))
-        own = self.parts
-        self.known.update((w, b"".join([own[p] for p in pieces])) for w, pieces in split.items())
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        for lo in range(0, len(pieces), 50_000):
-            part = pieces[lo : lo + 50_000]
-            ids, at = self.merges(part)
-            data, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
-            self.parts.update((p, data[at[k] : at[k + 1]]) for k, p in enumerate(part))
+        pieces = list(set().union(*split.values()))
+        ids, at = self.merges(pieces)
+        data, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
+        own = {p: data[at[k] : at[k + 1]] for k, p in enumerate(pieces)}
+        return {w: own[p[0]] if len(p) == 1 else b"".join([own[x] for x in p]) for w, p in split.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if self.plain(t) else None for t in texts]
-        self.learn(set().union(*filter(None, split)).difference(self.known))
-        known, out = self.known, []
+        known = self.known
+        fresh = self.learned(set().union(*filter(None, split)).difference(known))
+        full = len(known) + len(fresh) > KEEP
+        known.update(fresh)
+        out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
                 out.append(b"".join(map(known.__getitem__, words)))
+        if full:
+            for word in fresh:
+                del known[word]
         return out
 
 
