@@ -47,13 +47,12 @@ def test_band_width_job(spark, tmp_path):
     assert [(r.pixel, r.nm) for r in back] == [(1, 0.5), (2, 0.75), (3, 0.75), (4, 0.75)]
 
 
-def test_large_dimension_is_not_broadcast(spark):
-    def hinted(df):
-        return "broadcast" in df._jdf.queryExecution().analyzed().toString()
-
-    small, large = spark.range(5), spark.range(C.MAX_BROADCAST_ROWS + 1)
-    assert hinted(C.checked_broadcast(small)) and not hinted(C.checked_broadcast(large))
-    assert not hinted(C.checked_broadcast(small, rows=10**9))
+@pytest.mark.parametrize("pixels", [[1, 2, 4], [1, 2, 2, 3], [0, 1, 2], [1, None, 3]])
+def test_gaps_doubles_and_bad_keys_are_named(spark, pixels):
+    rows = [("QE", c, p, 1.0) for c in ("irr", "rad") for p in pixels]
+    df = spark.createDataFrame(rows, "instrument string, channel string, pixel int, coef double")
+    with pytest.raises(Exception, match="bad_calibration"):
+        C.vectors(df).collect()
 
 
 def test_median(spark):

@@ -47,6 +47,17 @@ def test_hot_group_and_missing_values(spark):
     assert hot.n == df.where("g = 0 AND e IS NOT NULL").count()
 
 
+def test_predictor_far_from_zero(spark):
+    """Exact data keep their slope and never get more than a perfect fit."""
+    rng = np.random.default_rng(1)
+    for mean in (1e4, 1e5, 1e6, 1e7):
+        x, e = rng.normal(size=200), rng.normal(size=200) + mean
+        rows = [("g", float(a), float(b), float(2 + 0.5 * a + 0.05 * (b - mean) + 0.01 * a * (b - mean))) for a, b in zip(x, e)]
+        got = fit_groups(spark.createDataFrame(rows, "g string, x double, e double, y double"), ["g"], "y", "x", "e").first()
+        np.testing.assert_allclose([got.c2, got.c3, got.rsq], [0.05, 0.01, 1.0], rtol=1e-6)
+        assert got.rsq < 1 + 1e-9
+
+
 def test_constant_predictor_and_constant_response(spark):
     rows = [(0, float(x), 5.0, float(x)) for x in range(10)]
     rows += [(1, float(x), float(x % 3), 4.0) for x in range(10)]

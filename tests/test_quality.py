@@ -22,7 +22,7 @@ def test_shutter_limit_is_strict(spark):
         "id int, dark array<double>",
     )
     out = df.selectExpr("id", f"{shutter_status('dark', QE)} AS s").collect()
-    assert {r.id: r.s for r in out} == {1: "ok", 2: "shutter", 3: "shutter", 4: "ok"}
+    assert {r.id: r.s for r in out} == {1: "ok", 2: "shutter", 3: "shutter", 4: "no_dark"}
 
 
 @pytest.mark.parametrize(

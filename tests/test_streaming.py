@@ -48,6 +48,39 @@ def test_redelivery_under_another_path(spark, tmp_path):
     assert names == sorted([rf.name(T0, "QE_PRO_"), rf.name(T0 - dt.timedelta(days=40), "QE_PRO_")])
 
 
+def test_a_good_file_follows_a_truncated_one(spark, tmp_path):
+    """Equal names with other text are no repeats: two stations, a cut upload, and an old back-fill all arrive."""
+    import os
+
+    landing = tmp_path / "landing"
+    for night in ("n1", "n2", "n3"):
+        (landing / night).mkdir(parents=True)
+    whole = rf.qe_file(T0)
+    drop(landing / "n1", T0, whole[: len(whole) // 2])
+    args = (spark, str(landing), str(tmp_path / "t"), str(tmp_path / "c"), "2 days")
+    jobs.ingest_folder(*args).awaitTermination()
+    drop(landing / "n2", T0, whole)
+    drop(landing / "n3", T0, rf.qe_file(T0, t=(2_000_000, 1_000_000)))
+    old = landing / "n3" / rf.name(T0, "QE_PRO_")
+    os.utime(old, (old.stat().st_mtime - 5 * 86400,) * 2)
+    (landing / "n3" / "misnamed.CSV").write_text("?")
+    jobs.ingest_folder(*args).awaitTermination()
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(str(r.parse_error) for r in table.collect()) == ["None", "None", "bad_length", "unknown_file"]
+    best = raw.best_delivery(table.drop("parse_ok", "obs_date"), ("file_name",))
+    assert {r.file_name: r.parse_error for r in best.collect()} == {rf.name(T0, "QE_PRO_"): None, "misnamed.CSV": "unknown_file"}
+
+
+def test_a_table_as_a_folder_of_parts(spark, sf_dir, tmp_path):
+    """A file and a folder of part files give the same stream."""
+    from verdance.streaming import tables
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    counts = [jobs.drain(tables.events(spark, d).select("event_id"), "t").count() for d in (sf_dir, str(tmp_path))]
+    assert counts == [events.count()] * 2
+
+
 def as_stream(spark, folder, batches, schema):
     """One Parquet file per batch, taken in order."""
     for i, rows in enumerate(batches):

@@ -69,5 +69,5 @@ def forward_difference(arr: str) -> str:
 
 
 def finite(value: str) -> str:
-    """NULL is the only missing marker."""
-    return f"nullif({value}, double('NaN'))"
+    """NULL is the only missing marker: NaN and infinite values become NULL."""
+    return f"if(abs({value}) < double('Infinity'), {value}, NULL)"

@@ -6,8 +6,9 @@ solved with column arithmetic.
 
 Raw sums over pixel numbers and flux units would lose digits (the condition
 number of that design is near 5e4). Two things prevent it: ``x`` is scaled to
-[-1, 1] by the caller, and ``e`` and ``y`` are taken relative to one sample of
-their own group, which is known before the aggregation.
+[-1, 1] by the caller, and ``e`` and ``y`` are taken relative to a value of
+their own group that is known before: a sample, or else the means from a first
+aggregation.
 """
 
 from __future__ import annotations
@@ -42,13 +43,16 @@ def fit_groups(
 ) -> DataFrame:
     """Coefficients ``c0..c3`` of intercept, x, e, x*e and ``rsq`` per group.
 
-    ``e_shift`` and ``y_shift`` name columns that are constant within a group.
+    ``e_shift`` and ``y_shift`` name columns that are constant within a group; where
+    one is left out, both are the means of a first aggregation over the keys.
     Rows with a missing value take no part. ``extra`` adds aggregates to the
     same pass. ``rsq`` is the squared correlation of observed and fitted
     values; it is NULL where either is constant. A singular design gives NULLs.
     """
-    e0, y0 = e_shift or "0.0D", y_shift or "0.0D"
     whole = f"{x} IS NOT NULL AND {e} IS NOT NULL AND {y} IS NOT NULL"
+    if e_shift is None or y_shift is None:
+        df, e_shift, y_shift = _with_means(df, keys, whole, e, y), "_mean_e", "_mean_y"
+    e0, y0 = e_shift, y_shift
     rows = df.selectExpr(
         "*",
         f"if({whole}, double({x}), NULL) AS _x",
@@ -65,6 +69,17 @@ def fit_groups(
     return _solve(g)
 
 
+def _with_means(df: DataFrame, keys: Sequence[str], whole: str, e: str, y: str) -> DataFrame:
+    """``df`` with the means of e and y of its group: one row per group is joined back."""
+    means = df.groupBy(*keys).agg(
+        F.expr(f"coalesce(avg(if({whole}, double({e}), NULL)), 0D) AS _mean_e"),
+        F.expr(f"coalesce(avg(if({whole}, double({y}), NULL)), 0D) AS _mean_y"),
+    )
+    means = means.select("_mean_e", "_mean_y", *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
+    same = [df[k].eqNullSafe(means[f"_key{i}"]) for i, k in enumerate(keys)]
+    return df.join(means, same).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
 def _solve(g: DataFrame) -> DataFrame:
     """Sums to coefficients, all in generated code.
 

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdance.session import scratch_root
-
 SALTS = 16
 
 
@@ -56,37 +54,33 @@ def pair_first_match(
     return salted_left_join(left, firsts, [bucket], row_id)
 
 
-def ordinal(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "n") -> DataFrame:
+def ordinal(
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "n", cell: str | None = None
+) -> DataFrame:
     """Position (from 1) of each row inside its group, without one task per group.
 
-    A global sort spreads a hot group over many range partitions. The row ids
-    of the sorted partitions give positions inside a partition; one row per
-    partition and group then tells how many rows of the group came before. The
-    sorted ids must not be recomputed, hence the reliable checkpoint.
+    ``cell`` is an expression that never falls along ``order`` (the hour of a time,
+    the first letters of a name; by default the first column of the order). Rows
+    are counted by cell, the counts of a group's earlier cells are added up, and
+    rows are ranked inside their cell. So no task holds more than a cell, or a
+    group's cell counts, nothing is written, and nothing runs before the result
+    is asked for.
     """
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(scratch_root(spark))
-    ranked = (
-        df.orderBy(*groups, *order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
-    )
-    ranked = ranked.withColumn("_part", F.shiftright("_id", 33))
-    blocks = ranked.groupBy(*groups, "_part").agg(
-        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")
-    )
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
-        F.col("_part").alias("_p"),
-        "_first",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-    )
-    on = F.col("_part") == F.col("_p")
-    for i, g in enumerate(groups):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    joined = ranked.join(blocks, on)
-    return joined.select(
-        *df.columns, (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias(name)
+    celled = df.withColumn("_cell", F.expr(cell or order[0]))
+    keys = [*groups, "_cell"]
+    earlier = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = celled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    starts = counts.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
     )
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    placed = celled.withColumn("_place", F.row_number().over(inside))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = placed.join(starts, same)
+    return joined.select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
 
 
 def pair_by_position(
@@ -97,9 +91,11 @@ def pair_by_position(
     right_order: Sequence[str],
     right_values: Sequence[str],
     prefix: str,
+    left_cell: str | None = None,
+    right_cell: str | None = None,
 ) -> DataFrame:
     """n-th left row with the n-th right row inside each group (for instance a day)."""
-    lhs = ordinal(left, groups, left_order)
-    rhs = ordinal(right, groups, right_order)
+    lhs = ordinal(left, groups, left_order, cell=left_cell)
+    rhs = ordinal(right, groups, right_order, cell=right_cell)
     rhs = rhs.select(*groups, "n", *[F.col(v).alias(f"{prefix}{v}") for v in right_values])
     return lhs.join(rhs, [*groups, "n"], "left")

@@ -7,27 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdance.functions.arrays import median, num
+from verdance.functions.arrays import bind, median, num
 from verdance.profiles import SCHEDULE, TEC_SET_POINT_C, ExposureRule, InstrumentProfile
 
 
-FLAGS = ("under", "ok", "over")
+FLAGS = ("under", "ok", "over", "missing")
 
 
 def shutter_status(dark: str, profile: InstrumentProfile) -> str:
-    """``shutter`` when the median of the dark spectrum is above the limit."""
-    return f"if({median(dark)} > {num(profile.dark_limit)}, 'shutter', 'ok')"
+    """``shutter`` when the median of the dark spectrum is above the limit, ``no_dark`` without a median."""
+    return bind({"m": median(dark)}, "checked", f"CASE WHEN checked.m IS NULL THEN 'no_dark' WHEN checked.m > {num(profile.dark_limit)} THEN 'shutter' ELSE 'ok' END")
 
 
 def exposure_flag(peak: str, rule: ExposureRule) -> str:
     return (
-        f"CASE WHEN {peak} > {num(rule.dn_max)} THEN 'over'"
+        f"CASE WHEN {peak} IS NULL THEN 'missing' WHEN {peak} > {num(rule.dn_max)} THEN 'over'"
         f" WHEN {peak} < {num(rule.dn_min)} THEN 'under' ELSE 'ok' END"
     )
 
 
 def exposure_advice(peak: str, time_us: str, rule: ExposureRule) -> str:
-    """Next integration time in whole microseconds, one step of the rule."""
+    """Next integration time in whole microseconds, one step of the rule; NULL without a spectrum."""
     ratio = (
         f"CASE WHEN {peak} > {num(rule.dn_max)} THEN {num(rule.shrink)}"
         f" WHEN {peak} > {num(rule.floor)}"
@@ -37,13 +37,14 @@ def exposure_advice(peak: str, time_us: str, rule: ExposureRule) -> str:
     # clamp before the cast: a tiny margin above the floor makes a huge ratio
     step = f"least(double({time_us}) * ({ratio}), {num(rule.t_max_us)})"
     return (
-        f"if({peak} BETWEEN {num(rule.dn_min)} AND {num(rule.dn_max)}, bigint({time_us}),"
-        f" greatest(bigint({step}), bigint({rule.t_min_us})))"
+        f"CASE WHEN {peak} IS NULL THEN NULL"
+        f" WHEN {peak} BETWEEN {num(rule.dn_min)} AND {num(rule.dn_max)} THEN bigint({time_us})"
+        f" ELSE greatest(bigint({step}), bigint({rule.t_min_us})) END"
     )
 
 
 def exposure_counts(peaks: DataFrame, keys: Sequence[str], flag: str = "flag") -> DataFrame:
-    """Spectra per key: all, under-, well and over-exposed."""
+    """Spectra per key: all, under-, well and over-exposed, missing."""
     counts = [F.expr(f"count_if({flag} = '{v}') AS n_{v}") for v in FLAGS]
     return peaks.groupBy(*keys).agg(F.expr("count(1) AS n"), *counts)
 

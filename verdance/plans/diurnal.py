@@ -24,6 +24,8 @@ COLUMNS = (
 )
 _QE = [f"irr_750_QE{k}" for k in range(1, PAIRS + 1)]
 _HR = [f"irr_750_HR{k}" for k in range(1, PAIRS + 1)]
+#: Names begin with the instrument, month, day and hour; their first letters never fall along their order.
+HOUR_OF_NAME = "substring(file_name, 1, 20)"
 _HEAD = ["file_name", "obs_ts", "ambient_t", "measurement_t"]
 
 
@@ -89,7 +91,8 @@ def _by_position(
 
     def numbered(obs: DataFrame, name: str) -> DataFrame:
         heads = obs.selectExpr(f"file_id AS {name}", "file_name", "to_date(obs_ts) AS day")
-        return ordinal(heads, ["day"], ["file_name", name]).select(name, "day", "n")
+        # the name up to the hour
+        return ordinal(heads, ["day"], ["file_name", name], cell=HOUR_OF_NAME).select(name, "day", "n")
 
     matched = numbered(qe_obs, "file_id").join(numbered(hr_obs, "hr_id"), ["day", "n"], "left")
     values = partner.drop("hr_name", "hr_ts")

@@ -16,12 +16,11 @@ from verdance.functions import timekeys as K
 from verdance.functions.arrays import forward_difference, median
 from verdance.functions.lsq import fit_groups
 from verdance.operators import darkmodel, level1, offsets, pairing, panels, quality
-from verdance.plans.diurnal import COLUMNS, diurnal
+from verdance.plans.diurnal import COLUMNS, HOUR_OF_NAME, diurnal
 from verdance.profiles import FIXED_RUN_US
 from verdance.session import scratch_path
 from verdance.sources import raw
 from verdance.sources import tables as T
-from verdance.sources.calibration import checked_broadcast
 from verdance.sources.sinks import latest_day
 from verdance.streaming import jobs
 from verdance.streaming import tables as streams
@@ -226,7 +225,7 @@ def sif_rad_irr(spark, sf):
 @query
 def sif_modelled_dark(spark, sf):
     """Dark spectra from the temperature model; no model, no fit."""
-    bands = checked_broadcast(darkmodel.listed_bands(T.dark_models(spark)), rows=9)
+    bands = darkmodel.listed_bands(T.dark_models(spark))
     obs = T.dated(T.calibrated(spark, sf), spark, sf)
     modelled = darkmodel.use_modelled_dark(obs, bands)
     fits = level1.fluorescence(modelled, T.EMB, ["file_id", "dark_status"])
@@ -251,6 +250,20 @@ def grouped_ols(spark, sf):
     )
 
 
+@query
+def grouped_ols_offset(spark, sf):
+    """The same with a predictor and a response far from zero."""
+    rows = T.table(spark, sf, "lineitem").selectExpr(
+        "l_returnflag", "l_linestatus", "l_extendedprice / 1000 + 100000 AS y", "l_discount * 10 AS x",
+        "l_quantity / 10 + 10000000 AS e",
+    )
+    out = fit_groups(rows, ["l_returnflag", "l_linestatus"], "y", "x", "e")
+    # the fit at e = 1e7 is that of the plain predictor at 0
+    return out.selectExpr(
+        "l_returnflag", "l_linestatus", "n", r("c2", 4), r("c3", 4), r("rsq"), "rsq BETWEEN 0 AND 1.000001D AS rsq_fits"
+    )
+
+
 # --- quality control ---------------------------------------------------------
 
 @query
@@ -295,7 +308,7 @@ def peak_dn_qc(spark, sf):
     dated = counts.join(days, "file_id", "left").selectExpr("*", f"{T.INSTRUMENT} AS instrument")
     out = quality.exposure_shares(dated, ["day", "instrument", "channel"])
     return out.selectExpr(
-        "day", "instrument", "channel", "n", r("share_under"), r("share_ok"), r("share_over")
+        "day", "instrument", "channel", "n", r("share_under"), r("share_ok"), r("share_over"), r("share_missing")
     )
 
 
@@ -303,7 +316,9 @@ def peak_dn_qc(spark, sf):
 def peak_dn_by_file(spark, sf):
     counts = quality.exposure_counts(_peaks(spark, sf), ["file_id"])
     out = quality.exposure_shares(counts, ["file_id"])
-    return out.selectExpr("file_id", "n", r("share_under"), r("share_ok"), r("share_over"))
+    return out.selectExpr(
+        "file_id", "n", r("share_under"), r("share_ok"), r("share_over"), r("share_missing")
+    )
 
 
 @query
@@ -313,6 +328,47 @@ def exposure_advice(spark, sf):
     )
 
 
+@query
+def exposure_missing(spark, sf):
+    """Every fifth spectrum is missing: flagged, without advice, and counted as such."""
+    rule = T.EMB.exposure
+    gaps = T.spectra(spark, sf).selectExpr(
+        "file_id",
+        "row_no",
+        "array_max(if(vec_id % 5 = 2, NULL, counts)) AS peak",
+        f"if(row_no % 2 = 1, {T.T1}, {T.T2}) AS time_us",
+    )
+    flagged = gaps.selectExpr(
+        "*",
+        f"{quality.exposure_flag('peak', rule)} AS flag",
+        f"{quality.exposure_advice('peak', 'time_us', rule)} AS advice_us",
+    )
+    return flagged.selectExpr("file_id", "row_no", "flag", "double(advice_us) AS advice_us")
+
+
+@query
+def shutter_missing(spark, sf):
+    """Dark spectra that are missing, or lack a pixel, have no status but ``no_dark``."""
+    obs = T.observations(spark, sf).selectExpr(
+        "file_id",
+        """CASE file_id % 5 WHEN 1 THEN NULL
+             WHEN 2 THEN transform(dark1, (v, i) -> if(i = 7, NULL, v)) ELSE dark1 END AS dark""",
+    )
+    return obs.selectExpr("file_id", f"{quality.shutter_status('dark', T.EMB)} AS status")
+
+
+@query
+def temp_qc_bands(spark, sf):
+    """Detector temperature by day and band of the dark model; outside of all bands: none."""
+    events = T.table(spark, sf, "events").selectExpr(
+        "date_format(ts, 'yyyy-MM-dd') AS day", "-(value % 25) AS t"
+    )
+    bands = darkmodel.listed_bands(T.dark_models(spark)).drop("v1", "v2")
+    banded = darkmodel.match_band(events, bands, "t").withColumn("band", F.expr("coalesce(band, 'none')"))
+    out = quality.temperature_quality(banded, ["day", "band"], "t")
+    return out.selectExpr("day", "band", "n", r("mean_t", 9), r("min_t"), r("max_t"), r("mean_off", 9), "n_off")
+
+
 @query
 def temp_qc(spark, sf):
     events = T.table(spark, sf, "events").selectExpr(
@@ -349,7 +405,7 @@ def completeness_by_day(spark, sf):
 @query
 def modelled_dark_range_join(spark, sf):
     """Detector temperature to dark-model band, with the modelled dark at one pixel."""
-    bands = checked_broadcast(darkmodel.listed_bands(T.dark_models(spark)), rows=9)
+    bands = darkmodel.listed_bands(T.dark_models(spark))
     events = T.table(spark, sf, "events").selectExpr(
         "event_id", "-(value % 25) AS temp", "1000000 + event_id % 100 * 10000 AS time_us"
     )
@@ -458,6 +514,8 @@ def positional_pair(spark, sf):
         ["file_name", "event_id"],
         ["event_id", "value"],
         prefix="b_",
+        left_cell=HOUR_OF_NAME,
+        right_cell=HOUR_OF_NAME,
     )
     return out.selectExpr(
         "event_id", "string(day) AS day", "n", "double(b_event_id) AS b_event_id", r("b_value")
@@ -634,6 +692,9 @@ def quarantine(spark, sf):
     )
 
 
+#: State partitions of the streams below: a few rows a minute are open at a time.
+STATE = 8
+
 # --- streams ---------------------------------------------------------------------
 
 @query
@@ -649,7 +710,7 @@ def stream_daily_sif(spark, sf):
         ["event_type"],
         {"n": "count(1)", "mean_value": "avg(value)", "mean_sif": "avg(sif)", "n_sif": "count(sif)"},
     )
-    out = jobs.drain(days, "daily")
+    out = jobs.drain(days, "daily", state_partitions=STATE)
     return out.selectExpr(
         stamp("window_start", "day"), "event_type", "n", r("mean_value"), r("mean_sif"), "n_sif"
     )
@@ -667,6 +728,7 @@ def stream_quarter_hour(spark, sf):
             {"n": "count(1)", "mean_value": "avg(value)"},
         ),
         "quarter",
+        state_partitions=STATE,
     )
     return out.selectExpr(stamp("window_start", "bucket"), "event_type", "n", r("mean_value"))
 
@@ -684,6 +746,7 @@ def stream_pair(spark, sf):
             views, clicks, "at", ["file_name", "event_id"], ["event_id", "value"], "event_id", "b_"
         ),
         "pair",
+        state_partitions=STATE,
     )
     return out.selectExpr(
         "event_id", stamp("bucket_ts", "bucket"), "double(b_event_id) AS b_event_id", r("b_value")
@@ -699,7 +762,7 @@ def stream_dedup(spark, sf):
         "at AS obs_ts",
         "explode(if(event_id % 3 = 0, array(1, 2), array(1))) AS delivery",
     )
-    out = jobs.drain(jobs.drop_redelivered(files, "obs_ts"), "dedup")
+    out = jobs.drain(jobs.drop_redelivered(files, "obs_ts"), "dedup", state_partitions=STATE)
     return out.selectExpr("file_name", stamp(jobs.naive("obs_ts"), "obs_ts"))
 
 

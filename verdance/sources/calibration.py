@@ -6,31 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BROADCAST_ROWS = 2000
-
-
-def checked_broadcast(dim: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a dimension for broadcast if it is known to be small.
-
-    ``rows`` is its row count where the caller knows it; otherwise the rows are
-    counted, up to the limit. A larger table is returned unmarked and joins by
-    shuffle. Rows hold a handful of pixel arrays, about 40 KB each.
-    """
-    if rows is None:
-        rows = dim.limit(MAX_BROADCAST_ROWS + 1).count()
-    return F.broadcast(dim) if rows <= MAX_BROADCAST_ROWS else dim
-
+from verdance.functions.arrays import finite
 
 def vectors(calibration: DataFrame, band: DataFrame | None = None) -> DataFrame:
     """One row per instrument: ``coef_irr, coef_rad`` and optionally ``band_nm``.
 
-    Arrays are in pixel order. A calibration is as long as its detector, so a
-    group here is bounded by the pixel count.
+    Arrays are in pixel order and start at pixel 1. A pixel that is missing,
+    doubled (two versions of a calibration in one table) or without a number
+    would shift all later ones, so it fails the job with the error
+    ``bad_calibration`` and the instrument. A calibration is as long as its
+    detector, so a group here is bounded by the pixel count. An instrument
+    without widths has a NULL array.
     """
 
     def ordered(value: str, when) -> F.Column:
-        items = F.collect_list(F.when(when, F.struct("pixel", value)))
-        return F.transform(F.array_sort(items), lambda s: s[value])
+        items = F.array_sort(F.collect_list(F.when(when, F.struct("pixel", value))))
+        numbers = F.transform(items, lambda s: s["pixel"])
+        good = numbers == F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items))).otherwise(numbers)
+        error = F.raise_error(F.concat(F.lit(f"bad_calibration: pixels of {value} of "), F.col("instrument")))
+        whole = F.coalesce(good & ~F.exists(numbers, lambda p: p.isNull()), F.lit(False))
+        return F.when(whole, F.transform(items, lambda s: s[value])).otherwise(error.cast("array<double>"))
 
     out = calibration.groupBy("instrument").agg(
         ordered("coef", F.col("channel") == "irr").alias("coef_irr"),
@@ -39,7 +34,7 @@ def vectors(calibration: DataFrame, band: DataFrame | None = None) -> DataFrame:
     if band is None:
         return out
     widths = band.groupBy("instrument").agg(ordered("nm", F.lit(True)).alias("band_nm"))
-    return out.join(widths, "instrument")
+    return out.join(widths, "instrument", "left")
 
 
 _KEYED = T.StructType([T.StructField("key", T.StringType()), T.StructField("x", T.DoubleType())])
@@ -60,7 +55,7 @@ def read_coefficients(spark: SparkSession, path: str, instrument: str, channel:
         F.lit(instrument).alias("instrument"),
         F.lit(channel).alias("channel"),
         "pixel",
-        F.col("x").alias("coef"),
+        F.expr(finite("x")).alias("coef"),
     )
 
 
@@ -92,20 +87,23 @@ def read_dark_model(
     """
     out = None
     for name, low, high in bands:
-        raw = spark.read.csv(paths[name], header=True)
-        key = raw.columns[0]
-        # a small file is one partition, so its row order is its pixel order
-        row = (F.monotonically_increasing_id() + 1).cast("string")
-        raw = _numbered(
-            raw.select(
-                (row if key == "V1" else F.col(f"`{key}`")).alias("key"),
-                F.col("V1").try_cast("double").alias("V1"),
-                F.col("V2").try_cast("double").alias("V2"),
-            )
+        # read as one text: a row without a key has its place in the file as pixel
+        lines = spark.read.text(paths[name], wholetext=True).select(F.split("value", r"\r?\n").alias("l"))
+        names = F.transform(F.split(F.get("l", F.lit(0)), ","), lambda c: F.trim(F.replace(c, F.lit('"'))))
+        body = lines.select(names.alias("names"), F.posexplode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))))
+        cells = body.where("trim(col) <> ''").select(
+            "pos", "names", F.transform(F.split("col", ","), lambda c: F.trim(F.replace(c, F.lit('"')))).alias("c")
         )
-        part = raw.select(
+        keyed = F.get("names", F.lit(0)) != "V1"
+
+        def value(column: str) -> F.Column:
+            return F.get("c", F.array_position("names", column).cast("int") - 1).try_cast("double")
+
+        part = cells.select(
             F.lit(name).alias("band"), F.lit(low).alias("temp_lo"), F.lit(high).alias("temp_hi"),
-            "pixel", F.col("V1").alias("v1"), F.col("V2").alias("v2"),
+            F.when(keyed, F.regexp_extract(F.get("c", F.lit(0)), r"(\d+)$", 1).try_cast("int"))
+            .otherwise((F.col("pos") + 1).cast("int")).alias("pixel"),
+            value("V1").alias("v1"), value("V2").alias("v2"),
         )
         out = part if out is None else out.unionByName(part)
     items = F.array_sort(F.collect_list(F.struct("pixel", "v1", "v2")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verdance.functions import timekeys as K
 from verdance.functions.arrays import finite
@@ -35,37 +36,43 @@ PROFILES = {"QE": QE, "HR": HR}
 
 
 def discover(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Instrument files below ``path``: ``file_name, arrived, value`` (the whole text).
+    """CSV files below ``path``: ``file_name, arrived, value`` (the whole text).
 
-    The name test is anchored, so a fixed run is never taken for an automatic
-    one. Whole days can be pruned by pointing ``path`` at their folders.
+    Files of any name come, so that a misnamed one ends in the quarantine as
+    ``unknown_file`` and not nowhere. Whole days can be pruned by pointing
+    ``path`` at their folders.
     """
     reader = spark.readStream if streaming else spark.read
     files = (
         reader.format("text")
         .option("wholetext", True)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", "*.[cC][sS][vV]")
         .load(path)
     )
     return files.selectExpr(
         "_metadata.file_name AS file_name",
         "_metadata.file_modification_time AS arrived",
         "value",
-    ).where(f"file_name RLIKE '{K.FILE_NAME}'")
+    )
 
 
 def read_exported(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Files written by :func:`export_raw`."""
     reader = spark.readStream if streaming else spark.read
-    schema = "value STRING, file_name STRING"
-    files = reader.format("text").schema(schema).option("wholetext", True).load(path)
-    return files.selectExpr("file_name", "value")
+    return reader.schema("file_name STRING, value STRING").parquet(path)
 
 
 def export_raw(files: DataFrame, path: str) -> None:
-    """Write ``file_name, value`` as one text file per row, below ``file_name=<name>``."""
-    files.select("file_name", "value").write.partitionBy("file_name").text(path)
+    """Write ``file_name, value`` as Parquet for transport: rows with equal names stay apart."""
+    files.select("file_name", "value").write.parquet(path)
+
+
+def best_delivery(observations: DataFrame, keys: tuple[str, ...] = ("file_name",)) -> DataFrame:
+    """One row per file of a table of deliveries: a good one if there is any."""
+    rest = [c for c in observations.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct(F.col("parse_error").isNotNull(), F.xxhash64(*rest)))
+    return observations.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
 
 
 def _number(text: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdance.operators.pairing import ordinal
-from verdance.plans.diurnal import COLUMNS
+from verdance.plans.diurnal import COLUMNS, HOUR_OF_NAME
 
 
 def write_observations(observations: DataFrame, path: str) -> None:
@@ -32,7 +32,7 @@ def write_diurnal_csv(diurnal: DataFrame, folder: str) -> str:
 
     Rows are in file name order. Returns the path.
     """
-    numbered = ordinal(diurnal.select("file_name", *COLUMNS), [], ["file_name"], "row")
+    numbered = ordinal(diurnal.select("file_name", *COLUMNS), [], ["file_name"], "row", cell=HOUR_OF_NAME)
     day = latest_day(numbered).first()["latest_day"]
     path = f"{folder.rstrip('/')}/{'NA' if day is None else day}sif.csv"
     numbered.select("row", *COLUMNS).orderBy("row").write.option("header", True).option(

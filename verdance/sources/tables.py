@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from verdance.functions import radiometry as R
 from verdance.functions.timekeys import file_name
 from verdance.profiles import DARK_MODEL_BANDS, ExposureRule, InstrumentProfile
-from verdance.sources.calibration import checked_broadcast, vectors
+from verdance.sources.calibration import vectors
 
 EMB = InstrumentProfile(
     name="emb64",
@@ -85,17 +85,20 @@ T2 = "2000000 + file_id % 100 * 5000"
 def observations(spark: SparkSession, sf_dir: str, instrument: str | None = None) -> DataFrame:
     """One row per file with nested spectra, as the raw reader yields them.
 
-    Files are assembled by one aggregation into a fixed number of row slots, so
-    a repeated row collapses in the map task and no group can grow. What is
-    shuffled is the stored vector, not the counts made of it.
+    Files are assembled by one hash aggregation into a set of at most ten different
+    rows, so a repeated row collapses in the map task; of two different rows with
+    one number the smaller stays. A row that is missing keeps its place as NULL,
+    so that no later row changes its channel. What is shuffled is the stored vector,
+    not the counts made of it.
     """
     flat = table(spark, sf_dir, "embeddings").selectExpr(
         f"{FILE_ID} AS file_id", f"vec_id % {ROWS} AS r", "embedding"
     )
     if instrument is not None:
         flat = flat.where(f"{INSTRUMENT} = '{instrument}'")
-    slots = flat.groupBy("file_id").agg(
-        *[F.expr(f"max(if(r = {k}, embedding, NULL)) AS e{k}") for k in range(ROWS)]
+    held = flat.groupBy("file_id").agg(F.expr("sort_array(collect_set(struct(r, embedding))) AS held"))
+    slots = held.selectExpr(
+        "file_id", *[f"get(filter(held, s -> s.r = {k}), 0).embedding AS e{k}" for k in range(ROWS)]
     )
     rows = ", ".join(f"e{k}" for k in range(ROWS))
     return slots.selectExpr(
@@ -107,7 +110,7 @@ def observations(spark: SparkSession, sf_dir: str, instrument: str | None = None
         f"{WAVELENGTH} AS wavelength",
         f"{dark_array('e0')} AS dark1",
         f"{dark_array('e1')} AS dark2",
-        f"transform(array_compact(array({rows})), e -> {counts('e')}) AS spectra",
+        f"transform(array({rows}), e -> {counts('e')}) AS spectra",
     )
 
 
@@ -138,8 +141,6 @@ def calibrated(
 ) -> DataFrame:
     """Observations with their calibration arrays."""
     dim = vectors(calibration(spark), band_width(spark) if per_pixel else None)
-    # two instruments, two rows
-    dim = checked_broadcast(dim, rows=2)
     return observations(spark, sf_dir, instrument).join(dim, "instrument", "left")
 
 

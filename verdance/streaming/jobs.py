@@ -35,13 +35,17 @@ def naive(ts: str) -> str:
 # --- running ------------------------------------------------------------------
 
 def start(
-    stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    partition_by: Sequence[str] = (),
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Write everything now available as Parquet, exactly once, then stop.
 
-    Run it again with the same checkpoint to take up only what is new. A new
-    checkpoint gets at most two state partitions per core: each one writes its
-    own state files in every batch, so more of them only cost time.
+    Run it again with the same checkpoint to take up only what is new. A checkpoint
+    keeps its number of state partitions for life: that of the session, or
+    ``state_partitions`` where a caller knows that its state stays small.
     """
     writer = (
         stream.writeStream.format("parquet")
@@ -52,21 +56,24 @@ def start(
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if state_partitions is None:
+        return writer.start()
     conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
     configured = conf.get(key)
-    cores = stream.sparkSession.sparkContext.defaultParallelism
-    conf.set(key, str(min(int(configured), 2 * cores)))
+    conf.set(key, str(state_partitions))
     try:
         return writer.start()  # the query keeps its own copy of the settings
     finally:
         conf.set(key, configured)
 
 
-def drain(stream: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def drain(
+    stream: DataFrame, label: str, partition_by: Sequence[str] = (), state_partitions: int | None = None
+) -> DataFrame:
     """Run to the end of the input into the shared scratch folder and read it back."""
     spark = stream.sparkSession
     base = scratch_path(spark, label)
-    query = start(stream, f"{base}/table", f"{base}/checkpoint", partition_by)
+    query = start(stream, f"{base}/table", f"{base}/checkpoint", partition_by, state_partitions)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
@@ -96,24 +103,28 @@ def ingest_folder(
     """Take up the files that arrived in ``landing`` since the last run.
 
     The file source never reads a path twice. With ``redelivery`` (for instance
-    ``'2 days'``) a name that arrives again under another path within that time
-    is dropped as well.
+    ``'2 days'``) a file that arrives again under another path within that time
+    is dropped as well. Only equal text under an equal name counts as a repeat: a
+    truncated upload does not keep out the whole file that follows, and two
+    stations may have a run in the same second. Time is that of the take-up, so
+    a back-fill with old modification times is never late.
     """
     files = raw.discover(spark, landing, streaming=True)
     if redelivery is not None:
-        files = drop_redelivered(files, "arrived", "file_name", redelivery)
+        files = files.selectExpr("*", "current_timestamp() AS taken_up", "sha2(value, 256) AS content")
+        files = drop_redelivered(files, "taken_up", ["file_name", "content"], redelivery).drop("taken_up", "content")
     return start(ingest(files), path, checkpoint, INGEST_FOLDERS)
 
 
 def drop_redelivered(
-    files: DataFrame, ts: str = "arrived", name: str = "file_name", delay: str = "1 day"
+    files: DataFrame, ts: str, keys: Sequence[str] = ("file_name",), delay: str = "1 day"
 ) -> DataFrame:
-    """Drop files whose name was seen within ``delay``; state is kept that long only.
+    """Drop files whose ``keys`` were seen within ``delay``; state is kept that long only.
 
-    Measured by arrival a file is never too late to be taken up, however old
-    its observation is.
+    ``ts`` should be the time of the take-up: by any other time a file can be
+    too late, and is then dropped by the watermark.
     """
-    return files.withWatermark(ts, delay).dropDuplicatesWithinWatermark([name])
+    return files.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 # --- windows and pairing -----------------------------------------------------------
@@ -128,7 +139,9 @@ def rollup(
 ) -> DataFrame:
     """Tumbling-window aggregates, one row per closed window and key.
 
-    Rows later than ``delay`` are dropped.
+    Append mode: rows later than ``delay`` are dropped and windows that the watermark
+    has not passed are not yet in the result. :func:`close_out` gives the same
+    rows for all windows from the table at rest.
     """
     aggs = [F.expr(f"{e} AS {n}") for n, e in values.items()]
     out = stream.withWatermark(ts, delay).groupBy(F.window(ts, every), *keys).agg(*aggs)
@@ -137,6 +150,15 @@ def rollup(
     )
 
 
+def close_out(
+    table: DataFrame, ts: str, every: str, keys: Sequence[str], values: Mapping[str, str]
+) -> DataFrame:
+    """The rows of :func:`rollup` from the table at rest: late rows and open windows included."""
+    aggs = [F.expr(f"{e} AS {n}") for n, e in values.items()]
+    out = table.where(f"{ts} IS NOT NULL").groupBy(F.window(ts, every), *keys).agg(*aggs)
+    return out.selectExpr(f"{naive('window.start')} AS window_start", *keys, *values)
+
+
 def pair_streams(
     left: DataFrame,
     right: DataFrame,

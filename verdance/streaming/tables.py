@@ -9,8 +9,8 @@ from verdance.streaming.jobs import instant
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table as a file stream."""
-    return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """One Parquet table as a file stream; as a pattern its path may be a file or a folder of part files."""
+    return spark.readStream.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}[.]parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
