@@ -82,6 +82,16 @@ def test_discovery_is_anchored(parsed):
     assert sorted({(r.instrument, r.run_kind) for r in rows}) == [("HR", "auto"), ("QE", "auto"), ("QE", "fixed")]
 
 
+def test_station_from_the_path(spark, tmp_path):
+    """Two stations with a run in the same second stay two files, and pair within their station only."""
+    for station in ("s1", "s2"):
+        (tmp_path / station).mkdir()
+        write(tmp_path / station, rf.name(T0, "QE_PRO_"), rf.qe_file(T0))
+    found = raw.discover(spark, str(tmp_path), station=r"/([^/]+)/[^/]+$")
+    rows = raw.parse(found, keep=("station",)).collect()
+    assert sorted((r.station, r.parse_error) for r in rows) == [("s1", None), ("s2", None)]
+
+
 def test_header_values(parsed):
     row = parsed.where(f"file_name = '{rf.name(T0, 'QE_PRO_')}'").first()
     assert rf.name(T0, "QE_PRO_") == "QE_PRO_Jul__8_16_00_40_2016.csv"

@@ -45,13 +45,17 @@ def pair_first_match(
     values: Sequence[str],
     row_id: str,
     prefix: str = "",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Every left row with the first right row of the same quarter-hour, else NULLs.
 
-    Rows without a bucket match nothing.
+    ``by`` names further keys, such as the station. Rows without a bucket, or
+    without one of these keys, match nothing.
     """
-    firsts = first_per_key(right.where(f"{bucket} IS NOT NULL"), [bucket], order, values, prefix)
-    return salted_left_join(left, firsts, [bucket], row_id)
+    keys = [*by, bucket]
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    firsts = first_per_key(right.where(known), keys, order, values, prefix)
+    return salted_left_join(left, firsts, keys, row_id)
 
 
 def ordinal(

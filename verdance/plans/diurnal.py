@@ -29,6 +29,26 @@ HOUR_OF_NAME = "substring(file_name, 1, 20)"
 _HEAD = ["file_name", "obs_ts", "ambient_t", "measurement_t"]
 
 
+def diurnal_long(obs: DataFrame, profile: InstrumentProfile) -> DataFrame:
+    """One row per file and pair, however many pairs a file has, with the full time.
+
+    The companion of the published wide table, which has five slots and a day of
+    the year: ``file_id, file_name, obs_ts, year, pair_no, status, sif, rsq``.
+    """
+    checked = obs.selectExpr("*", f"{shutter_status('dark1', profile)} AS shutter")
+    fits = fluorescence(checked, profile, ["file_id", "file_name", "obs_ts", "shutter"])
+    return fits.selectExpr(
+        "file_id",
+        "file_name",
+        "obs_ts",
+        "year(obs_ts) AS year",
+        "pair_no",
+        "if(shutter = 'ok', status, shutter) AS status",
+        "if(shutter = 'ok', sif, NULL) AS sif",
+        "if(shutter = 'ok', rsq, NULL) AS rsq",
+    )
+
+
 def diurnal(
     qe_obs: DataFrame,
     hr_obs: DataFrame,

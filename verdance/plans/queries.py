@@ -16,7 +16,7 @@ from verdance.functions import timekeys as K
 from verdance.functions.arrays import forward_difference, median
 from verdance.functions.lsq import fit_groups
 from verdance.operators import darkmodel, level1, offsets, pairing, panels, quality
-from verdance.plans.diurnal import COLUMNS, HOUR_OF_NAME, diurnal
+from verdance.plans.diurnal import COLUMNS, HOUR_OF_NAME, diurnal, diurnal_long as long_table
 from verdance.profiles import FIXED_RUN_US
 from verdance.session import scratch_path
 from verdance.sources import raw
@@ -476,6 +476,7 @@ def _arrivals(spark, sf, event_type: str) -> DataFrame:
         "event_id",
         "ts",
         "value",
+        "user_id % 4 AS station",
         "to_date(ts) AS day",
         f"{K.quarter_hour('ts')} AS bucket",
         f"{K.file_name('ts', prefix)} AS file_name",
@@ -522,6 +523,39 @@ def positional_pair(spark, sf):
     )
 
 
+@query
+def bucket_pair_by_station(spark, sf):
+    """The first click of the quarter-hour at the view's own station."""
+    out = pairing.pair_first_match(
+        _arrivals(spark, sf, "view"),
+        _arrivals(spark, sf, "click").withColumnRenamed("event_id", "partner"),
+        "bucket",
+        ["file_name", "partner"],
+        ["partner", "value"],
+        "event_id",
+        prefix="b_",
+        by=["station"],
+    )
+    return out.selectExpr("event_id", "station", "double(b_partner) AS b_event_id", r("b_value"))
+
+
+@query
+def positional_pair_by_station(spark, sf):
+    """n-th view of a station and day with the n-th click there."""
+    out = pairing.pair_by_position(
+        _arrivals(spark, sf, "view"),
+        _arrivals(spark, sf, "click"),
+        ["station", "day"],
+        ["file_name", "event_id"],
+        ["file_name", "event_id"],
+        ["event_id"],
+        prefix="b_",
+        left_cell=HOUR_OF_NAME,
+        right_cell=HOUR_OF_NAME,
+    )
+    return out.selectExpr("event_id", "station", "n", "double(b_event_id) AS b_event_id")
+
+
 @query
 def band_width(spark, sf):
     """Pixel widths from every file's wavelength axis."""
@@ -555,6 +589,15 @@ def diurnal_wide(spark, sf):
     return _rounded(diurnal(*_instruments(spark, sf), T.EMB, T.EMB_HR))
 
 
+@query
+def diurnal_long(spark, sf):
+    """All pairs of all files of the fluorescence instrument, with the full time."""
+    qe, _ = _instruments(spark, sf)
+    return long_table(qe, T.EMB).selectExpr(
+        "file_id", stamp("obs_ts", "obs_ts"), "double(year) AS year", "pair_no", "status", r("sif"), r("rsq")
+    )
+
+
 @query
 def diurnal_positional(spark, sf):
     return _rounded(diurnal(*_instruments(spark, sf), T.EMB, T.EMB_HR, pairing="position"))

@@ -35,12 +35,16 @@ HR_LINES = {"time": 1, "model": 3, "nl": 6, "wavelength": 7, "t1": 8, "t2": 9, "
 PROFILES = {"QE": QE, "HR": HR}
 
 
-def discover(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+def discover(
+    spark: SparkSession, path: str, streaming: bool = False, station: str | None = None
+) -> DataFrame:
     """CSV files below ``path``: ``file_name, arrived, value`` (the whole text).
 
     Files of any name come, so that a misnamed one ends in the quarantine as
     ``unknown_file`` and not nowhere. Whole days can be pruned by pointing
-    ``path`` at their folders.
+    ``path`` at their folders. ``station`` is a pattern whose first group takes
+    the station from the file's path; it becomes a column that :func:`parse`
+    carries with ``keep=("station",)`` and the pairings take as a further key.
     """
     reader = spark.readStream if streaming else spark.read
     files = (
@@ -50,11 +54,16 @@ def discover(spark: SparkSession, path: str, streaming: bool = False) -> DataFra
         .option("pathGlobFilter", "*.[cC][sS][vV]")
         .load(path)
     )
-    return files.selectExpr(
+    named = files.selectExpr(
         "_metadata.file_name AS file_name",
         "_metadata.file_modification_time AS arrived",
         "value",
+        "_metadata.file_path AS _path",
     )
+    if station is not None:
+        found = F.regexp_extract("_path", station, 1)
+        named = named.withColumn("station", F.when(found != "", found))
+    return named.drop("_path")
 
 
 def read_exported(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
