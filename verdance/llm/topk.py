@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -215,13 +215,24 @@ def _of_dimension(vectors: DataFrame, dim: int, every: int, k: int) -> DataFrame
         .mapInPandas(with_bounds, "q_block long, bounds binary, need double")
     )
     asking = cut(queries.join(bounds, "q_block"), "topk-asking")
-    # pairs of block numbers that can matter, before any data moves
-    numbers = cut(blocks.select("block", "longest").join(F.broadcast(heads), "block", "left_anti"), "topk-numbers")
-    pairs = asking.select("q_block", "need").join(numbers, F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("need"))
+    # pairs of block numbers that can matter, before any data moves; they meet by classes of length
+    numbers = blocks.select("block", "longest", _class(F.col("longest")).alias("class"))
+    numbers = cut(numbers.join(F.broadcast(heads), "block", "left_anti"), "topk-numbers")
+    low, high = numbers.agg(F.min("class"), F.max("class")).first()
+    if low is None:
+        return _merged(opened, k)
+    least = F.greatest(_class(F.col("need")) - 1, F.lit(low))
+    reached = asking.where(least <= high).select("q_block", "need", F.explode(F.sequence(least, F.lit(high))).alias("class"))
+    pairs = reached.join(numbers, "class").where(F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("need"))
     chosen = pairs.select("q_block", "block").join(blocks, "block").join(asking, "q_block")
     return _merged(opened.unionByName(_scored(chosen, turn, k)), k)
 
 
+def _class(length: Column) -> Column:
+    """Number of a class of lengths, four to a doubling; never falls as the length grows."""
+    return F.floor(F.log2(F.least(F.greatest(length, F.lit(1e-6)), F.lit(1e300))) * 4)
+
+
 def _query_ids(queries: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
