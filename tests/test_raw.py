@@ -82,6 +82,15 @@ def test_discovery_is_anchored(parsed):
     assert sorted({(r.instrument, r.run_kind) for r in rows}) == [("HR", "auto"), ("QE", "auto"), ("QE", "fixed")]
 
 
+def test_a_short_file_keeps_its_pairs(spark, parsed):
+    lines = rf.qe_file(T0).split("\n")
+    text = "\n".join(lines[: 13 + 8]) + "\n"
+    df = spark.createDataFrame([(rf.name(T0, "QE_PRO_"), text)], "file_name string, value string")
+    row = raw.parse(df).first()
+    assert (row.parse_error, row.n_rows, row.short_file) == (None, 8, True)
+    assert not any(r.short_file for r in raw.good(parsed).collect())
+
+
 def test_station_from_the_path(spark, tmp_path):
     """Two stations with a run in the same second stay two files, and pair within their station only."""
     for station in ("s1", "s2"):

@@ -34,9 +34,9 @@ def spectrum_series(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[s
 
 
 def sif_series(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]) -> DataFrame:
-    """Fluorescence line over the fit window."""
+    """Fluorescence line over the fit window; NULL values for a pair without a fit."""
     first = profile.window[0]
-    fits = fluorescence(obs, profile, keys).where("status = 'ok'")
+    fits = fluorescence(obs, profile, keys)
     rows = fits.join(obs.select(*keys, "wavelength"), list(keys)).selectExpr(
         *keys, "pair_no", "wavelength", "c0", "c1",
         f"explode(sequence(1, {profile.window_size})) AS x",

@@ -102,7 +102,8 @@ def parse(
     """``file_name, value`` to observations, one row per file, good or bad.
 
     ``obs_ts`` is the time in the file name, which is the pairing key;
-    ``header_ts`` the one in the header. ``keep`` names further columns to carry.
+    ``header_ts`` the one in the header. ``short_file`` tells a file that ends
+    behind a whole pair but too early: its pairs are used.  ``keep`` names further columns to carry.
     """
     rows = files.selectExpr(
         *keep,
@@ -149,14 +150,18 @@ def parse(
         f"{K.quarter_hour('obs_ts')} AS bucket_ts",
         "size(spectra) AS n_rows",
         f"{_problem(profiles)} AS parse_error",
+        f"size(spectra) < CASE instrument {_by_instrument(profiles, 'rows_per_file')} END AS short_file",
     ).drop("model")
 
 
+def _by_instrument(profiles: Mapping[str, InstrumentProfile], field: str) -> str:
+    return " ".join(f"WHEN '{i}' THEN {getattr(p, field)}" for i, p in profiles.items())
+
+
 def _problem(profiles: Mapping[str, InstrumentProfile]) -> str:
     """Name of the first defect of a file, NULL for a good one."""
     models = " ".join(f"WHEN '{i}' THEN '{m}'" for i, m in MODELS.items())
-    pixels = " ".join(f"WHEN '{i}' THEN {p.pixels}" for i, p in profiles.items())
-    n = f"(CASE instrument {pixels} END)"
+    n = f"(CASE instrument {_by_instrument(profiles, 'pixels')} END)"
     return f"""CASE
         WHEN instrument IS NULL THEN 'unknown_file'
         WHEN NOT coalesce(trim(model) = CASE instrument {models} END, false) THEN 'not_a_spectrum'
