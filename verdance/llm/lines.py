@@ -57,7 +57,7 @@ def islands(docs: DataFrame) -> DataFrame:
     )
     ids = cut(ids, "lines-ids")
     ranks = _numbered(ids, "lines-ranks")
-    repeated = ids.join(ranks, ["a", "b"]).drop("a", "b")
+    repeated = cut(ids.join(ranks, ["a", "b"]).drop("a", "b"), "lines-repeated")
     in_doc = Window.partitionBy(*_KEY).orderBy("n")
     marked = repeated.withColumn("island", F.col("n") - F.row_number().over(in_doc))
     so_far = Window.partitionBy(*_KEY, "island").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
@@ -105,8 +105,10 @@ def later_copies(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
         interval = placed.groupBy("length", "a", "b").agg(
             F.count("*").alias("times"), F.min(F.struct("d", "h", "n")).alias("earliest")
         )
-        late = placed.join(interval.where("times > 1").drop("times"), ["length", "a", "b"])
-        copies.append(late.where(F.struct("d", "h", "n") != F.col("earliest")).select(*_KEY, "n", "length"))
+        # between two tables Spark can split a hot interval
+        interval = cut(interval.where("times > 1").drop("times"), "lines-intervals")
+        late = placed.join(interval, ["length", "a", "b"]).where(F.struct("d", "h", "n") != F.col("earliest"))
+        copies.append(cut(late.select(*_KEY, "n", "length"), "lines-copies"))
         if 2 * half <= longest:
             further = Window.partitionBy(*_KEY, "island").orderBy("n")
             pairs = ranked.withColumn("b", F.lead("rank", half).over(further)).where("b is not null")
