@@ -7,8 +7,8 @@ kept inside a shrinking bracket, run over the histogram (source, size) -> docume
 
 Rates become whole copies by one pass of systematic rounding: along a source's documents in order of size the running
 sum of rates is rounded, so each document gets its rate rounded down or up and a source misses its target by less
-than its largest document; of ``OFFSETS`` starts of the running sum a source takes the one with the least miss. The running sums are dealt over size zones, size classes and hash cells, so no source
-and no size meets in one task. All sums behind the rounding are integers: reruns agree.
+than its largest document; of ``OFFSETS`` starts of the running sum a source takes the one with the least miss. The
+running sums are dealt over size zones, size classes and hash cells, so no source and no size meets in one task. All sums behind the rounding are integers: reruns agree.
 
 A null text has size 0, a null source is a source of its own, sources without words have target 0, documents without
 words keep rate 1. Repeated rows count each. An empty table gives an empty result.
