@@ -9,7 +9,7 @@ their sets' Jaccard similarity reaches the threshold; groups are the connected c
   misses every band with a probability below ``MISS``.
 * In each bucket all members are first compared with its hub, the member in most company over all its buckets. That
   is one comparison a member, and it joins most of a group of copies. What is left are pairs of one bucket that
-  lie in different components: those are compared block by block inside tasks, by their packed signatures and the
+  lie in different components: those are compared block by block inside tasks, by longer packed signatures and the
   known distances to a common hub. In ``BEST_ROUNDS`` rounds each member's best partner alone is confirmed, again one
   comparison a member; then all pairs that are still apart and may reach the threshold are.
 * Every link is confirmed on the full sets. None of these steps has a cap.
@@ -49,25 +49,28 @@ _ODD = _SEED.integers(0, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
 
 @dataclass(frozen=True)
 class Near:
-    """words per shingle, similarity in percent, band rows, number of minima kept as ``bits`` low bits each."""
+    """words per shingle, similarity in percent, band rows, number of minima kept as ``bits`` low bits each.
+
+    ``fine`` minima are kept of the documents that are compared block by block.
+    """
 
     words: int = 5
     percent: int = 80
     rows: int = 4
     minima: int = 256
     bits: int = 4
+    fine: int = 2048
 
     @property
     def bands(self) -> int:
         hit = (self.percent / 100) ** self.rows
         return math.ceil(math.log(MISS) / math.log1p(-min(hit, 1 - 1e-9)))
 
-    @property
-    def least_equal(self) -> int:
+    def least_equal(self, minima: int) -> int:
         """Equal low bits that a pair at the threshold has at least, ``SLACK`` standard errors below the mean."""
         p = self.percent / 100
         p += (1 - p) * 2.0**-self.bits
-        return max(0, math.floor(self.minima * p - SLACK * math.sqrt(self.minima * p * (1 - p))))
+        return max(0, math.floor(minima * p - SLACK * math.sqrt(minima * p * (1 - p))))
 
     def estimate(self, equal: Column) -> Column:
         """Similarity from the number of equal low bits, corrected for chance collisions."""
@@ -92,18 +95,27 @@ def _pack(low: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_or.reduce(lanes << (np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits)), axis=1)
 
 
-def _signature(grams: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and packed low bits."""
-    n = max(near.minima, near.bands * near.rows)
+def _minima(grams: np.ndarray, n: int) -> np.ndarray:
+    """The least of n hashes over the set."""
     minima = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(grams), 4096):
-        part = (grams[None, lo : lo + 4096] ^ _FLIP[:n, None]) * _ODD[:n, None]
+    step = (1 << 20) // n
+    for lo in range(0, len(grams), step):
+        part = (grams[None, lo : lo + step] ^ _FLIP[:n, None]) * _ODD[:n, None]
         np.minimum(minima, part.min(axis=1), out=minima)
+    return minima
+
+
+def _low(minima: np.ndarray, bits: int) -> np.ndarray:
+    return _pack(minima & np.uint64((1 << bits) - 1), bits).view(np.int64)
+
+
+def _signature(grams: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and packed low bits."""
+    minima = _minima(grams, max(near.minima, near.bands * near.rows))
     key = np.arange(near.bands, dtype=np.uint64)
     for column in minima[: near.bands * near.rows].reshape(near.bands, near.rows).T:
         key = tb.mix(key + column)
-    low = minima[: near.minima] & np.uint64((1 << near.bits) - 1)
-    return key.view(np.int64), _pack(low, near.bits).view(np.int64)
+    return key.view(np.int64), _low(minima[: near.minima], near.bits)
 
 
 def signatures(docs: DataFrame, near: Near) -> DataFrame:
@@ -152,6 +164,20 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
 
 
+def finer(sets: DataFrame, near: Near) -> DataFrame:
+    """doc_id and the low bits of ``near.fine`` minima of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, out = batch.column("grams"), []
+            for k in range(batch.num_rows):
+                own = grams.slice(k, 1).flatten().to_numpy().view(np.uint64)
+                out.append(_low(_minima(own, near.fine), near.bits))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "fine"])
+
+    return sets.select("doc_id", "grams").mapInArrow(run, "doc_id long, fine array<long>")
+
+
 def _equal_low_bits(near: Near, a: str, b: str) -> Column:
     """Number of equal minima, from the packed signatures, by bit counts."""
     lane = sum(1 << (near.bits * k) for k in range(64 // near.bits))
@@ -191,7 +217,7 @@ def _cross(members: DataFrame, near: Near, best: bool) -> DataFrame:
     """
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    fields = ("doc_id", "root", "n_shingles", "bands", "packed", "hub", "similar")
+    fields = ("doc_id", "root", "n_shingles", "bands", "fine", "hub", "similar")
     held = dealt.groupBy("band", "key", "block").agg(
         F.first("blocks").alias("blocks"), F.collect_list(F.struct(*fields)).alias("rows")
     )
@@ -199,11 +225,11 @@ def _cross(members: DataFrame, near: Near, best: bool) -> DataFrame:
     right = held.select("band", "key", F.col("block").alias("other"), F.col("rows").alias("y"))
     both = left.join(right, ["band", "key", "other"]).select("band", (F.col("block") == F.col("other")).alias("same"), "x", "y")
     lane = np.uint64(sum(1 << (near.bits * k) for k in range(64 // near.bits)))
-    share, most = near.percent / 100, near.minima - near.least_equal
+    share, least = near.percent / 100, near.least_equal(near.fine)
 
     def columns(rows: pa.Array) -> dict[str, np.ndarray]:
         own = {f: rows.field(f) for f in fields}
-        wide = {f: own[f].flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) for f in ("bands", "packed")}
+        wide = {f: own[f].flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) for f in ("bands", "fine")}
         plain = {f: own[f].fill_null(-1).to_numpy(zero_copy_only=False) for f in fields if f not in wide}
         return plain | wide
 
@@ -213,7 +239,7 @@ def _cross(members: DataFrame, near: Near, best: bool) -> DataFrame:
                 band, same = batch.column("band")[k].as_py(), batch.column("same")[k].as_py()
                 x = columns(batch.column("x").slice(k, 1).flatten())
                 y = x if same else columns(batch.column("y").slice(k, 1).flatten())
-                packed = y["packed"].view(np.uint64)
+                packed = y["fine"].view(np.uint64)
                 top_x, top_y = (np.full(len(z["doc_id"]), -1) for z in (x, y))
                 with_x, with_y = np.zeros(len(top_x), np.int64), np.zeros(len(top_y), np.int64)
                 for i in range(len(x["doc_id"])):
@@ -230,12 +256,12 @@ def _cross(members: DataFrame, near: Near, best: bool) -> DataFrame:
                     at = np.flatnonzero(ok)
                     if not len(at):
                         continue
-                    d = packed[at] ^ x["packed"].view(np.uint64)[i]
+                    d = packed[at] ^ x["fine"].view(np.uint64)[i]
                     folded = d.copy()
                     for s in range(1, near.bits):
                         folded |= d >> np.uint64(s)
-                    equal = near.minima - np.bitwise_count(folded & lane).sum(axis=1).astype(np.int64)
-                    at, equal = at[equal >= near.least_equal], equal[equal >= near.least_equal]
+                    equal = near.fine - np.bitwise_count(folded & lane).sum(axis=1).astype(np.int64)
+                    at, equal = at[equal >= least], equal[equal >= least]
                     if best and len(at):
                         k = int(equal.argmax())
                         if equal[k] > top_x[i]:
@@ -293,7 +319,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         spokes.join(one, "a")
         .join(two, "b")
         .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * near.percent)
-        .where(_equal_low_bits(near, "pa", "pb") >= near.least_equal)
+        .where(_equal_low_bits(near, "pa", "pb") >= near.least_equal(near.minima))
         .select("a", "b")
     )
     candidates = cut(members.select("doc_id").distinct(), "near-candidates")
@@ -306,7 +332,8 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
     nearest = compared.groupBy("b").agg(F.max_by(F.struct("a", "similar"), F.struct("similar", -F.col("a"))).alias("h"))
     known = nearest.select(F.col("b").alias("doc_id"), F.col("h.a").alias("hub"), F.col("h.similar").alias("similar"))
-    described = cut(nodes.join(candidates, "doc_id", "left_semi").join(known, "doc_id", "left"), "near-described")
+    described = nodes.drop("packed").join(finer(sets, near), "doc_id").join(known, "doc_id", "left")
+    described = cut(described, "near-described")
     for rounds in range(BEST_ROUNDS + 1):
         best = rounds < BEST_ROUNDS
         rooted = members.join(names.withColumnRenamed("node", "doc_id"), "doc_id")
