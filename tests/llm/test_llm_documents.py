@@ -290,7 +290,7 @@ def test_classifier_odd_rows(odd, none, spark):
     assert out.count() == odd.count() and out.columns.count("score") == 1
     empty = {r["score"] for r in out.where("text is null or text = ''").collect()}
     assert len(empty) == 1 and bytenet.scored(none, net).collect() == []
-    assert bytenet.scored(odd, net, accepted=True).columns == odd.columns
+    assert bytenet.accepted(odd, net).columns == odd.columns
     unlabelled = bytenet.trained(odd, labels.limit(0))
     assert {r["score"] for r in bytenet.scored(odd, unlabelled).collect()} == {0.5}
 

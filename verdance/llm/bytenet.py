@@ -15,7 +15,6 @@ share a doc_id are scored each; without any label every score is 0.5. An empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -185,26 +184,23 @@ def trained(docs: DataFrame, labels: DataFrame) -> Net:
     return fit([t for _, _, t in got], [min(max(q, 0), 1) for _, q, _ in got])
 
 
-def scored(docs: DataFrame, net: Net, columns: list[str] | None = None, accepted: bool = False) -> DataFrame:
-    """``columns`` of ``docs`` (all) with score and predicted; with ``accepted`` the rows that are predicted 1, as they are.
-
-    Columns of ``docs`` that are named score or predicted give way.
-    """
-    names = docs.columns if columns is None else columns
-    names = names if accepted else [c for c in names if c not in ("score", "predicted")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [net.score(buf, at) for _, _, buf, at in tb.slices(batch.column(len(names)), _SLICE)]
-            score = np.concatenate(parts) if parts else np.zeros(0)
-            good = score >= THRESHOLD
-            arrays = [batch.column(k) for k in range(len(names))]
-            if accepted:
-                yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(good))
-            else:
-                arrays += [pa.array(score, pa.float64()), pa.array(good.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "score", "predicted"])
-
-    more = [] if accepted else [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    schema = T.StructType([*[docs.schema[c] for c in names], *more])
-    return docs.select(*names, F.col("text").cast("string").alias("_scored_text")).mapInArrow(run, schema)
+def probability(net: Net) -> Column:
+    """The score of the column ``text``; only the text goes to Python, and only the score comes back."""
+
+    def run(text: pa.Array) -> pa.Array:
+        parts = [net.score(buf, at) for _, _, buf, at in tb.slices(text, _SLICE)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+
+    return F.arrow_udf(run, T.DoubleType())(F.col("text").cast("string"))
+
+
+def scored(docs: DataFrame, net: Net, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (all) with score and predicted; columns with these names give way."""
+    names = [c for c in columns or docs.columns if c not in ("score", "predicted")]
+    out = docs.select(*names, probability(net).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def accepted(docs: DataFrame, net: Net) -> DataFrame:
+    """The rows of ``docs`` that are predicted 1."""
+    return docs.where(probability(net) >= THRESHOLD)

@@ -117,7 +117,7 @@ class PrefixCounter:
                         when = max(together, x_made, y_made)
                         if when < x_until and when <= y_until:
                             got = False
-            if len(self.stay) < KEEP:
+            if len(self.stay) < KEEP // 2:
                 self.stay[a, b] = got
         return got
 
