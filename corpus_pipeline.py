@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that the classifier, trained on their own labels, predicts to be good."""
     ship(spark)
     net = bytenet.trained(docs, table(spark, sf_dir, "labels"))
-    return bytenet.scored(docs, net, accepted=True)
+    return bytenet.accepted(docs, net)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
