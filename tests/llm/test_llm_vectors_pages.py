@@ -120,6 +120,29 @@ def test_odd_pages(spark):
     assert wrapper.main_text(df.limit(0)).collect() == []
 
 
+def extracted(spark, rows):
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    return [r["text"] for r in wrapper.main_text(df).orderBy("page_id").collect()]
+
+
+def test_a_constant_paragraph_among_varying_ones(spark):
+    rows, want = [], []
+    for tag, least in (("article", 20), ("div", 4)):
+        for n in (4, 19, 20, 30):
+            for k in range(n):
+                rows.append((f"http://{tag}{n}/{k}", f"<{tag}><p>one {k}<p>Read our terms<p>two {k}</{tag}>"))
+                want.append(f"one {k}\nRead our terms\ntwo {k}" if n < least else f"one {k}\ntwo {k}")
+    # mostly copies
+    for k in range(40):
+        rows.append(("http://copies/", f"<div><p>text {max(k, 36)}<p>Read our terms</div>"))
+        want.append(f"text {max(k, 36)}")
+    # many constant ones, and others that rotate
+    for k in range(40):
+        rows.append(("http://many/", "<div>" + "".join(f"<p>terms {c}" for c in range(9)) + f"<p>buy {k % 4}<p>text {k}</div>"))
+        want.append(f"buy {k % 4}\ntext {k}")
+    assert extracted(spark, rows) == want
+
+
 def test_tree_matching_is_the_largest():
     assert wrapper.aligned("a(b(c d) e)", "a(b(d) x e)") == [0, 1, -1, 2, 4]
     assert wrapper.aligned("a(x b)", "a(b x(y z))") in ([0, 2, -1], [0, -1, 1])

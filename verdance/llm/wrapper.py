@@ -5,13 +5,14 @@
   have is the host's template; every other shape of the host is aligned to it by simple tree matching (the largest
   order-preserving match of nodes with equal names, by dynamic programming over the children). So all blocks of a host
   fall into slots: template nodes, or, where a node has no match, the node's own path.
-* Over all pages of a host a slot is counted: pages, different texts, the commonest text. A slot whose text hardly
-  varies is template; slots that vary are content.
+* Over the distinct pages of a host (copies count once) each text of a slot is counted. A text that is on most pages
+  that have the slot is template, and so are the often repeated ones where the slot's other texts hardly vary. All
+  other texts of the slot are content.
 * What markup itself calls navigation, header, footer, aside, form, notice, advert or comment is no content either.
-  Where pages have an article or main element, only blocks inside it are content, and there a slot has to be
-  constant on nearly all of many pages to count as template.
+  Where pages have an article or main element, only blocks inside it are content, and there a text has to be
+  on nearly all of many pages to count as template.
 
-Only counts per slot are gathered per host; no task sees the pages of a host together. Null html or a page without
+Only counts per slot and text are gathered per host; no task sees the pages of a host together. Null html or a page without
 content: empty text. A null or odd url: the host is empty. Broken markup is read as browsers read it in the common
 cases (unclosed paragraphs, list items and inline tags, stray end tags, unclosed comments). Repeated rows are returned
 each. An empty table gives an empty result.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from verdance.llm.common import cut
 
-#: With so many pages a slot is template if its commonest text is on that share of them, or its texts differ too little.
+#: With so many pages a slot's text is template if it is on that share of them, or if the slot's other texts differ too little.
 COMMON, VARIED, PAGES = 0.5, 0.2, 4
 #: The same inside an article.
 COMMON_INSIDE, PAGES_INSIDE = 0.8, 20
@@ -341,51 +342,67 @@ def _slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"host": b["host"], "shape": b["shape"], "pages": b["pages"], "slots": found})
 
 
-def templates(read: DataFrame) -> DataFrame:
-    """host, shape, slots, drop: for every shape of a host the slot of each node and whether it is template."""
-    shapes = read.groupBy("host", "shape").agg(F.count("*").alias("pages"))
-    shapes = cut(shapes, "wrapper-shapes")
+def slotted(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, host, page, s, blocks: slot, inside and a hash of the text) and the distinct pages of every slot."""
+    whole = read.select(
+        "row",
+        "host",
+        "shape",
+        F.xxhash64("shape").alias("s"),
+        F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("page"),
+        F.transform(
+            "blocks", lambda b: F.struct(b["node"].alias("node"), b["inside"].alias("inside"), F.xxhash64(b["text"]).alias("text"))
+        ).alias("blocks"),
+    )
+    # copies of a page are one page, in its first shape
+    pages = whole.groupBy("host", "page").agg(F.min("s").alias("s")).groupBy("host", "s").agg(F.count("*").alias("pages"))
+    shapes = whole.groupBy("host", "shape", "s").agg(F.count("*").alias("rows")).join(pages, ["host", "s"], "left")
+    shapes = cut(shapes.fillna(0, ["pages"]).drop("s", "rows"), "wrapper-shapes")
     commonest = shapes.groupBy("host").agg(F.max_by("shape", F.struct("pages", "shape")).alias("template"))
     placed = shapes.join(commonest, "host").select("host", "shape", "template", "pages")
     placed = placed.mapInPandas(_slots_of, "host string, shape string, pages long, slots array<long>")
     placed = cut(placed, "wrapper-slots")
-    found = F.array_distinct(
-        F.transform(
-            "blocks",
-            lambda b: F.struct(
-                F.element_at("slots", b["node"] + 1).alias("slot"),
-                b["inside"].alias("inside"),
-                F.xxhash64(b["text"]).alias("text"),
-            ),
-        )
-    )
-    texts = read.join(placed, ["host", "shape"]).select("host", F.explode(found).alias("f")).select("host", "f.*")
-    counted = texts.groupBy("host", "slot", "inside", "text").agg(F.count("*").alias("n"))
+    found = F.transform(
+        "blocks", lambda b: F.struct(F.element_at("slots", b["node"] + 1).alias("slot"), b["inside"].alias("inside"), b["text"].alias("text"))
+    )
+    placed_blocks = whole.join(placed.drop("pages"), ["host", "shape"]).select("row", "host", "page", "s", found.alias("blocks"))
+    having = placed.select("host", "pages", F.explode(F.array_distinct("slots")).alias("slot"))
+    having = having.groupBy("host", "slot").agg(F.sum("pages").alias("pages"))
+    return cut(placed_blocks, "wrapper-placed"), cut(having, "wrapper-having")
+
+
+def templates(placed: DataFrame, having: DataFrame) -> DataFrame:
+    """host, slot, text (a hash): the texts that are template in their slot."""
+    # one row of every distinct page
+    pages = placed.groupBy("host", "page").agg(F.min(F.struct("s", F.array_distinct("blocks").alias("found"))).alias("p"))
+    texts = pages.select("host", F.explode("p.found").alias("f")).select("host", "f.*")
+    counted = texts.groupBy("host", "slot", "text").agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
+    counted = cut(counted, "wrapper-texts").join(having, ["host", "slot"])
+    common = F.col("n") >= COMMON * F.col("pages")
+    # what is left in a slot without the texts of most pages
     stats = counted.groupBy("host", "slot").agg(
-        F.sum("n").alias("texts"),
-        F.count("*").alias("different"),
-        F.max("n").alias("top"),
-        F.max("inside").alias("inside"),
+        F.max("inside").alias("any_inside"),
+        F.coalesce(F.sum(F.when(~common, F.col("n"))), F.lit(0)).alias("texts"),
+        F.count(F.when(~common, F.lit(1))).alias("different"),
     )
-    having = placed.select("host", "pages", F.explode(F.array_distinct("slots")).alias("slot"))
-    stats = stats.join(having.groupBy("host", "slot").agg(F.sum("pages").alias("pages")), ["host", "slot"])
-    repeated = (F.col("top") >= COMMON * F.col("pages")) | (F.col("different") < VARIED * F.col("texts"))
+    rotating = (F.col("different") < VARIED * F.col("texts")) & (VARIED * F.col("n") >= 1)
     fixed = F.when(
-        F.col("inside"), (F.col("pages") >= PAGES_INSIDE) & (F.col("top") >= COMMON_INSIDE * F.col("pages"))
-    ).otherwise((F.col("pages") >= PAGES) & repeated)
-    # slots of one template; where nothing varies there is nothing to tell content by, and all of it stays
-    dropped = stats.groupBy("host").agg(
-        F.collect_set(F.when(fixed, F.col("slot"))).alias("template"), F.every(fixed).alias("none_varies")
-    )
-    joined = placed.join(dropped.where("not none_varies"), "host", "left")
-    drop = F.transform("slots", lambda s: F.coalesce(F.array_contains("template", s), F.lit(False)))
-    return cut(joined.select("host", "shape", drop.alias("drop")), "wrapper-templates")
+        F.col("any_inside"), (F.col("pages") >= PAGES_INSIDE) & (F.col("n") >= COMMON_INSIDE * F.col("pages"))
+    ).otherwise((F.col("pages") >= PAGES) & (common | rotating))
+    judged = cut(counted.join(stats, ["host", "slot"]).select("host", "slot", "text", fixed.alias("fixed")), "wrapper-judged")
+    # where nothing varies there is nothing to tell content by, and all of it stays
+    varying = judged.where("not fixed").select("host").distinct()
+    return cut(judged.where("fixed").join(varying, "host", "left_semi").drop("fixed"), "wrapper-templates")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: a row for every row of ``pages``."""
-    read = cut(read_pages(pages), "wrapper-pages")
-    kept = F.filter("blocks", lambda b: ~F.element_at("drop", b["node"] + 1))
-    joined = read.join(templates(read), ["host", "shape"], "left")
+    read = cut(read_pages(pages).withColumn("row", F.monotonically_increasing_id()), "wrapper-pages")
+    placed, having = slotted(read)
+    blocks = placed.select("row", "host", F.posexplode("blocks").alias("at", "b")).select("row", "host", "at", "b.slot", "b.text")
+    gone = blocks.join(templates(placed, having), ["host", "slot", "text"]).groupBy("row").agg(F.collect_list("at").alias("gone"))
+    left = F.filter("blocks", lambda b, i: ~F.array_contains("gone", i))
+    kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(left)
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    joined = read.join(gone, "row", "left")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
