@@ -143,6 +143,25 @@ def test_a_constant_paragraph_among_varying_ones(spark):
     assert extracted(spark, rows) == want
 
 
+@pytest.mark.parametrize("n", [1, 3, 30])
+def test_hints_do_not_cut_most_of_a_page(spark, n):
+    wraps = ["<form>{}</form>", '<div class="with-sidebar">{}</div>', '<div id="widget-page">{}</div>', '<form><div class="no-comments">{}</div></form>']
+    wraps += ['<article><h1>a</h1><div class="has-sidebar">{}</div></article>', '<div style="display:none">{}</div>']
+    rows, want = [], []
+    for w, wrap in enumerate(wraps):
+        for k in range(n):
+            body = f"<p>a first long text with the number {k} in it<p>the second with {k}<nav>to {k}</nav><div class=ad>buy {k}</div>"
+            rows.append((f"http://w{w}/{k}", wrap.format(body)))
+            title = "a\n" * (w == 4 and n < 20)
+            want.append(f"{title}a first long text with the number {k} in it\nthe second with {k}")
+    for k in range(n):  # mostly links, and groups none of which holds most
+        rows.append((f"http://links/{k}", f"<ul><li><a>the one {k}</a><li><a>another {k}</a></ul><p>see {k}"))
+        want.append(f"the one {k}\nanother {k}\nsee {k}")
+        rows.append((f"http://parts/{k}", f"<form>same {k}</form><aside>size {k}</aside>"))
+        want.append(f"same {k}\nsize {k}")
+    assert extracted(spark, rows) == want
+
+
 def test_tree_matching_is_the_largest():
     assert wrapper.aligned("a(b(c d) e)", "a(b(d) x e)") == [0, 1, -1, 2, 4]
     assert wrapper.aligned("a(x b)", "a(b x(y z))") in ([0, 2, -1], [0, -1, 1])

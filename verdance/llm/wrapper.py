@@ -8,7 +8,9 @@
 * Over the distinct pages of a host (copies count once) each text of a slot is counted. A text that is on most pages
   that have the slot is template, and so are the often repeated ones where the slot's other texts hardly vary. All
   other texts of the slot are content.
-* What markup itself calls navigation, header, footer, aside, form, notice, advert or comment is no content either.
+* What markup itself calls navigation, header, footer, aside, form, notice, advert or comment, what is hidden, and
+  outside articles blocks that are mostly links, is weighed by the text of the page that is no template: it is content if
+  it holds more than half of that text, else it is left out, unless nothing else is there.
   Where pages have an article or main element, only blocks inside it are content, and there a text has to be
   on nearly all of many pages to count as template.
 
@@ -46,7 +48,7 @@ BLOCK = frozenset(
     " footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table"
     " tbody td tfoot th thead tr ul".split()
 )
-#: Elements that are never content.
+#: Elements that are no content, block elements unless they hold most of the page.
 OUT = frozenset(
     "script style noscript template nav footer aside form iframe object embed svg math canvas button select option"
     " textarea input label dialog menu head title search fieldset".split()
@@ -93,7 +95,7 @@ class Node:
 
 @lru_cache(100_000)
 def _described(tag: str, attributes: str) -> tuple[str, bool, int]:
-    """Name in the shape, whether the element is no content by itself, and whether its class says so (2: a header)."""
+    """Name in the shape, whether the element itself hints at no content, and whether its class does (2: a header)."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
     words = " ".join((found.get("class", ""), found.get("id", "")))
     parts = {p.lower() for p in _PARTS.findall(words)}
@@ -180,8 +182,16 @@ def parse(markup: str) -> Node:
     return root
 
 
-def _holds_article(node: Node) -> bool:
-    return (node.tag in ("article", "main") and not node.hint) or any(map(_holds_article, node.kids))
+def _holding_article(root: Node) -> set[int]:
+    """The nodes (by id) that are or hold an article or main element."""
+    nodes = [root]
+    for node in nodes:
+        nodes.extend(node.kids)
+    holding: set[int] = set()
+    for node in reversed(nodes):
+        if (node.tag in ("article", "main") and not node.hint) or any(id(kid) in holding for kid in node.kids):
+            holding.add(id(node))
+    return holding
 
 
 def _folded(node: Node, number: dict[int, int], same: list[Node], shape: list[str], counter: list[int]) -> None:
@@ -203,51 +213,63 @@ def _folded(node: Node, number: dict[int, int], same: list[Node], shape: list[st
         shape.append(")")
 
 
-def blocks(markup: str) -> tuple[str, bool, list[tuple[int, bool, str]]]:
-    """Shape, whether there is an article, and the blocks: (node of the shape, inside the article, text).
+def blocks(markup: str) -> tuple[str, bool, list[tuple[int, bool, int, str]], list[int]]:
+    """Shape, whether there is an article, the blocks: (node of the shape, inside the article, group, text), and groups.
 
-    Blocks that markup itself calls no content are left out.
+    A group is what markup itself calls no content: a hinted node of the shape, or outside articles the blocks of a node
+    that are mostly links. A block has the innermost group it is in (-1: none), a group the group around it, which comes
+    before it.
     """
     root = parse(markup)
     number: dict[int, int] = {}
     shape: list[str] = []
     _folded(root, number, [root], shape, [0])
-    found: list[tuple[Node, Node | None, str]] = []
-    size: dict[int, int] = {}
-
-    def walk(node: Node, article: Node | None) -> None:
-        if not node.hint and (node.tag == "main" or (node.tag == "article" and article is None)):
-            article = node
-        pieces: list[str] = []
+    holding = _holding_article(root)
+    groups: dict[tuple[int, int], int] = {}
+    found: list[tuple[Node, Node | None, int, str]] = []
+    size: dict[int, list[int]] = {}  # characters of an article without and with a group
+    pieces: list[str] = []
+    linked = 0
+
+    def flush(node: Node, article: Node | None, group: int) -> None:
+        nonlocal linked
+        line = " ".join("".join(pieces).split())
+        if line:
+            if article is not None:
+                size.setdefault(id(article), [0, 0])[group >= 0] += len(line)
+            elif linked >= 0.6 * len(line):
+                group = groups.setdefault((-1 - number[id(node)], group), len(groups))
+            found.append((node, article, group, line))
+        pieces.clear()
         linked = 0
 
-        def flush() -> None:
-            nonlocal linked
-            line = " ".join("".join(pieces).split())
-            if line and (article is not None or linked < 0.6 * len(line)):
-                found.append((node, article, line))
-                if article is not None:
-                    size[id(article)] = size.get(id(article), 0) + len(line)
-            pieces.clear()
-            linked = 0
-
-        for item in node.items:
-            if isinstance(item, Node):
-                flush()
-                header = item.tag == "header" or item.hint == 2
-                skip = item.out or item.hint == 1 or (header and article is None)
-                if skip and (article is not None or not _holds_article(item)):
-                    continue
-                walk(item, article)
-            else:
+    stack = [(root, iter(root.items), None, -1)]
+    while stack:
+        node, items, article, group = stack[-1]
+        for item in items:
+            if not isinstance(item, Node):
                 pieces.append(item[0])
                 linked += len(item[0]) * item[1]
-        flush()
+                continue
+            flush(node, article, group)
+            header = item.tag == "header" or item.hint == 2
+            hinted = item.out or item.hint == 1 or (header and article is None)
+            inner, own = group, article
+            if hinted and (article is not None or id(item) not in holding):
+                inner = groups.setdefault((number[id(item)], group), len(groups))
+            if not item.hint and (item.tag == "main" or (item.tag == "article" and article is None)):
+                own = item
+            stack.append((item, iter(item.items), own, inner))
+            break
+        else:
+            flush(node, article, group)
+            stack.pop()
 
-    walk(root, None)
-    main = max(size, key=lambda k: size[k], default=None)
-    rows = [(number[id(n)], a is not None and id(a) == main, line) for n, a, line in found]
-    return "".join(shape), main is not None, rows
+    # what is in a group makes an article large only if it is most of it
+    weight = {k: plain if plain >= hinted else plain + hinted for k, (plain, hinted) in size.items()}
+    main = max(weight, key=lambda k: weight[k], default=None)
+    rows = [(number[id(n)], a is not None and id(a) == main, g, line) for n, a, g, line in found]
+    return "".join(shape), main is not None, rows, [around for _, around in groups]
 
 
 def tree(shape: str) -> list[tuple[str, list[int], int]]:
@@ -316,23 +338,25 @@ def slots(shape: str, template: str) -> list[int]:
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, shape, blocks (node, inside, text) of every page."""
-    kind = pa.list_(pa.struct([("node", pa.int32()), ("inside", pa.bool_()), ("text", pa.string())]))
+    """page_id, url, host, shape, blocks (node, inside, group, text) and groups of every page."""
+    kind = pa.list_(pa.struct([("node", pa.int32()), ("inside", pa.bool_()), ("group", pa.int32()), ("text", pa.string())]))
+    numbers = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
                 hosts = [(_HOST.match(u or "") or [None, ""])[1].lower() for u in batch.column("url").to_pylist()]
-                shapes, rows = [], []
+                shapes, rows, around = [], [], []
                 for markup in batch.column("html").to_pylist():
-                    shape, article, found = blocks(markup or "")
+                    shape, article, found, groups = blocks(markup or "")
                     shapes.append(shape)
-                    rows.append([{"node": n, "inside": i, "text": t} for n, i, t in found if i or not article])
-                arrays = [batch.column("page_id"), batch.column("url"), pa.array(hosts), pa.array(shapes), pa.array(rows, kind)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "shape", "blocks"])
+                    rows.append([{"node": n, "inside": i, "group": g, "text": t} for n, i, g, t in found if i or not article])
+                    around.append(groups)
+                arrays = [batch.column("page_id"), batch.column("url"), pa.array(hosts), pa.array(shapes), pa.array(rows, kind), pa.array(around, numbers)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "host", "shape", "blocks", "groups"])
 
-    schema = "page_id long, url string, host string, shape string, blocks array<struct<node:int,inside:boolean,text:string>>"
+    schema = "page_id long, url string, host string, shape string, blocks array<struct<node:int,inside:boolean,group:int,text:string>>, groups array<int>"
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, schema)
 
 
@@ -395,14 +419,39 @@ def templates(placed: DataFrame, having: DataFrame) -> DataFrame:
     return cut(judged.where("fixed").join(varying, "host", "left_semi").drop("fixed"), "wrapper-templates")
 
 
+def content(blocks: list[dict], groups: list[int], gone: list[int]) -> str:
+    """The text of a page without the blocks ``gone``, and without the groups that don't hold most of what is left."""
+    template = set(gone)
+    left = [b for at, b in enumerate(blocks) if at not in template]
+    held = [0] * len(groups)
+    for b in left:
+        if b["group"] >= 0:
+            held[b["group"]] += len(b["text"])
+    for g in range(len(groups) - 1, -1, -1):
+        if groups[g] >= 0:
+            held[groups[g]] += held[g]
+    whole = sum(len(b["text"]) for b in left)
+    kept = [b["text"] for b in left if b["group"] < 0 or 2 * held[b["group"]] > whole]
+    # hints that leave nothing tell nothing apart
+    return "\n".join(kept or [b["text"] for b in left])
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 500):
+            batch = whole.slice(lo, 500)
+            columns = [batch.column(c).to_pylist() for c in ("blocks", "groups", "gone")]
+            texts = [content(b, g, gone or []) for b, g, gone in zip(*columns, strict=True)]
+            arrays = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text"])
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: a row for every row of ``pages``."""
     read = cut(read_pages(pages).withColumn("row", F.monotonically_increasing_id()), "wrapper-pages")
     placed, having = slotted(read)
     blocks = placed.select("row", "host", F.posexplode("blocks").alias("at", "b")).select("row", "host", "at", "b.slot", "b.text")
     gone = blocks.join(templates(placed, having), ["host", "slot", "text"]).groupBy("row").agg(F.collect_list("at").alias("gone"))
-    left = F.filter("blocks", lambda b, i: ~F.array_contains("gone", i))
-    kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(left)
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    joined = read.join(gone, "row", "left")
-    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    joined = read.join(gone, "row", "left").select("page_id", "url", "blocks", "groups", "gone")
+    text = joined.mapInArrow(_contents, "page_id long, url string, text string")
+    return text.withColumn("n_chars", F.length("text").cast("long"))
