@@ -216,6 +216,28 @@ def test_quality_rules_keep_good_documents(spark, sf_dir, documents):
     assert known[known.quality == 0].kept.mean() < 0.6
 
 
+def test_an_outlier_in_each_single_statistic(spark):
+    r = Random(5)
+
+    def prose(n, least=3, most=7):
+        return ["".join(r.choices("abcdefghijkl", k=r.randint(least, most))) for _ in range(n)]
+
+    texts = [" ".join(prose(r.randint(150, 250))) for _ in range(100)]
+    short, long = " ".join(prose(12)), " ".join(prose(5000))
+    wide = " ".join(prose(200, 14, 18))
+    symbols = " ".join(w + "#" * (k % 4 == 0) for k, w in enumerate(prose(200)))
+    line = prose(2)
+    dup_lines = "\n".join([" ".join(prose(1) + line[:1])] + [" ".join(prose(6)) + "\n" + line[1] for _ in range(28)])
+    # 38 of 200 words in repeated windows of five
+    again = prose(19)
+    repeated = " ".join(again + prose(162) + again)
+    odd = [short, long, wide, symbols, dup_lines, repeated]
+    df = frame(spark, [(k, t, "en", "a") for k, t in enumerate(texts + odd)])
+    out = robust.judged(df).toPandas().set_index("doc_id").sort_index()
+    assert not out.base_failed.any() and out.loc[105, "n_repeat_words"] == 38
+    assert out.loc[:99, "kept"].mean() > 0.98 and not out.loc[100:, "kept"].any()
+
+
 # ---- repeated strings
 
 

@@ -8,8 +8,8 @@ Mahalanobis distance passes ``CUTOFF``.
 The estimate starts from medians and median deviations and takes ``STEPS`` concentration steps. A step needs one
 aggregation: documents are counted by group and distance bin together with their moments, and the moments of the bins
 that hold the nearest ``CORE`` of the group are the next estimate. So a group, however large, is reduced in its tasks
-to a row per bin. ``FLOOR`` is the spread that a statistic is granted at least: a group of near-identical documents
-rejects nobody for a small difference.
+to a row per bin. ``FLOOR`` is the spread that a statistic is granted at least, about the smallest difference it can tell
+in a short document: a group of near-identical documents rejects nobody for that. A larger spread gets nothing added.
 
 Groups under ``LEAST`` documents are pooled by language, and what then is still under it over all languages; a pool
 under it judges nobody. Null text: no words, base_failed. Null language or source: a group of its own. Repeated rows
@@ -33,8 +33,8 @@ from verdance.llm.common import cut
 LEAST = 40
 CORE = 0.75
 STEPS = 6
-#: Squared distance that a document may have; five normal statistics pass it once in a million times.
-CUTOFF = 36.0
+#: Squared distance that a document may have: 99.99 % quantile of the chi-squared distribution with five degrees of freedom.
+CUTOFF = 25.7448
 #: 75 % quantile of the chi-squared distribution with five degrees of freedom, to which the core is scaled.
 _CORE_QUANTILE = 6.6257
 #: Bins of a statistic, and of the logarithm of a distance, for medians and quantiles.
@@ -44,11 +44,11 @@ SYMBOLS = b"#*$%&|<>"
 
 #: The transformed statistics and the least spread of each.
 VECTOR = {
-    "ln(n_words)": 1.2,
-    "ln(word_chars / n_words)": 0.15,
-    "ln(1 + 100 * n_symbols / n_words)": 0.5,
-    "ln(1 + 100 * n_dup_lines / n_words)": 0.7,
-    "ln(1 + 100 * n_repeat_words / n_words)": 0.9,
+    "ln(n_words)": 0.1,
+    "ln(word_chars / n_words)": 0.1,
+    "ln(1 + 100 * n_symbols / n_words)": 0.4,
+    "ln(1 + 100 * n_dup_lines / n_words)": 0.4,
+    "ln(1 + 100 * n_repeat_words / n_words)": 0.58,
 }
 FLOOR = np.array(list(VECTOR.values()))
 P = len(FLOOR)
@@ -167,11 +167,17 @@ def _start(vectors: DataFrame) -> DataFrame:
     return spread.groupBy("group").agg(ordered.alias("s")).select("group", F.col("s.median").alias("centre"), F.col("s.mad").alias("mad"))
 
 
+def _white(cov: np.ndarray) -> np.ndarray:
+    """Turns a difference into unit coordinates of ``cov``, whose axes get the least spread where theirs is smaller."""
+    values, axes = np.linalg.eigh(cov / np.outer(FLOOR, FLOOR))
+    wide = (axes * np.maximum(values, 1.0)) @ axes.T * np.outer(FLOOR, FLOOR)
+    return np.linalg.inv(np.linalg.cholesky(wide)).ravel()
+
+
 def _white_of_mad(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        scale = [np.sqrt((1.4826 * np.array(m)) ** 2 + FLOOR**2) for m in b["mad"]]
-        white = [np.diag(1 / s).ravel() for s in scale]
-        yield pd.DataFrame({"group": b["group"], "centre": b["centre"], "white": white})
+        white = [_white(np.diag((1.4826 * np.array(m)) ** 2)) for m in b["mad"]]
+        yield pd.DataFrame({"group": b["group"], "centre": b["centre"], "white": white, "scale": 1.0})
 
 
 def _white_of_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,9 +187,10 @@ def _white_of_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
             centre, cov = np.array(r.sums) / r.n, np.zeros((P, P))
             for (i, j), s in zip(_PAIRS, r.products, strict=True):
                 cov[i, j] = cov[j, i] = s / r.n - centre[i] * centre[j]
-            cov = cov * max(1.0, r.edge / _CORE_QUANTILE) + np.diag(FLOOR**2)
-            out.append((r.group, centre, np.linalg.inv(np.linalg.cholesky(cov)).ravel()))
-        yield pd.DataFrame(out, columns=["group", "centre", "white"])
+            # the edge was measured with the last step's scale in it
+            scale = max(1.0, r.scale * r.edge / _CORE_QUANTILE)
+            out.append((r.group, centre, _white(cov * scale), scale))
+        yield pd.DataFrame(out, columns=["group", "centre", "white", "scale"])
 
 
 def _distance() -> Column:
@@ -194,7 +201,7 @@ def _distance() -> Column:
     return F.expr(" + ".join(f"pow({t}, 2)" for t in turned))
 
 
-_MODEL = "group string, centre array<double>, white array<double>"
+_MODEL = "group string, centre array<double>, white array<double>, scale double"
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
@@ -205,7 +212,7 @@ def estimates(vectors: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         near = vectors.join(model, "group").withColumn("d", _distance())
         near = near.withColumn("bin", F.floor(F.ln(F.greatest("d", F.lit(1e-6))) / _BIN))
-        binned = near.groupBy("group", "bin").agg(F.count("*").alias("n"), F.max("d").alias("far"), *sums, *products)
+        binned = near.groupBy("group", "bin").agg(F.count("*").alias("n"), F.max("d").alias("far"), F.max("scale").alias("scale"), *sums, *products)
         up_to = Window.partitionBy("group").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy("group")
         core = binned.withColumns(
@@ -214,6 +221,7 @@ def estimates(vectors: DataFrame) -> DataFrame:
         moments = core.groupBy("group").agg(
             F.sum("n").alias("n"),
             F.max("far").alias("edge"),
+            F.max("scale").alias("scale"),
             F.array(*[F.sum(f"s{i}") for i in range(P)]).alias("sums"),
             F.array(*[F.sum(f"p{i}_{j}") for i, j in _PAIRS]).alias("products"),
         )
