@@ -70,6 +70,22 @@ def test_line_dedup_like_all_runs(spark, texts):
     assert sorted(rows_of(got)) == want
 
 
+def test_line_dedup_of_a_repeated_row(spark):
+    run = "a b\nc d\ne f"
+    rows = [(1, f"x1\n{run}\ny1"), (2, f"x2\n{run}\ny2"), (2, f"x2\n{run}\ny2"), (3, f"x3\n{run}\ny3")]
+    rows += [(None, f"x0\nm n\no p\nq r\n{k}") for k in (8, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, rows[0][1], 5, 0), *[(k, f"x{k}\ny{k}", 5, 3) for k in (2, 2, 3)]]
+    got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.deduplicated(df).select("row.doc_id", "text", "n_lines", "n_removed").collect()]
+    assert sorted(g for g in got if g[0]) == want
+    # one of the two texts without an id is the first
+    left = sorted((g[3], g[1][-1]) for g in got if g[0] is None)
+    assert left in ([(0, "8"), (0, "8"), (4, "9")], [(0, "9"), (4, "8"), (4, "8")])
+    # the same where the repeated row holds the first copy
+    df = spark.createDataFrame([rows[1], rows[1], rows[3]], "doc_id long, text string")
+    assert sorted(r.n_removed for r in lines.deduplicated(df).collect()) == [0, 0, 3]
+
+
 def test_line_dedup_odd_rows(odd, none):
     out = lines.without_copies(odd)
     assert out.columns == odd.columns and set(out.select("d", "row").distinct().collect()) == {("x", "x")}

@@ -128,7 +128,8 @@ def deduplicated(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """row (all columns of ``docs`` as they were), text without the later copies, n_lines, n_removed."""
     text = F.col("text").cast("string")
     keyed = docs.select(F.struct("*").alias("row"), text.alias("text"), *[c.alias(k) for k, c in _key(docs).items()])
-    gone = later_copies(keyed.select(*_KEY, "text"), least).groupBy(*_KEY).agg(F.collect_list("n").alias("gone"))
+    once = keyed.select(*_KEY, "text").dropDuplicates(_KEY)
+    gone = later_copies(once, least).groupBy(*_KEY).agg(F.collect_list("n").alias("gone"))
     joined = keyed.join(gone, _KEY, "left").withColumn("lines", F.split("text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     shorter = F.array_join(F.transform(left, lambda i: F.element_at("lines", i + 1)), "\n")
