@@ -162,6 +162,13 @@ def test_hints_do_not_cut_most_of_a_page(spark, n):
     assert extracted(spark, rows) == want
 
 
+def test_thousands_of_nested_elements(spark):
+    opened = ["<div>" * 5000, "<blockquote>" * 5000, "<article>" + "<section>" * 5000, "<form>" * 5000, "<div class=menu>" * 5000]
+    rows = [("http://deep/", f"{tags}deep {k}") for k, tags in enumerate(opened)]
+    rows += [("http://deep/", "<div>" * 4990 + "<p>x" + "<div>" * 20 + "end")]
+    assert extracted(spark, rows) == [f"deep {k}" for k in range(5)] + ["x\nend"]
+
+
 def test_tree_matching_is_the_largest():
     assert wrapper.aligned("a(b(c d) e)", "a(b(d) x e)") == [0, 1, -1, 2, 4]
     assert wrapper.aligned("a(x b)", "a(b x(y z))") in ([0, 2, -1], [0, -1, 1])

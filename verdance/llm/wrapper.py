@@ -194,23 +194,31 @@ def _holding_article(root: Node) -> set[int]:
     return holding
 
 
-def _folded(node: Node, number: dict[int, int], same: list[Node], shape: list[str], counter: list[int]) -> None:
-    """Writes the shape of nodes that fold into one, and numbers them in the order of the shape."""
-    for n in same:
-        number[id(n)] = counter[0]
-    counter[0] += 1
-    shape.append(node.name)
-    groups: dict[str, list[Node]] = {}
-    for n in same:
-        for kid in n.kids:
-            groups.setdefault(kid.name, []).append(kid)
-    if groups:
-        shape.append("(")
-        for k, group in enumerate(groups.values()):
-            if k:
-                shape.append(" ")
-            _folded(group[0], number, group, shape, counter)
-        shape.append(")")
+def _folded(root: Node) -> tuple[str, dict[int, int]]:
+    """The shape of the tree, and the number of every node (by id): nodes that fold into one have one, in shape order."""
+    number: dict[int, int] = {}
+    shape: list[str] = []
+    todo: list[str | list[Node]] = [[root]]
+    count = 0
+    while todo:
+        same = todo.pop()
+        if isinstance(same, str):
+            shape.append(same)
+            continue
+        for n in same:
+            number[id(n)] = count
+        count += 1
+        shape.append(same[0].name)
+        folded: dict[str, list[Node]] = {}
+        for n in same:
+            for kid in n.kids:
+                folded.setdefault(kid.name, []).append(kid)
+        if folded:
+            todo.append(")")
+            for k, kids in reversed(list(enumerate(folded.values()))):
+                todo.append(kids)
+                todo.append(" " if k else "(")
+    return "".join(shape), number
 
 
 def blocks(markup: str) -> tuple[str, bool, list[tuple[int, bool, int, str]], list[int]]:
@@ -221,9 +229,7 @@ def blocks(markup: str) -> tuple[str, bool, list[tuple[int, bool, int, str]], li
     before it.
     """
     root = parse(markup)
-    number: dict[int, int] = {}
-    shape: list[str] = []
-    _folded(root, number, [root], shape, [0])
+    shape, number = _folded(root)
     holding = _holding_article(root)
     groups: dict[tuple[int, int], int] = {}
     found: list[tuple[Node, Node | None, int, str]] = []
@@ -269,7 +275,7 @@ def blocks(markup: str) -> tuple[str, bool, list[tuple[int, bool, int, str]], li
     weight = {k: plain if plain >= hinted else plain + hinted for k, (plain, hinted) in size.items()}
     main = max(weight, key=lambda k: weight[k], default=None)
     rows = [(number[id(n)], a is not None and id(a) == main, g, line) for n, a, g, line in found]
-    return "".join(shape), main is not None, rows, [around for _, around in groups]
+    return shape, main is not None, rows, [around for _, around in groups]
 
 
 def tree(shape: str) -> list[tuple[str, list[int], int]]:
@@ -292,27 +298,31 @@ def tree(shape: str) -> list[tuple[str, list[int], int]]:
 def aligned(shape: str, template: str) -> list[int]:
     """For every node of ``shape`` the node of ``template`` that simple tree matching gives it, or -1."""
     one, two = tree(shape), tree(template)
-    known: dict[tuple[int, int], list[list[int]]] = {}
-
-    def table(a: int, b: int) -> list[list[int]]:
-        """Sizes of the best matches of the first i children of a and j children of b."""
-        if (a, b) not in known:
-            x, y = one[a][1], two[b][1]
-            t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-            for i in range(1, len(x) + 1):
-                for j in range(1, len(y) + 1):
-                    t[i][j] = max(t[i - 1][j], t[i][j - 1], t[i - 1][j - 1] + match(x[i - 1], y[j - 1]))
-            known[a, b] = t
-        return known[a, b]
-
-    def match(a: int, b: int) -> int:
-        return table(a, b)[-1][-1] + 1 if one[a][0] == two[b][0] else 0
-
     out = [-1] * len(one)
-
-    def assign(a: int, b: int) -> None:
+    if not one or not two or one[0][0] != two[0][0]:
+        return out
+    # pairs of nodes that can match, parents before children
+    pairs = [(0, 0)]
+    for a, b in pairs:
+        named: dict[str, list[int]] = {}
+        for j in two[b][1]:
+            named.setdefault(two[j][0], []).append(j)
+        pairs.extend((i, j) for i in one[a][1] for j in named.get(one[i][0], ()))
+    size: dict[tuple[int, int], int] = {}
+    # sizes of the best matches of the first i children of a and j children of b
+    tables: dict[tuple[int, int], list[list[int]]] = {}
+    for a, b in reversed(pairs):
+        x, y = one[a][1], two[b][1]
+        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                t[i][j] = max(t[i - 1][j], t[i][j - 1], t[i - 1][j - 1] + size.get((x[i - 1], y[j - 1]), 0))
+        tables[a, b], size[a, b] = t, t[-1][-1] + 1
+    todo = [(0, 0)]
+    while todo:
+        a, b = todo.pop()
         out[a] = b
-        t, x, y = table(a, b), one[a][1], two[b][1]
+        t, x, y = tables[a, b], one[a][1], two[b][1]
         i, j = len(x), len(y)
         while i and j:
             if t[i][j] == t[i - 1][j]:
@@ -321,20 +331,17 @@ def aligned(shape: str, template: str) -> list[int]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                assign(x[i], y[j])
-
-    if one and two and match(0, 0):
-        assign(0, 0)
+                todo.append((x[i], y[j]))
     return out
 
 
 def slots(shape: str, template: str) -> list[int]:
     """A slot for every node of the shape: its template node, or a number below 0 that stands for its path."""
     nodes, match = tree(shape), aligned(shape, template)
-    paths: list[str] = []
+    paths: list[int] = []  # hashes, each of the parent's and the name
     for name, _, parent in nodes:
-        paths.append(f"{paths[parent]}/{name}" if parent >= 0 else name)
-    return [m if m >= 0 else -1 - (xxhash.xxh3_64_intdigest(p) >> 1) for m, p in zip(match, paths, strict=True)]
+        paths.append(xxhash.xxh3_64_intdigest(f"{paths[parent]}/{name}" if parent >= 0 else name))
+    return [m if m >= 0 else -1 - (p >> 1) for m, p in zip(match, paths, strict=True)]
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
@@ -367,7 +374,7 @@ def _slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def slotted(read: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, host, page, s, blocks: slot, inside and a hash of the text) and the distinct pages of every slot."""
+    """Rows (row, host, is_first: no copy of an earlier row, blocks: slot, inside, a hash of the text); pages of every slot."""
     whole = read.select(
         "row",
         "host",
@@ -378,8 +385,11 @@ def slotted(read: DataFrame) -> tuple[DataFrame, DataFrame]:
             "blocks", lambda b: F.struct(b["node"].alias("node"), b["inside"].alias("inside"), F.xxhash64(b["text"]).alias("text"))
         ).alias("blocks"),
     )
-    # copies of a page are one page, in its first shape
-    pages = whole.groupBy("host", "page").agg(F.min("s").alias("s")).groupBy("host", "s").agg(F.count("*").alias("pages"))
+    # copies of a page are one page, its first row
+    copied = whole.groupBy("host", "page").agg(F.min("row").alias("first"), F.count("*").alias("times")).where("times > 1")
+    copied = cut(copied.drop("times"), "wrapper-copied")
+    single = whole.join(copied, ["host", "page"], "left").where("first is null or row = first")
+    pages = single.groupBy("host", "s").agg(F.count("*").alias("pages"))
     shapes = whole.groupBy("host", "shape", "s").agg(F.count("*").alias("rows")).join(pages, ["host", "s"], "left")
     shapes = cut(shapes.fillna(0, ["pages"]).drop("s", "rows"), "wrapper-shapes")
     commonest = shapes.groupBy("host").agg(F.max_by("shape", F.struct("pages", "shape")).alias("template"))
@@ -389,25 +399,30 @@ def slotted(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = F.transform(
         "blocks", lambda b: F.struct(F.element_at("slots", b["node"] + 1).alias("slot"), b["inside"].alias("inside"), b["text"].alias("text"))
     )
-    placed_blocks = whole.join(placed.drop("pages"), ["host", "shape"]).select("row", "host", "page", "s", found.alias("blocks"))
+    placed_blocks = whole.join(placed.drop("pages"), ["host", "shape"]).join(copied, ["host", "page"], "left")
+    is_first = F.col("first").isNull() | (F.col("row") == F.col("first"))
+    placed_blocks = placed_blocks.select("row", "host", is_first.alias("is_first"), found.alias("blocks"))
     having = placed.select("host", "pages", F.explode(F.array_distinct("slots")).alias("slot"))
     having = having.groupBy("host", "slot").agg(F.sum("pages").alias("pages"))
-    return cut(placed_blocks, "wrapper-placed"), cut(having, "wrapper-having")
+    return placed_blocks, cut(having, "wrapper-having")
 
 
 def templates(placed: DataFrame, having: DataFrame) -> DataFrame:
     """host, slot, text (a hash): the texts that are template in their slot."""
-    # one row of every distinct page
-    pages = placed.groupBy("host", "page").agg(F.min(F.struct("s", F.array_distinct("blocks").alias("found"))).alias("p"))
-    texts = pages.select("host", F.explode("p.found").alias("f")).select("host", "f.*")
+    texts = placed.where("is_first").select("host", F.explode(F.array_distinct("blocks")).alias("f")).select("host", "f.*")
     counted = texts.groupBy("host", "slot", "text").agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
+    # a text of one page is never template: those of a slot are one row
+    often = F.when(F.col("n") > 1, F.col("text")).alias("text")
+    counted = counted.groupBy("host", "slot", often).agg(
+        F.max("n").alias("n"), F.count("*").alias("times"), F.max("inside").alias("inside")
+    )
     counted = cut(counted, "wrapper-texts").join(having, ["host", "slot"])
     common = F.col("n") >= COMMON * F.col("pages")
     # what is left in a slot without the texts of most pages
     stats = counted.groupBy("host", "slot").agg(
         F.max("inside").alias("any_inside"),
-        F.coalesce(F.sum(F.when(~common, F.col("n"))), F.lit(0)).alias("texts"),
-        F.count(F.when(~common, F.lit(1))).alias("different"),
+        F.coalesce(F.sum(F.when(~common, F.col("n") * F.col("times"))), F.lit(0)).alias("texts"),
+        F.coalesce(F.sum(F.when(~common, F.col("times"))), F.lit(0)).alias("different"),
     )
     rotating = (F.col("different") < VARIED * F.col("texts")) & (VARIED * F.col("n") >= 1)
     fixed = F.when(
