@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdance.llm import bytenet, lines, minhash, mixing, packing, repeats, robust, tokens, topk, wrapper
+from verdance.llm import (
+    bytenet,
+    language,
+    lines,
+    minhash,
+    mixing,
+    negatives,
+    packing,
+    periodic,
+    repeats,
+    robust,
+    tokens,
+    topk,
+    wrapper,
+)
 from verdance.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +93,23 @@ def op9_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Near(words=3, percent=85))
+
+
+@query
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predicted(docs, language.trained(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(negatives.labelled(table(spark, sf_dir, "embeddings"), moved))
+
+
+ORACLE["op12_hard_negatives"] = negatives.ORACLE
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.planted(table(spark, sf_dir, "documents")))
