@@ -172,6 +172,25 @@ def test_word_ids_like_the_library(parts):
     assert got == own_words.encode(text, add_special_tokens=False).ids
 
 
+def test_a_word_of_a_megabyte_and_bounded_tables(monkeypatch):
+    import random
+
+    r = random.Random(4)
+    word = "".join(r.choice("abcdefghijklmnop") for _ in range(1_000_000))
+    own = tokens.WordIds(WORDS)
+    texts = [word, word[:300] + " " + word[:256] + "12,;" + "!" * 700, "short words stay", "é" * 400 + "Σ" * 300]
+    assert own.encode(texts) == [own.by_library(t) for t in texts]
+    assert word not in own.known and "short" in own.known
+    monkeypatch.setattr(tokens, "KEEP", 30 * tokens.ENTRY)
+    own, counter = tokens.WordIds(WORDS), tokens.PrefixCounter(BYTE)
+    texts = [" ".join("".join(r.choice("abcdef") for _ in range(9)) for _ in range(300)) for _ in range(4)]
+    assert own.encode(texts) == [own.by_library(t) for t in texts]
+    library = Tokenizer.from_file(BYTE)
+    assert [counter.count(t) for t in texts] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(own.known) <= 31 and len(counter.words) + len(counter.tables) + len(counter.stay) <= 60
+
+
+
 def test_token_counts_of_documents(spark, documents, odd, none):
     got = tokens.token_counts(spark.createDataFrame(documents), BYTE).toPandas().set_index("doc_id")
     for i, t in documents[["doc_id", "text"]].itertuples(index=False):

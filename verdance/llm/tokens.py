@@ -10,8 +10,11 @@ tables are kept; a text's prefixes are its pieces' tables behind a running sum.
 ``WordIds`` gives the ids of the word tokenizer. White space only separates there, so the ids of a text are those of
 its space-separated words in order; words seen for the first time are handed to the library together.
 
-Both keep the results of a bounded number of words (``KEEP``) in a worker: the first it meets, among them all common
-ones. Other words are worked out each time.
+Both keep the results of words in a worker, the first it meets, among them all common ones, up to a bound in bytes
+(``KEEP``). Other words, and words of more than ``LONG`` bytes, are worked out each time; the ids of a long piece come
+from the library, whose merges are not quadratic in its length.
+
+Rows that share a doc_id, or have none, are counted each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose tables a worker keeps.
-KEEP = 1_000_000
+#: Bytes that a worker's table of words takes, with what a dictionary entry needs besides its text.
+KEEP, ENTRY = 64 << 20, 200
+#: Bytes of a piece that is kept, and that is merged together with others.
+LONG = 256
 
 #: The pattern of the byte-level tokenizer; a fixed value of its file format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -72,8 +77,16 @@ class PrefixCounter:
         self.tables: dict[str, tuple[int, ...]] = {}
         self.edges: dict[bytes, tuple[list[_Edge], list[_Edge]] | None] = {}
         self.stay: dict[tuple[bytes, bytes], bool] = {}
+        self.held = 0
         self.words = _Counts(self)
 
+    def room(self, size: int) -> bool:
+        """Whether an entry of so many bytes still fits; it then counts as held."""
+        if size > 16 * LONG or self.held > KEEP:
+            return False
+        self.held += size + ENTRY
+        return True
+
     def merged(self, piece: bytes, down_to: int = 1) -> list[bytes]:
         """The tokens of a piece by its merges, lowest rank first, until there are ``down_to``."""
         parts = [piece[k : k + 1] for k in range(len(piece))]
@@ -117,7 +130,7 @@ class PrefixCounter:
                         when = max(together, x_made, y_made)
                         if when < x_until and when <= y_until:
                             got = False
-            if len(self.stay) < KEEP // 2:
+            if self.room(0):
                 self.stay[a, b] = got
         return got
 
@@ -149,7 +162,7 @@ class PrefixCounter:
         got = self.tables.get(piece)
         if got is None:
             got = self.prefixes(piece)
-            if len(self.tables) < KEEP // 4:
+            if self.room(9 * len(got)):
                 self.tables[piece] = got
         return got
 
@@ -237,7 +250,7 @@ class _Counts(dict):
 
     def __missing__(self, word: str) -> int:
         got = self._new(word, " ")
-        if len(self) < KEEP:
+        if self.counter.room(len(word)):
             self[word] = got
         return got
 
@@ -245,7 +258,7 @@ class _Counts(dict):
         got = self.heads.get(word)
         if got is None:
             got = self._new(word, "")
-            if len(self.heads) < KEEP // 4:
+            if self.counter.room(len(word)):
                 self.heads[word] = got
         return got
 
@@ -332,6 +345,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
         self.merges = PieceMerges(path)
         self.pattern = regex.compile(WORD_SPLIT)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -344,27 +358,34 @@ class WordIds:
         """Ids of words: those of their pieces, which are merged together."""
         find = self.pattern.findall
         split = {w: find(w.replace("\u03a3", "\u03c3").lower()) for w in words}  # the library has no final sigma
-        pieces = list(set().union(*split.values()))
+        every = set().union(*split.values())
+        pieces = [p for p in every if len(p) <= LONG]
         ids, at = self.merges(pieces)
         data, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
         own = {p: data[at[k] : at[k + 1]] for k, p in enumerate(pieces)}
+        own |= {p: self.by_library(p) for p in every if len(p) > LONG}
         return {w: own[p[0]] if len(p) == 1 else b"".join([own[x] for x in p]) for w, p in split.items()}
 
+    def by_library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if self.plain(t) else None for t in texts]
         known = self.known
         fresh = self.learned(set().union(*filter(None, split)).difference(known))
-        full = len(known) + len(fresh) > KEEP
         known.update(fresh)
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                out.append(self.by_library(text))
             else:
                 out.append(b"".join(map(known.__getitem__, words)))
-        if full:
-            for word in fresh:
+        for word, ids in fresh.items():
+            size = ENTRY + len(word) + len(ids)
+            if self.held + size > KEEP or size > ENTRY + 16 * LONG:
                 del known[word]
+            else:
+                self.held += size
         return out
 
 
