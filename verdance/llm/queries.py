@@ -69,7 +69,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+    left = repeats.without_repeats(table(spark, sf_dir, "documents"), text=True)
+    # the bytes that are left; a character cut in two shows as a replacement character
+    return left.select("*", F.make_valid_utf8(F.col("kept").cast("string")).alias("text")).drop("kept")
 
 
 @query
