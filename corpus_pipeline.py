@@ -4,6 +4,12 @@ Every stage works on all rows that the one before kept. Documents that the quali
 are later copies of repeated runs go, and with them texts that consist of nothing else; of near copies the document with
 the smallest doc_id stays; the mix repeats or leaves out documents by source; the last stage places what is left in
 training sequences.
+
+A null or empty text gets the score of the network's bias in the first stage; if it stays, line dedup leaves it, it is
+linked with nothing, its size in the mix is 0, and packed it is one piece that holds the end id. Repeated rows are scored
+each, are one document to line and near dedup, of which one stays, and are mixed and packed by what is left. A null
+source is a source of its own. Columns besides those of documents are carried to the last stage, whatever their names.
+An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -18,10 +24,19 @@ from verdance.llm.common import cut, ship, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Bytes of an Arrow batch: texts differ so much in length that a number of rows bounds nothing.
+BATCH = "8m"
+
+
+def workers(spark: SparkSession) -> None:
+    """Python workers that know the package and take small batches."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that the classifier, trained on their own labels, predicts to be good."""
-    ship(spark)
+    workers(spark)
     net = bytenet.trained(docs, table(spark, sf_dir, "labels"))
     return bytenet.accepted(docs, net)
 
@@ -33,7 +48,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: one document of each group of near copies, five words and a similarity of 0.8."""
-    ship(spark)
+    workers(spark)
     return minhash.first_of_each(docs, minhash.Near(words=5, percent=80))
 
 
@@ -44,7 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: the documents' pieces with their places in sequences of 4096 tokens."""
-    ship(spark)
+    workers(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
