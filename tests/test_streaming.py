@@ -143,3 +143,75 @@ def test_instant_reads_naive_times_as_utc(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert row.us == int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
     assert row.back == "2016-07-18 16:00:40"
+
+
+# ---- published tables
+
+
+def daily(path):
+    from verdance.streaming import published
+
+    values = {"n": published.COUNT, "total": published.total("v"), "first": published.first_by(["name"], ["v"])}
+    return published.Windows(str(path), "at", "1 day", ("instrument",), values)
+
+
+def test_published_days_hold_late_rows_and_open_windows(spark, tmp_path):
+    from verdance.streaming import published
+
+    hours = dt.timedelta(hours=1)
+    batches = [
+        [("QE", "b", T0, 1.0), ("QE", "a", T0 + 40 * hours, 5.0), ("HR", "x", None, 7.0)],
+        [("QE", "c", T0 + 41 * hours, 7.0)],
+        [("QE", "a", T0 - 7 * hours, 100.0), (None, "z", T0 + 90 * hours, None)],
+    ]
+    schema = "instrument string, name string, ts timestamp_ntz, v double"
+    stream = as_stream(spark, tmp_path / "in", batches, schema).selectExpr("*", f"{jobs.instant('ts')} AS at")
+    table = daily(tmp_path / "table")
+    published.publish(stream, table, str(tmp_path / "c")).awaitTermination()
+    rows = spark.createDataFrame([], stream.schema)
+
+    def seen():
+        out = table.read(spark, rows).collect()
+        return {(r.window_start.date(), r.instrument): (r.n, r.total, r.first["v_v"]) for r in out}
+
+    want = {
+        (T0.date(), "QE"): (2, 101.0, 100.0),
+        ((T0 + 40 * hours).date(), "QE"): (2, 12.0, 5.0),
+        ((T0 + 90 * hours).date(), None): (1, None, None),
+    }
+    assert seen() == want
+
+    # a batch that is run again changes nothing, and touches its own days only
+    again = spark.createDataFrame(batches[2], schema).selectExpr("*", f"{jobs.instant('ts')} AS at")
+    day = tmp_path / "table" / "published" / f"day={(T0 + 40 * hours).date()}"
+    before = sorted(p.name for p in day.iterdir())
+    table.take(again, 2)
+    assert seen() == want
+    assert sorted(p.name for p in day.iterdir()) == before
+    table.take(again, 3)
+    assert seen()[T0.date(), "QE"] == (3, 201.0, 100.0)
+
+
+def test_published_pairs_take_up_a_late_partner(spark, tmp_path):
+    from verdance.streaming import published
+
+    mins = dt.timedelta(minutes=1)
+    schema = "id int, kind string, station string, name string, ts timestamp_ntz"
+    batches = [
+        [(1, "a", "s", "p", T0), (2, "a", "s", "q", T0 + 20 * mins), (3, "a", "t", "r", T0), (4, "a", None, "r", T0)],
+        [(11, "b", "s", "n", T0 + mins), (12, "b", "t", "n", T0 + 1500 * mins), (13, "b", None, "n", T0)],
+        [(14, "b", "s", "m", T0 - 30 / 60 * mins), (15, "b", "s", "z", T0 + 21 * mins), (5, "a", "s", "u", None)],
+    ]
+    table = published.Pairs(str(tmp_path / "t"), "at", "kind = 'a'", "id", ("id",), ("name",), ("id", "name"), "b_", ("station",))
+    frames = [spark.createDataFrame(b, schema).selectExpr("*", f"{jobs.instant('ts')} AS at") for b in batches]
+
+    def seen():
+        return {r.id: r.b_id for r in table.read(spark, frames[0].limit(0)).collect()}
+
+    table.take(frames[0], 0)
+    assert seen() == {1: None, 2: None, 3: None, 4: None}
+    table.take(frames[1], 1)
+    assert seen() == {1: 11, 2: None, 3: None, 4: None}
+    for _ in range(2):
+        table.take(frames[2], 2)
+        assert seen() == {1: 14, 2: 15, 3: None, 4: None}

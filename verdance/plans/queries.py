@@ -22,7 +22,7 @@ from verdance.session import scratch_path
 from verdance.sources import raw
 from verdance.sources import tables as T
 from verdance.sources.sinks import latest_day
-from verdance.streaming import jobs
+from verdance.streaming import jobs, published
 from verdance.streaming import tables as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -796,6 +796,33 @@ def stream_pair(spark, sf):
     )
 
 
+@query
+def stream_daily_closed(spark, sf):
+    """Daily means of all events: late rows and open days are in the published table."""
+    table = lambda path: published.Windows(
+        path, "at", "1 day", ("event_type",),
+        {"n": published.COUNT, "total": published.total("value"), "n_value": published.counted("value")},
+    )
+    out = published.published(streams.events(spark, sf), table, "daily-closed")
+    return out.selectExpr(
+        stamp("window_start", "day"), "event_type", "n", r("try_divide(total, n_value)", 6, "mean_value")
+    )
+
+
+@query
+def stream_pair_closed(spark, sf):
+    """All views with the first click of their quarter-hour, open quarter-hours and late clicks included."""
+    rows = streams.events(spark, sf).where("event_type IN ('view', 'click')")
+    rows = rows.selectExpr("*", f"{K.file_name('ts', repr(K.PREFIX['HR']))} AS file_name")
+    table = lambda path: published.Pairs(
+        path, "at", "event_type = 'view'", "event_id", ("event_id",), ("file_name", "event_id"), ("event_id", "value"), "b_"
+    )
+    out = published.published(rows, table, "pair-closed")
+    return out.selectExpr(
+        "event_id", stamp("bucket_ts", "bucket"), "double(b_event_id) AS b_event_id", r("b_value")
+    )
+
+
 @query
 def stream_dedup(spark, sf):
     """Every third file is delivered again; each name is kept once."""
