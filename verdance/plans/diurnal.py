@@ -29,13 +29,21 @@ HOUR_OF_NAME = "substring(file_name, 1, 20)"
 _HEAD = ["file_name", "obs_ts", "ambient_t", "measurement_t"]
 
 
+def _checks(obs: DataFrame, profile: InstrumentProfile) -> str:
+    """Status of a file before its fit: of the shutter, then of the calibration where versions were attached."""
+    shutter = shutter_status("dark1", profile)
+    if "calibration_status" not in obs.columns:
+        return shutter
+    return f"if({shutter} = 'ok', calibration_status, {shutter})"
+
+
 def diurnal_long(obs: DataFrame, profile: InstrumentProfile) -> DataFrame:
     """One row per file and pair, however many pairs a file has, with the full time.
 
     The companion of the published wide table, which has five slots and a day of
     the year: ``file_id, file_name, obs_ts, year, pair_no, status, sif, rsq``.
     """
-    checked = obs.selectExpr("*", f"{shutter_status('dark1', profile)} AS shutter")
+    checked = obs.selectExpr("*", f"{_checks(obs, profile)} AS shutter")
     fits = fluorescence(checked, profile, ["file_id", "file_name", "obs_ts", "shutter"])
     return fits.selectExpr(
         "file_id",
@@ -68,7 +76,7 @@ def diurnal(
     """
     if pairing not in ("bucket", "position"):
         raise ValueError(f"unknown pairing: {pairing}")
-    checked = qe_obs.selectExpr("*", f"{shutter_status('dark1', qe)} AS shutter")
+    checked = qe_obs.selectExpr("*", f"{_checks(qe_obs, qe)} AS shutter")
     checked = checked.withColumn("spectra", F.expr("if(shutter = 'ok', spectra, NULL)"))
     head = reference_values(checked, qe, "irr_750_QE", n_pairs=PAIRS)
     held = ["file_id", *_HEAD, "shutter", *_QE]

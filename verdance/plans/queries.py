@@ -21,6 +21,7 @@ from verdance.profiles import FIXED_RUN_US
 from verdance.session import scratch_path
 from verdance.sources import raw
 from verdance.sources import tables as T
+from verdance.sources.calibration import in_force
 from verdance.sources.sinks import latest_day
 from verdance.streaming import jobs, published
 from verdance.streaming import tables as streams
@@ -175,6 +176,30 @@ def flux_arrays(spark, sf):
     )
 
 
+@query
+def calibration_as_of(spark, sf):
+    """Irradiance at the reference pixel by the version of the calibration in force at the file's time."""
+    obs = T.calibrated_in_force(spark, sf)
+    return level1.reference_values(obs, T.EMB, "irr").selectExpr(
+        "file_id",
+        f"coalesce({TIME.format('valid_from')}, 'none') AS valid_from",
+        "calibration_status",
+        *[r(f"irr{k}") for k in range(1, 6)],
+    )
+
+
+@query
+def version_in_force(spark, sf):
+    """Every event with the last of its type's four versions that began before it, two of them on one day."""
+    marks = ("2024-01-03 05:00:00", "2024-01-12 17:07:30", "2024-01-12 23:00:00", "2024-01-25 00:00:00")
+    events = T.table(spark, sf, "events").selectExpr("event_id", "event_type", "ts")
+    kinds = events.select("event_type").distinct()
+    listed = ", ".join(f"timestamp_ntz'{m}'" for m in marks)
+    versions = kinds.selectExpr("event_type", f"explode(array({listed})) AS valid_from")
+    out = in_force(events, versions, "ts", ["event_type"])
+    return out.selectExpr("event_id", f"coalesce({TIME.format('valid_from')}, 'none') AS valid_from")
+
+
 @query
 def reflectance(spark, sf):
     px = level1.pair_pixels(T.calibrated(spark, sf), T.EMB, ["file_id"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from verdance.functions import radiometry as R
 from verdance.functions.timekeys import file_name
 from verdance.profiles import DARK_MODEL_BANDS, ExposureRule, InstrumentProfile
-from verdance.sources.calibration import vectors
+from verdance.sources.calibration import attach_in_force, vectors
 
 EMB = InstrumentProfile(
     name="emb64",
@@ -33,6 +33,7 @@ EMB_HR = EMB.variant(
 EMB_HR_RAD_FIRST = EMB_HR.variant(name="emb64hrk", channel_order="rad_irr")
 EMB_RAD_FIRST = EMB.variant(name="emb64k", channel_order="rad_irr", dark="plain")
 
+PIXELS = {"QE": EMB.pixels, "HR": EMB_HR.pixels}
 ROWS = EMB.rows_per_file
 FILE_ID = f"vec_id div {ROWS}"
 INSTRUMENT = "if(file_id % 2 = 0, 'QE', 'HR')"
@@ -140,10 +141,26 @@ def calibrated(
     spark: SparkSession, sf_dir: str, instrument: str | None = None, per_pixel: bool = False
 ) -> DataFrame:
     """Observations with their calibration arrays."""
-    dim = vectors(calibration(spark), band_width(spark) if per_pixel else None)
+    dim = vectors(calibration(spark), band_width(spark) if per_pixel else None, PIXELS)
     return observations(spark, sf_dir, instrument).join(dim, "instrument", "left")
 
 
+def calibration_versions(spark: SparkSession) -> DataFrame:
+    """Three versions of each stand-in calibration, half an hour apart between the instruments."""
+    first = "if(instrument = 'QE', timestamp_ntz'2024-01-01 00:30:00', timestamp_ntz'2024-01-01 01:00:00')"
+    return calibration(spark).selectExpr("*", "explode(sequence(0, 2)) AS version").selectExpr(
+        "instrument", "channel", "pixel",
+        f"{first} + make_dt_interval(0, version) AS valid_from",
+        "coef * (1 + version * 0.1D) AS coef",
+    )
+
+
+def calibrated_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with time, name and the calibration in force."""
+    obs = dated(observations(spark, sf_dir), spark, sf_dir)
+    return attach_in_force(obs, vectors(calibration_versions(spark), pixels=PIXELS))
+
+
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header values by file, taken from the event of the same number."""
     prefix = "if(file_id % 2 = 0, 'QE_PRO_', 'HR2000PLUS_')"
