@@ -148,3 +148,67 @@ def test_missing_irradiance_counts_as_zero(cases):
     got = cases["gap_irr"]
     assert got.status == "ok"
     np.testing.assert_allclose([got.c0, got.c1, got.c2, got.c3], beta, rtol=1e-6)
+
+
+def test_merged_sums_are_those_of_all_rows(spark):
+    """Groups with shifts of their own, some far apart, merged in one and in two steps; empty groups and null keys."""
+    from verdance.functions.lsq import fit_sums, merge_sums, solve_sums
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for day in range(4):
+        for part in range(6):
+            for _ in range(40 if part else 0):
+                x, e = rng.uniform(-1, 1), 150 + 30 * part * (day != 2) + rng.normal()
+                y = 1.2 + 0.004 * x + (0.35 + 0.01 * x) * e + rng.normal() * 0.1
+                rows.append((day if day else None, part, float(x), float(e), float(y)))
+        rows.append((day if day else None, 0, 1.0, None, 2.0))
+    df = spark.createDataFrame(rows, "day int, part int, x double, e double, y double")
+    for own in ({}, {"e_shift": "100D + part", "y_shift": "50D"}):
+        sums = fit_sums(df, ["day", "part"], "y", "x", "e", **own).cache()
+        want = {r.day: r for r in fit_groups(df, ["day"], "y", "x", "e").collect()}
+        halves = merge_sums(sums.selectExpr("*", "part % 2 AS half"), ["day", "half"])
+        for merged in (merge_sums(sums, ["day"]), merge_sums(halves, ["day"])):
+            got = {r.day: r for r in solve_sums(merged).collect()}
+            assert sorted(got, key=str) == sorted(want, key=str)
+            for day, r in got.items():
+                assert r.n == want[day].n == 200
+                np.testing.assert_allclose([r.c0, r.c1, r.c2, r.c3, r.rsq], list(want[day][2:7]), rtol=1e-9)
+    whole = solve_sums(merge_sums(sums, [])).first()
+    total = fit_groups(df.selectExpr("1 AS k", "*"), ["k"], "y", "x", "e").first()
+    np.testing.assert_allclose([whole.c0, whole.c2, whole.rsq], [total.c0, total.c2, total.rsq], rtol=1e-9)
+
+
+def test_daily_fits_of_batches(spark, tmp_path):
+    """A late batch refits its day from sums; the result is the fit of all pixels of the day."""
+    import datetime as dt
+
+    from verdance.operators.level1 import pair_pixels
+    from verdance.streaming.published import DailyFits
+
+    profile = QE.variant(pixels=40, black=((1, 3), (38, 40)), window=(8, 30), reference_pixel=20, dark="black")
+    rng = np.random.default_rng(5)
+    day = dt.datetime(2016, 7, 18, 12)
+    rows = []
+    for k in range(8):
+        spectra = rng.uniform(5_000, 60_000, (4, 40))
+        if k == 5:
+            spectra[1, 15] = np.nan
+        lists = [[None if np.isnan(v) else float(v) for v in s] for s in spectra]
+        rows.append((f"f{k}", day + dt.timedelta(days=k % 2), k // 3, "s" if k != 7 else "t", lists))
+    obs = spark.createDataFrame(rows, "file_id string, obs_ts timestamp_ntz, batch int, station string, spectra array<array<double>>")
+    obs = obs.selectExpr(
+        "*", "array(1D, 0D, 0D, 0D, 0D, 0D, 0D, 0D) AS nl_coeff", "1000000L AS inte_t1_us", "2000000L AS inte_t2_us",
+        "transform(sequence(1, 40), p -> 2e-5D + 1e-7D * p) AS coef_irr", "transform(sequence(1, 40), p -> 1.5e-8D) AS coef_rad",
+    )
+    table = DailyFits(str(tmp_path / "fits"), profile, ("station",))
+    for batch in (0, 2, 1, 1):
+        table.take(obs.where(f"batch = {batch}"), batch)
+    got = {(str(r.day), r.station, r.pair_no): r for r in table.read(spark, obs).collect()}
+    px = pair_pixels(obs, profile, ["file_id", "station", "obs_ts"], 8, 30).where("NOT (file_id = 'f5' AND pair_no = 1)")
+    px = px.selectExpr("string(to_date(obs_ts)) AS day", "station", "pair_no", "(pixel - 19) / 11D AS x", "irr", "rad")
+    want = {(r.day, r.station, r.pair_no): r for r in fit_groups(px, ["day", "station", "pair_no"], "rad", "x", "irr").collect()}
+    assert sorted(got) == sorted(want) and len(want) == 6
+    for k, r in got.items():
+        assert r.status == "ok" and r.n_pairs == want[k].n // 23
+        np.testing.assert_allclose([r.rsq, r.c3 * 11], [want[k].rsq, want[k].c3], rtol=1e-9)

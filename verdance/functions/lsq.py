@@ -49,6 +49,24 @@ def fit_groups(
     same pass. ``rsq`` is the squared correlation of observed and fitted
     values; it is NULL where either is constant. A singular design gives NULLs.
     """
+    return solve_sums(fit_sums(df, keys, y, x, e, e_shift, y_shift, extra))
+
+
+def fit_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    y: str,
+    x: str,
+    e: str,
+    e_shift: str | None = None,
+    y_shift: str | None = None,
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """What a fit needs of its rows: one row per group with the number, the shifts and all sums of products.
+
+    Such rows can be written, merged to coarser groups (:func:`merge_sums`) and solved (:func:`solve_sums`) later, so
+    that new rows never ask for the old ones again. Arguments as in :func:`fit_groups`.
+    """
     whole = f"{x} IS NOT NULL AND {e} IS NOT NULL AND {y} IS NOT NULL"
     if e_shift is None or y_shift is None:
         df, e_shift, y_shift = _with_means(df, keys, whole, e, y), "_mean_e", "_mean_y"
@@ -56,17 +74,52 @@ def fit_groups(
     rows = df.selectExpr(
         "*",
         f"if({whole}, double({x}), NULL) AS _x",
-        f"if({whole}, double({e}) - {e0}, NULL) AS _e",
-        f"if({whole}, double({x}) * (double({e}) - {e0}), NULL) AS _w",
-        f"if({whole}, double({y}) - {y0}, NULL) AS _y",
+        f"if({whole}, double({e}) - ({e0}), NULL) AS _e",
+        f"if({whole}, double({x}) * (double({e}) - ({e0})), NULL) AS _w",
+        f"if({whole}, double({y}) - ({y0}), NULL) AS _y",
         f"{e0} AS _e0",
         f"{y0} AS _y0",
     )
     sums = ["count(_x) AS _n", "max(_e0) AS _e0", "max(_y0) AS _y0"]
     sums += [f"sum(_{a}) AS s_{a}" for a in _VARS]
     sums += [f"sum(_{a} * _{b}) AS s_{a}{b}" for a, b in _PRODUCTS]
-    g = rows.groupBy(*keys).agg(*[F.expr(s) for s in (*sums, *extra)])
-    return _solve(g)
+    return rows.groupBy(*keys).agg(*[F.expr(s) for s in (*sums, *extra)])
+
+
+def merge_sums(sums: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Rows of :func:`fit_sums` merged to the coarser groups ``keys``; ``extra`` adds aggregates.
+
+    Groups were taken relative to shifts of their own. They are moved to the mean of the merged group first, a
+    polynomial in the difference, so the merged sums keep their digits as if they had been taken there.
+    """
+    centre = sums.groupBy(*keys).agg(
+        F.expr("try_divide(sum(_n * _e0 + s_e), sum(if(_n > 0, _n, NULL))) AS _e1"),
+        F.expr("try_divide(sum(_n * _y0 + s_y), sum(if(_n > 0, _n, NULL))) AS _y1"),
+    )
+    centre = centre.select("_e1", "_y1", *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & sums[k].eqNullSafe(centre[f"_key{i}"])
+    moved = sums.join(centre, same).selectExpr("*", "_e0 - _e1 AS _d", "_y0 - _y1 AS _t")
+    # with d and t the moves: e' = e + d, w' = w + d x, y' = y + t
+    new = {
+        "s_x": "s_x",
+        "s_e": "s_e + _n * _d",
+        "s_w": "s_w + _d * s_x",
+        "s_y": "s_y + _n * _t",
+        "s_xx": "s_xx",
+        "s_xe": "s_xe + _d * s_x",
+        "s_xw": "s_xw + _d * s_xx",
+        "s_xy": "s_xy + _t * s_x",
+        "s_ee": "s_ee + 2 * _d * s_e + _n * _d * _d",
+        "s_ew": "s_ew + _d * (s_xe + s_w + _d * s_x)",
+        "s_ey": "s_ey + _t * s_e + _d * s_y + _n * _d * _t",
+        "s_ww": "s_ww + _d * (2 * s_xw + _d * s_xx)",
+        "s_wy": "s_wy + _t * s_w + _d * (s_xy + _t * s_x)",
+        "s_yy": "s_yy + _t * (2 * s_y + _n * _t)",
+    }
+    aggs = ["sum(_n) AS _n", "max(_e1) AS _e0", "max(_y1) AS _y0", *(f"sum({e}) AS {n}" for n, e in new.items())]
+    return moved.groupBy(*keys).agg(*[F.expr(a) for a in (*aggs, *extra)])
 
 
 def _with_means(df: DataFrame, keys: Sequence[str], whole: str, e: str, y: str) -> DataFrame:
@@ -80,7 +133,7 @@ def _with_means(df: DataFrame, keys: Sequence[str], whole: str, e: str, y: str)
     return df.join(means, same).drop(*[f"_key{i}" for i in range(len(keys))])
 
 
-def _solve(g: DataFrame) -> DataFrame:
+def solve_sums(g: DataFrame) -> DataFrame:
     """Sums to coefficients, all in generated code.
 
     The result leaves through a one-element generator. Without it a filter on

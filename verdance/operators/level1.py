@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from verdance.functions import radiometry as R
 from verdance.functions.arrays import num, pick, pixels, strict_mean
-from verdance.functions.lsq import fit_groups, line
+from verdance.functions.lsq import fit_sums, line, merge_sums, solve_sums
 from verdance.profiles import InstrumentProfile
 
 CHANNELS = ("irr", "rad")
@@ -213,6 +213,27 @@ def reference_values(
     return staged.selectExpr(*obs.columns, *out)
 
 
+def reference_array(obs: DataFrame, profile: InstrumentProfile, name: str, which: str = "irr") -> DataFrame:
+    """Add an array with the flux at the reference pixel of every pair of the file, however many there are.
+
+    NULL for a file without spectra; chosen by channel, as :func:`reference_values`.
+    """
+    ref = profile.reference_pixel
+    vectors = pixel_vectors(profile, obs, ref, ref)
+    staged = obs.selectExpr("*", *named(file_scalars(profile)), *named(vectors))
+    counts = f"get(get(spectra, int(p * 2 + {R.parity(profile, which) - 1})), {ref - 1})"
+    linear = R.linearise(corrected(profile, which, counts, "0"))
+    value = flux(profile, which, linear, "0", (ref, ref), "w" in vectors)
+    pairs = f"if(size(spectra) > 1, transform(sequence(0, size(spectra) div 2 - 1), p -> {value}), NULL)"
+    return staged.selectExpr(*obs.columns, f"{pairs} AS {name}")
+
+
+def reference_flux(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str], which: str = "irr") -> DataFrame:
+    """``keys, pair_no, value``: flux at the reference pixel by file and pair; a file without spectra has one NULL row."""
+    held = reference_array(obs, profile, "_flux", which).selectExpr(*keys, "posexplode_outer(_flux) AS (_p, value)")
+    return held.selectExpr(*keys, "_p + 1 AS pair_no", "value")
+
+
 def fluorescence(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]) -> DataFrame:
     """Fit ``L = c0 + c1*x + (c2 + c3*x)*E`` per file and pair over the window.
 
@@ -221,6 +242,11 @@ def fluorescence(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]
     ``no_signal`` (all irradiance or all radiance zero), ``bad_radiance`` (a
     missing value), ``singular``, ``missing`` (no such spectra).
     """
+    return fluorescence_of(fluorescence_sums(obs, profile, keys), profile, [*keys, "pair_no"])
+
+
+def fluorescence_sums(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]) -> DataFrame:
+    """The sums of every file's and pair's fit, with counts of ``rows``, ``rads``, ``dark_irr`` and ``dark_rad``."""
     first, last = profile.window
     n = profile.window_size
     mid, half = (n + 1) / 2, (n - 1) / 2
@@ -233,7 +259,7 @@ def fluorescence(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]
         "coalesce(irr_mid, 0D) AS irr_mid",
         "coalesce(rad_mid, 0D) AS rad_mid",
     )
-    fits = fit_groups(
+    return fit_sums(
         px,
         [*keys, "pair_no"],
         y="rad",
@@ -248,12 +274,33 @@ def fluorescence(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]
             "count_if(rad = 0) AS dark_rad",
         ],
     )
-    status = f"""CASE WHEN rows <> {n} THEN 'missing'
-                      WHEN dark_irr = rows THEN 'no_signal'
-                      WHEN rads <> rows THEN 'bad_radiance'
-                      WHEN dark_rad = rows THEN 'no_signal'
-                      WHEN c3 IS NULL THEN 'singular'
-                      ELSE 'ok' END AS status"""
+
+
+def _unfit(n: int) -> str:
+    """Why a pair has no fit, as far as its counts tell; NULL if it may have one."""
+    return f"""CASE WHEN rows <> {n} THEN 'missing'
+                    WHEN dark_irr = rows THEN 'no_signal'
+                    WHEN rads <> rows THEN 'bad_radiance'
+                    WHEN dark_rad = rows THEN 'no_signal' END"""
+
+
+def merged_fluorescence_sums(sums: DataFrame, profile: InstrumentProfile, keys: Sequence[str]) -> DataFrame:
+    """Sums of whole pairs merged to coarser ``keys`` (with ``pair_no`` or without), and their number ``n_pairs``.
+
+    Takes rows of :func:`fluorescence_sums`, where only pairs with a fit of their own count, or rows merged before.
+    """
+    if "n_pairs" not in sums.columns:
+        sums = sums.where(f"({_unfit(profile.window_size)}) IS NULL").selectExpr("*", "1L AS n_pairs")
+    return merge_sums(sums, keys, ["sum(n_pairs) AS n_pairs"])
+
+
+def fluorescence_of(sums: DataFrame, profile: InstrumentProfile, keys: Sequence[str]) -> DataFrame:
+    """Fits from sums per pair, or merged ones; columns as :func:`fluorescence`."""
+    n = profile.window_size
+    mid, half = (n + 1) / 2, (n - 1) / 2
+    own = "n_pairs" not in sums.columns
+    reason = _unfit(n) if own else "NULL"
+    status = f"coalesce({reason}, if(c3 IS NULL, 'singular', 'ok')) AS status"
     natural = {
         "c0": f"c0 - c1 * {num(mid / half)}",
         "c1": f"c1 / {num(half)}",
@@ -262,9 +309,9 @@ def fluorescence(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]
         "sif": f"c0 + c1 * {num((profile.report_index - mid) / half)}",
         "rsq": "rsq",
     }
-    return fits.selectExpr("*", status).selectExpr(
+    return solve_sums(sums).selectExpr("*", status).selectExpr(
         *keys,
-        "pair_no",
+        *([] if own else ["n_pairs"]),
         "status",
         *[f"if(status = 'ok', {e}, NULL) AS {n}" for n, e in natural.items()],
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +39,17 @@ def _checks(obs: DataFrame, profile: InstrumentProfile) -> str:
     return f"if({shutter} = 'ok', calibration_status, {shutter})"
 
 
-def diurnal_long(obs: DataFrame, profile: InstrumentProfile) -> DataFrame:
+def diurnal_long(obs: DataFrame, profile: InstrumentProfile, by: Sequence[str] = ()) -> DataFrame:
     """One row per file and pair, however many pairs a file has, with the full time.
 
     The companion of the published wide table, which has five slots and a day of
-    the year: ``file_id, file_name, obs_ts, year, pair_no, status, sif, rsq``.
+    the year: ``file_id``, the ``by`` columns, ``file_name, obs_ts, year, pair_no, status, sif, rsq``.
     """
     checked = obs.selectExpr("*", f"{_checks(obs, profile)} AS shutter")
-    fits = fluorescence(checked, profile, ["file_id", "file_name", "obs_ts", "shutter"])
+    fits = fluorescence(checked, profile, ["file_id", *by, "file_name", "obs_ts", "shutter"])
     return fits.selectExpr(
         "file_id",
+        *by,
         "file_name",
         "obs_ts",
         "year(obs_ts) AS year",
@@ -63,9 +66,14 @@ def diurnal(
     qe: InstrumentProfile,
     hr: InstrumentProfile,
     pairing: str = "bucket",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Wide table keyed by ``file_id``, with ``file_name`` and ``status`` added.
 
+    ``by`` names columns of both inputs that partners share, such as the station;
+    they become columns of the table. ``n_pairs`` tells a file with more pairs than
+    the five published slots: :func:`diurnal_long` and ``reference_flux`` have them all.
+
     A file with a failed shutter check keeps its row, all values NULL. With
     ``pairing='bucket'`` the partner is the first file (by name) of the same
     quarter-hour; with ``'position'`` the n-th file of the same day. A file
@@ -76,10 +84,12 @@ def diurnal(
     """
     if pairing not in ("bucket", "position"):
         raise ValueError(f"unknown pairing: {pairing}")
-    checked = qe_obs.selectExpr("*", f"{_checks(qe_obs, qe)} AS shutter")
+    checked = qe_obs.selectExpr(
+        "*", f"{_checks(qe_obs, qe)} AS shutter", "int(if(size(spectra) > 1, size(spectra) div 2, 0)) AS n_pairs"
+    )
     checked = checked.withColumn("spectra", F.expr("if(shutter = 'ok', spectra, NULL)"))
     head = reference_values(checked, qe, "irr_750_QE", n_pairs=PAIRS)
-    held = ["file_id", *_HEAD, "shutter", *_QE]
+    held = ["file_id", *by, *_HEAD, "shutter", "n_pairs", *_QE]
     fits = fluorescence(head, qe, held)
     slots = [
         F.expr(f"max(if(pair_no = {k}, {value}, NULL)) AS {name}{k}")
@@ -95,34 +105,54 @@ def diurnal(
         "if(shutter = 'ok', measurement_t, NULL) AS temp_measure",
     )
     partner = reference_values(hr_obs, hr, "irr_750_HR", n_pairs=PAIRS).selectExpr(
-        "file_id AS hr_id", "file_name AS hr_name", "obs_ts AS hr_ts", *_HR
+        "file_id AS hr_id", *by, "file_name AS hr_name", "obs_ts AS hr_ts", *_HR
     )
     if pairing == "bucket":
-        joined = _by_bucket(wide, partner)
+        joined = _by_bucket(wide, partner, by)
     else:
-        joined = _by_position(wide, partner, qe_obs, hr_obs)
+        joined = _by_position(wide, partner.drop(*by), qe_obs, hr_obs, by)
     own = [c for c in COLUMNS if c not in _HR]
     theirs = [f"if(status = 'ok', {c}, NULL) AS {c}" for c in _HR]
-    return joined.selectExpr("file_id", "file_name", "status", *own, *theirs)
+    return joined.selectExpr("file_id", *by, "file_name", "status", "n_pairs", *own, *theirs)
 
 
-def _by_bucket(wide: DataFrame, partner: DataFrame) -> DataFrame:
+def _by_bucket(wide: DataFrame, partner: DataFrame, by: Sequence[str]) -> DataFrame:
     lhs = wide.selectExpr("*", f"if(status = 'ok', {quarter_hour('obs_ts')}, NULL) AS bucket")
     rhs = partner.selectExpr("*", f"{quarter_hour('hr_ts')} AS bucket")
-    return pair_first_match(lhs, rhs, "bucket", ["hr_name", "hr_ts"], _HR, "file_id")
+    return pair_first_match(lhs, rhs, "bucket", ["hr_name", "hr_ts"], _HR, "file_id", by=by)
 
 
 def _by_position(
-    wide: DataFrame, partner: DataFrame, qe_obs: DataFrame, hr_obs: DataFrame
+    wide: DataFrame, partner: DataFrame, qe_obs: DataFrame, hr_obs: DataFrame, by: Sequence[str]
 ) -> DataFrame:
     """Positions come from the file headers alone; spectra take no part in the sort."""
 
     def numbered(obs: DataFrame, name: str) -> DataFrame:
-        heads = obs.selectExpr(f"file_id AS {name}", "file_name", "to_date(obs_ts) AS day")
+        heads = obs.selectExpr(f"file_id AS {name}", *by, "file_name", "to_date(obs_ts) AS day")
         # the name up to the hour
-        return ordinal(heads, ["day"], ["file_name", name], cell=HOUR_OF_NAME).select(name, "day", "n")
+        return ordinal(heads, [*by, "day"], ["file_name", name], cell=HOUR_OF_NAME).select(name, *by, "day", "n")
 
-    matched = numbered(qe_obs, "file_id").join(numbered(hr_obs, "hr_id"), ["day", "n"], "left")
+    matched = numbered(qe_obs, "file_id").join(numbered(hr_obs, "hr_id"), [*by, "day", "n"], "left")
     values = partner.drop("hr_name", "hr_ts")
     found = wide.join(matched.select("file_id", "hr_id"), "file_id", "left")
     return found.join(values, "hr_id", "left")
+
+
+def refresh(obs: DataFrame, is_new: str, path: str, build: Callable[[DataFrame], DataFrame], by: Sequence[str] = ("station",)) -> None:
+    """Bring a published table up to date after files arrived, however late.
+
+    Partners meet within a station and day, so a file changes nothing outside its own. The days with a row for which
+    ``is_new`` holds (a condition on ``obs``, such as ``batch > 17``) are built again from all their files and written
+    over; other days are neither read nor written. ``build`` makes the table from observations, with ``file_id`` and
+    the ``by`` columns; folders are ``by`` and ``day``. Rerun after a failure it leaves the same table. Files without a
+    time belong to no day and are left out.
+    """
+    day = "obs_date" if "obs_date" in obs.columns else "_day"
+    dated = obs if day == "obs_date" else obs.withColumn(day, F.to_date("obs_ts"))
+    dirty = dated.where(f"({is_new}) AND {day} IS NOT NULL").select(*[F.col(c).alias(f"_new_{c}") for c in (*by, day)]).distinct()
+    same = [dated[day] == dirty[f"_new_{day}"], *[dated[c].eqNullSafe(dirty[f"_new_{c}"]) for c in by]]
+    rows = dated.join(dirty, same, "left_semi")
+    table = build(rows)
+    days = rows.selectExpr("file_id AS _id", f"{day} AS day").distinct()
+    out = table.join(days, table["file_id"] == days["_id"]).drop("_id")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "day").parquet(path)

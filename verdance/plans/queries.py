@@ -16,7 +16,8 @@ from verdance.functions import timekeys as K
 from verdance.functions.arrays import forward_difference, median
 from verdance.functions.lsq import fit_groups
 from verdance.operators import darkmodel, level1, offsets, pairing, panels, quality
-from verdance.plans.diurnal import COLUMNS, HOUR_OF_NAME, diurnal, diurnal_long as long_table
+from verdance.plans.diurnal import COLUMNS, HOUR_OF_NAME, diurnal, refresh
+from verdance.plans.diurnal import diurnal_long as long_table
 from verdance.profiles import FIXED_RUN_US
 from verdance.session import scratch_path
 from verdance.sources import raw
@@ -229,6 +230,21 @@ def sif_rsq(spark, sf):
     return _fits(spark, sf).selectExpr("file_id", "pair_no", "status", r("rsq"))
 
 
+@query
+def sif_by_hour(spark, sf):
+    """One fit per hour and pair over all its files, from the sums of the files' own fits, kept at rest."""
+    obs = T.dated(T.calibrated(spark, sf), spark, sf).selectExpr("*", "date_trunc('HOUR', obs_ts) AS hour")
+    sums = level1.fluorescence_sums(obs, T.EMB, ["file_id", "hour"])
+    path = scratch_path(spark, "sums")
+    sums.write.parquet(path)
+    kept = spark.read.schema(sums.schema).parquet(path)
+    merged = level1.merged_fluorescence_sums(kept, T.EMB, ["hour", "pair_no"])
+    fits = level1.fluorescence_of(merged, T.EMB, ["hour", "pair_no"])
+    return fits.selectExpr(
+        f"coalesce({TIME.format('hour')}, 'none') AS hour", "pair_no", "n_pairs", "status", r("sif", 5), r("rsq", 5)
+    )
+
+
 @query
 def sif_curve(spark, sf):
     lines = level1.curves(_fits(spark, sf).where("status = 'ok'"), T.EMB).selectExpr(
@@ -614,6 +630,83 @@ def diurnal_wide(spark, sf):
     return _rounded(diurnal(*_instruments(spark, sf), T.EMB, T.EMB_HR))
 
 
+def _rounded_by_station(out: DataFrame) -> DataFrame:
+    return out.selectExpr(
+        "file_id",
+        "double(station) AS station",
+        "coalesce(file_name, '') AS file_name",
+        "status",
+        "n_pairs",
+        *[r(c, 9 if c == "date" else 6) for c in COLUMNS],
+    )
+
+
+@query
+def diurnal_by_station(spark, sf):
+    """The wide table with the partner from the file's own station."""
+    return _rounded_by_station(diurnal(*_instruments(spark, sf), T.EMB, T.EMB_HR, by=["station"]))
+
+
+@query
+def diurnal_positional_by_station(spark, sf):
+    """n-th file of a station and day with the n-th file of the other instrument there."""
+    out = diurnal(*_instruments(spark, sf), T.EMB, T.EMB_HR, pairing="position", by=["station"])
+    return _rounded_by_station(out)
+
+
+@query
+def diurnal_refreshed(spark, sf):
+    """The same table published in two steps: every third file of the second instrument arrives late."""
+    qe, hr = _instruments(spark, sf)
+    files = qe.unionByName(hr).where("obs_ts IS NOT NULL").selectExpr(
+        "*", "if(instrument = 'HR' AND file_id % 3 = 0, 2, 1) AS batch"
+    )
+    path = scratch_path(spark, "diurnal")
+
+    def build(obs: DataFrame) -> DataFrame:
+        sides = [obs.where(f"instrument = '{i}'") for i in ("QE", "HR")]
+        return diurnal(*sides, T.EMB, T.EMB_HR, by=["station"])
+
+    for last in (1, 2):
+        refresh(files.where(f"batch <= {last}"), f"batch = {last}", path, build)
+    types = build(files).schema.add("day", "date")
+    return _rounded_by_station(spark.read.schema(types).parquet(path))
+
+
+@query
+def reference_flux_long(spark, sf):
+    """Irradiance at the reference pixel of every pair of every file."""
+    out = level1.reference_flux(T.calibrated(spark, sf), T.EMB, ["file_id", "instrument"])
+    return out.selectExpr("file_id", "instrument", "pair_no", r("value", 6, "irr_ref"))
+
+
+@query
+def fixed_vs_auto_by_station(spark, sf):
+    """Fixed runs against the first automatic run of the quarter-hour at their station, every pair of both."""
+    obs = T.dated(T.calibrated(spark, sf), spark, sf)
+    runs = level1.reference_array(obs, T.EMB, "irr").selectExpr(
+        "file_id", "station", "file_name", f"{K.quarter_hour('obs_ts')} AS bucket", "irr"
+    )
+    out = pairing.pair_first_match(
+        runs.where("file_id % 2 = 1"),
+        runs.where("file_id % 2 = 0").withColumnRenamed("file_id", "run"),
+        "bucket",
+        ["file_name", "run"],
+        ["run", "irr"],
+        "file_id",
+        prefix="auto_",
+        by=["station"],
+    )
+    pairs = out.selectExpr("file_id", "station", "auto_run", "auto_irr", "posexplode_outer(irr) AS (p, v)")
+    return pairs.selectExpr(
+        "file_id",
+        "double(station) AS station",
+        "double(auto_run) AS auto_file_id",
+        "p + 1 AS pair_no",
+        r("v - get(auto_irr, p)", 6, "diff_irr"),
+    )
+
+
 @query
 def diurnal_long(spark, sf):
     """All pairs of all files of the fluorescence instrument, with the full time."""

@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from verdance.operators import level1
 from verdance.operators.pairing import salted_left_join
+from verdance.profiles import InstrumentProfile
 from verdance.session import scratch_path
 from verdance.streaming.jobs import naive
 
@@ -186,10 +188,50 @@ class Pairs:
         return spark.read.schema(_schema(paired, f"{DAY} date")).parquet(f"{self.path}/published")
 
 
+# --- fits -----------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class DailyFits:
+    """A published table of one fit per day, ``by`` keys and pair over all files of the day.
+
+    Batches of observations (one row per file, with calibration) leave the sums of their fits, a few numbers per pair,
+    and the sums of a touched day are merged and solved again. No batch fits a file again that an earlier one had.
+    """
+
+    path: str
+    profile: InstrumentProfile
+    by: tuple[str, ...] = ()
+
+    def _keys(self) -> list[str]:
+        return [DAY, *self.by, "pair_no"]
+
+    def _sums(self, obs: DataFrame) -> DataFrame:
+        dated = obs.where("obs_ts IS NOT NULL").withColumn(DAY, F.to_date("obs_ts"))
+        sums = level1.fluorescence_sums(dated, self.profile, [DAY, *self.by, "file_id"])
+        return level1.merged_fluorescence_sums(sums, self.profile, self._keys())
+
+    def _fits(self, sums: DataFrame) -> DataFrame:
+        whole = level1.merged_fluorescence_sums(sums, self.profile, self._keys())
+        return level1.fluorescence_of(whole, self.profile, self._keys())
+
+    def take(self, obs: DataFrame, batch: int) -> None:
+        spark = obs.sparkSession
+        sums = self._sums(obs)
+        replace_batch(sums, f"{self.path}/sums", batch)
+        schema = _schema(sums, f"{DAY} date", f"{BATCH} long")
+        touched = spark.read.schema(schema).parquet(f"{self.path}/sums").where(F.col(BATCH) == batch).select(DAY).distinct()
+        replace_days(self._fits(of_days(spark, f"{self.path}/sums", schema, touched)), f"{self.path}/published")
+
+    def read(self, spark: SparkSession, obs: DataFrame) -> DataFrame:
+        schema = _schema(self._fits(self._sums(obs)), f"{DAY} date")
+        return spark.read.schema(schema).parquet(f"{self.path}/published")
+
+
 # --- running ----------------------------------------------------------------------------
 
 
-def publish(stream: DataFrame, table: Windows | Pairs, checkpoint: str) -> StreamingQuery:
+def publish(stream: DataFrame, table: Windows | Pairs | DailyFits, checkpoint: str) -> StreamingQuery:
     """Take up everything now available, batch by batch, then stop; run it again for what is new."""
 
     def each(rows: DataFrame, batch: int) -> None:
