@@ -1,6 +1,7 @@
 import pandas as pd
+from pyspark.sql import functions as F
 
-from verdance.operators.pairing import first_per_key, ordinal, pair_by_position, pair_first_match
+from verdance.operators.pairing import first_per_key, hot_keys, ordinal, pair_by_position, pair_first_match, salted_left_join
 
 
 def test_first_match_by_name_with_hot_bucket(spark):
@@ -54,3 +55,30 @@ def test_positions(spark):
     right = spark.createDataFrame([("d1", "h9"), ("d1", "h5"), ("d2", "h1"), ("d2", "h2")], "day string, hr string")
     out = pair_by_position(left, right, ["day"], ["name"], ["hr"], ["hr"], "b_").collect()
     assert {r.name: r.b_hr for r in out} == {"q1": "h5", "q2": "h9", "q4": None, "q3": "h1"}
+
+
+def test_only_hot_keys_are_split(spark):
+    """A key with a third of the rows goes to several tasks, rows without a key to many; other right rows stay single."""
+    left = spark.range(0, 60_000, 1, 8).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 0 WHEN id % 3 = 1 THEN NULL ELSE id % 4000 + 1 END AS k"
+    )
+    right = spark.range(0, 5000).selectExpr("id AS k", "id * 2 AS v")
+    hot = {r.k: r._salts for r in hot_keys(left, ["k"], 1000).collect()}
+    assert hot == {0: 20}
+    out = salted_left_join(left, right, ["k"], "id", cell=1000)
+    got = out.toPandas()
+    assert len(got) == 60_000 and got.id.is_unique
+    known = got[got.k.notna()]
+    assert (known.v == known.k * 2).all() and got[got.k.isna()].v.isna().all()
+    # the rows of a task, dealt as the join deals them
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        dealt = salted_left_join(left, right, ["k"], "id", cell=100).groupBy(F.spark_partition_id()).count()
+        rows = sorted(r["count"] for r in dealt.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 40 and rows[-1] < 2 * rows[20]

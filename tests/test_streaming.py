@@ -215,3 +215,38 @@ def test_published_pairs_take_up_a_late_partner(spark, tmp_path):
     for _ in range(2):
         table.take(frames[2], 2)
         assert seen() == {1: 14, 2: 15, 3: None, 4: None}
+
+
+def test_a_ledger_of_deliveries(spark, tmp_path):
+    """Truncated then good, a repeat, two stations in one second, a misnamed file, and a batch that runs twice."""
+    from verdance.streaming import published
+
+    whole, other = rf.qe_file(T0), rf.qe_file(T0, t=(2_000_000, 1_000_000))
+    name = rf.name(T0, "QE_PRO_")
+    landing = tmp_path / "landing"
+    table = published.Deliveries(str(tmp_path / "t"))
+    args = (str(landing), True, r"/(s\d)/[^/]+/[^/]+$")
+
+    def put(station, night, text, as_name=name):
+        (landing / station / night).mkdir(parents=True, exist_ok=True)
+        (landing / station / night / as_name).write_text(text)
+
+    def take():
+        files = jobs.ingest(raw.discover(spark, *args), keep=["station"]).drop("obs_date", "parse_ok")
+        published.publish(files, table, str(tmp_path / "c")).awaitTermination()
+        return {(r.station, r.file_name): (r.parse_error, r.inte_t1_us) for r in table.read(spark, empty).collect()}
+
+    empty = raw.parse(spark.createDataFrame([], "station string, file_name string, value string"), keep=("station",))
+    put("s1", "n1", whole[: len(whole) // 2])
+    put("s2", "n1", other)
+    assert take() == {("s1", name): ("bad_length", 1_500_000), ("s2", name): (None, 2_000_000)}
+    put("s1", "n2", whole)
+    put("s2", "n2", whole[:300])
+    put("s1", "n2", "?", "misnamed.csv")
+    want = {("s1", name): (None, 1_500_000), ("s2", name): (None, 2_000_000), ("s1", "misnamed.csv"): ("unknown_file", None)}
+    assert take() == want
+    put("s1", "n3", other)  # a good one that comes later doesn't replace a good one
+    assert take() == want
+    again = spark.createDataFrame([("s1", name, other)], "station string, file_name string, value string")
+    table.take(raw.parse(again, keep=("station",)), 2)
+    assert {(r.station, r.file_name): (r.parse_error, r.inte_t1_us) for r in table.read(spark, empty).collect()} == want

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
+#: Left rows of a key that one task takes; a key with more is split.
+CELL = 1 << 16
+#: Keys that can be split. A key that is not among the largest has at most this fraction of all rows.
+HOT = 10_000
 
 
 def first_per_key(
@@ -23,17 +26,35 @@ def first_per_key(
     return out.selectExpr(*keys, *[f"_best.{v} AS {prefix}{v}" for v in values])
 
 
+def hot_keys(sizes_of: DataFrame, keys: Sequence[str], cell: int = CELL) -> DataFrame:
+    """``keys, _salts``: the keys with more than ``cell`` rows, at most ``HOT`` of them, and into how many parts they go.
+
+    Sizes come from counts reduced in the map tasks, so a hot key is one number per task here.
+    """
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    sizes = sizes_of.where(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(f"_rows > {cell}")
+    largest = sizes.orderBy(F.col("_rows").desc(), *keys).limit(HOT)
+    return largest.selectExpr(*keys, f"int(ceil(_rows / {cell})) AS _salts")
+
+
 def salted_left_join(
-    left: DataFrame, unique_right: DataFrame, keys: Sequence[str], row_id: str, salts: int = SALTS
+    left: DataFrame, unique_right: DataFrame, keys: Sequence[str], row_id: str, sizes_of: DataFrame | None = None, cell: int = CELL
 ) -> DataFrame:
-    """Left join to a side that has one row per key.
+    """Left join to a side that has one row per key, with hot keys split by their measured size.
 
-    The left rows of a key are spread over ``salts`` partitions and the right
-    row is repeated as often, so one hot key is not one task. No broadcast is
-    forced: at run time Spark does it when the measured right side is small.
+    A key with more than ``cell`` left rows is dealt over as many tasks as it needs, and its one right row is repeated
+    as often; all other right rows stay single. Left rows without a key match nothing: they are spread by ``row_id``
+    instead of meeting in one task. Sizes are counted in ``sizes_of``, by default ``left``; a caller whose left side is
+    costly names a cheaper frame with the same keys, since it is read a second time for the count.
     """
-    lhs = left.selectExpr("*", f"int(pmod(xxhash64({row_id}), {salts})) AS _salt")
-    rhs = unique_right.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS _salt")
+    hot = F.broadcast(hot_keys(left if sizes_of is None else sizes_of, keys, cell))  # at most HOT rows
+    none = " OR ".join(f"{k} IS NULL" for k in keys)
+    lhs = left.join(hot, [*keys], "left").selectExpr(
+        *left.columns, f"int(if({none}, pmod(xxhash64({row_id}), {HOT}), pmod(xxhash64({row_id}), coalesce(_salts, 1)))) AS _salt"
+    )
+    rhs = unique_right.join(hot, [*keys], "left").selectExpr(
+        *unique_right.columns, "explode(sequence(0, coalesce(_salts, 1) - 1)) AS _salt"
+    )
     return lhs.join(rhs, [*keys, "_salt"], "left").drop("_salt")
 
 
@@ -46,16 +67,17 @@ def pair_first_match(
     row_id: str,
     prefix: str = "",
     by: Sequence[str] = (),
+    sizes_of: DataFrame | None = None,
 ) -> DataFrame:
     """Every left row with the first right row of the same quarter-hour, else NULLs.
 
     ``by`` names further keys, such as the station. Rows without a bucket, or
-    without one of these keys, match nothing.
+    without one of these keys, match nothing. ``sizes_of`` as in :func:`salted_left_join`.
     """
     keys = [*by, bucket]
     known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
     firsts = first_per_key(right.where(known), keys, order, values, prefix)
-    return salted_left_join(left, firsts, keys, row_id)
+    return salted_left_join(left, firsts, keys, row_id, sizes_of)
 
 
 def ordinal(

@@ -108,7 +108,7 @@ def diurnal(
         "file_id AS hr_id", *by, "file_name AS hr_name", "obs_ts AS hr_ts", *_HR
     )
     if pairing == "bucket":
-        joined = _by_bucket(wide, partner, by)
+        joined = _by_bucket(wide, partner, qe_obs, by)
     else:
         joined = _by_position(wide, partner.drop(*by), qe_obs, hr_obs, by)
     own = [c for c in COLUMNS if c not in _HR]
@@ -116,10 +116,12 @@ def diurnal(
     return joined.selectExpr("file_id", *by, "file_name", "status", "n_pairs", *own, *theirs)
 
 
-def _by_bucket(wide: DataFrame, partner: DataFrame, by: Sequence[str]) -> DataFrame:
+def _by_bucket(wide: DataFrame, partner: DataFrame, qe_obs: DataFrame, by: Sequence[str]) -> DataFrame:
     lhs = wide.selectExpr("*", f"if(status = 'ok', {quarter_hour('obs_ts')}, NULL) AS bucket")
     rhs = partner.selectExpr("*", f"{quarter_hour('hr_ts')} AS bucket")
-    return pair_first_match(lhs, rhs, "bucket", ["hr_name", "hr_ts"], _HR, "file_id", by=by)
+    # how many files a quarter-hour has is counted in their headers, without the spectra
+    heads = qe_obs.selectExpr(*by, f"{quarter_hour('obs_ts')} AS bucket")
+    return pair_first_match(lhs, rhs, "bucket", ["hr_name", "hr_ts"], _HR, "file_id", by=by, sizes_of=heads)
 
 
 def _by_position(

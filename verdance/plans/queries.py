@@ -680,6 +680,12 @@ def reference_flux_long(spark, sf):
     return out.selectExpr("file_id", "instrument", "pair_no", r("value", 6, "irr_ref"))
 
 
+def _fixed_heads(spark, sf) -> DataFrame:
+    """Station and quarter-hour of the fixed runs, from the headers alone."""
+    heads = T.headers(spark, sf).where("file_id % 2 = 1")
+    return heads.selectExpr("station", f"{K.quarter_hour('obs_ts')} AS bucket")
+
+
 @query
 def fixed_vs_auto_by_station(spark, sf):
     """Fixed runs against the first automatic run of the quarter-hour at their station, every pair of both."""
@@ -696,6 +702,7 @@ def fixed_vs_auto_by_station(spark, sf):
         "file_id",
         prefix="auto_",
         by=["station"],
+        sizes_of=_fixed_heads(spark, sf),
     )
     pairs = out.selectExpr("file_id", "station", "auto_run", "auto_irr", "posexplode_outer(irr) AS (p, v)")
     return pairs.selectExpr(
@@ -760,6 +767,7 @@ def fixed_vs_auto(spark, sf):
         ["file_id", *values],
         "file_id",
         prefix="auto_",
+        sizes_of=_fixed_heads(spark, sf),
     )
     return out.selectExpr(
         "file_id",
@@ -954,6 +962,30 @@ def stream_dedup(spark, sf):
     return out.selectExpr("file_name", stamp(jobs.naive("obs_ts"), "obs_ts"))
 
 
+@query
+def stream_ledger(spark, sf):
+    """Files in a folder tree, taken up as a stream: a third came truncated first, a third twice; one good row each."""
+    files = _raw(spark, sf, "QE", "QE_PRO_").selectExpr(
+        "concat('s', file_id % 2) AS station",
+        "file_name",
+        """explode(CASE file_id % 3 WHEN 0 THEN array(substring(value, 1, length(value) div 2), value)
+                                 WHEN 1 THEN array(value, value) ELSE array(value) END) AS value""",
+    )
+    landing = scratch_path(spark, "landing")
+    files.write.parquet(landing)
+    drop = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 4).parquet(landing)
+    parsed = jobs.ingest(drop, _RAW_PROFILES, ["station"]).drop("obs_date", "parse_ok")
+    out = published.published(parsed, published.Deliveries, "ledger")
+    return out.selectExpr(
+        "station",
+        "file_name",
+        "string(day) AS day",
+        "n_rows",
+        r(_total("flatten(spectra)"), 2, "sum_counts"),
+        "coalesce(parse_error, 'none') AS parse_error",
+    )
+
+
 @query
 def stream_ingest(spark, sf):
     """File drop: files rendered from the spectra, taken up as a stream, bad ones set aside."""

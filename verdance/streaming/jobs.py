@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from verdance.operators.pairing import SALTS
 from verdance.profiles import InstrumentProfile
 from verdance.session import scratch_path
 from verdance.sources import raw
 
 
+#: Parts of every quarter-hour in the state of a stream join, whose sizes can't be known before.
+SALTS = 16
+
+
 def instant(ts: str) -> str:
     """Naive time to the instant with the same reading in UTC."""
     return (
@@ -81,15 +84,15 @@ def drain(
 # --- file drop ------------------------------------------------------------------
 
 def ingest(
-    files: DataFrame, profiles: Mapping[str, InstrumentProfile] = raw.PROFILES
+    files: DataFrame, profiles: Mapping[str, InstrumentProfile] = raw.PROFILES, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Parsed files of a stream of ``file_name, value``.
+    """Parsed files of a stream of ``file_name, value``; ``keep`` names further columns, such as the station.
 
     Good and bad files go to one sink, split by the ``parse_ok`` folder. The
     file sink commits a batch as a whole, so a lost executor or driver can
     neither repeat nor drop a file, which two separate writes could.
     """
-    return raw.parse(files, profiles).selectExpr(
+    return raw.parse(files, profiles, tuple(keep)).selectExpr(
         "*", "to_date(obs_ts) AS obs_date", "parse_error IS NULL AS parse_ok"
     )
 

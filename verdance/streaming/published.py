@@ -188,6 +188,52 @@ class Pairs:
         return spark.read.schema(_schema(paired, f"{DAY} date")).parquet(f"{self.path}/published")
 
 
+# --- deliveries -----------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Deliveries:
+    """A published table of parsed files, one row per ``keys``, whatever arrived for them and in which order.
+
+    Every delivery is entered in a ledger by day and batch. Published is, of a file's deliveries, a good one if there
+    is any, and of these the one that came first; so a whole file takes the place of the truncated one before it, a
+    repeat changes nothing, and two stations with a run in the same second stay two files. There is no window after
+    which a delivery comes too late and no state that has to hold what was seen.
+
+    Files without a time in their name are kept under ``NO_DAY``.
+    """
+
+    path: str
+    keys: tuple[str, ...] = ("station", "file_name")
+
+    #: The day of files that have none.
+    NO_DAY = "0001-01-01"
+
+    def _dated(self, files: DataFrame) -> DataFrame:
+        return files.withColumn(DAY, F.coalesce(F.to_date("obs_ts"), F.lit(self.NO_DAY).cast("date")))
+
+    def take(self, files: DataFrame, batch: int) -> None:
+        """``files``: parsed rows with ``parse_error``, good and bad."""
+        spark = files.sparkSession
+        dated = self._dated(files)
+        replace_batch(dated, f"{self.path}/ledger", batch)
+        schema = _schema(dated, f"{DAY} date", f"{BATCH} long")
+        ledger = spark.read.schema(schema).parquet(f"{self.path}/ledger")
+        touched = ledger.where(F.col(BATCH) == batch).select(DAY).distinct()
+        replace_days(self.best(of_days(spark, f"{self.path}/ledger", schema, touched)), f"{self.path}/published")
+
+    def best(self, ledger: DataFrame) -> DataFrame:
+        """One row per file; which delivery is chosen by error, batch and content, before any spectrum moves twice."""
+        rest = [c for c in ledger.columns if c not in (*self.keys, DAY, BATCH)]
+        rank = F.struct(F.col("parse_error").isNotNull().alias("bad"), F.col(BATCH), F.xxhash64(*rest).alias("content"))
+        best = ledger.groupBy(DAY, *self.keys).agg(F.min_by(F.struct(*rest), rank).alias("_best"))
+        return best.select(DAY, *self.keys, "_best.*")
+
+    def read(self, spark: SparkSession, files: DataFrame) -> DataFrame:
+        types = _schema(self.best(self._dated(files).withColumn(BATCH, F.lit(0).cast("long"))), f"{DAY} date")
+        return spark.read.schema(types).parquet(f"{self.path}/published")
+
+
 # --- fits -----------------------------------------------------------------------------
 
 
@@ -231,7 +277,7 @@ class DailyFits:
 # --- running ----------------------------------------------------------------------------
 
 
-def publish(stream: DataFrame, table: Windows | Pairs | DailyFits, checkpoint: str) -> StreamingQuery:
+def publish(stream: DataFrame, table: Windows | Pairs | Deliveries | DailyFits, checkpoint: str) -> StreamingQuery:
     """Take up everything now available, batch by batch, then stop; run it again for what is new."""
 
     def each(rows: DataFrame, batch: int) -> None:
@@ -244,7 +290,7 @@ def publish(stream: DataFrame, table: Windows | Pairs | DailyFits, checkpoint: s
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def published(stream: DataFrame, make: Callable[[str], Windows | Pairs], label: str) -> DataFrame:
+def published(stream: DataFrame, make: Callable[[str], Windows | Pairs | Deliveries | DailyFits], label: str) -> DataFrame:
     """Run to the end of the input below the shared scratch folder and read the published table."""
     spark = stream.sparkSession
     base = scratch_path(spark, label)
