@@ -212,3 +212,40 @@ def test_daily_fits_of_batches(spark, tmp_path):
     for k, r in got.items():
         assert r.status == "ok" and r.n_pairs == want[k].n // 23
         np.testing.assert_allclose([r.rsq, r.c3 * 11], [want[k].rsq, want[k].c3], rtol=1e-9)
+
+
+def test_lower_bound(spark):
+    from verdance.functions.arrays import lower_bound
+
+    rows = [(k, [float(x) for x in range(0, 2 * n, 2)]) for k, n in enumerate((0, 1, 2, 3, 7, 8, 100))] + [(99, None)]
+    df = spark.createDataFrame(rows, "k int, a array<double>")
+    values = [-1.0, 0.0, 1.0, 4.0, 5.0, 13.0, 14.0, 197.5, 198.0, 500.0]
+    got = df.selectExpr("k", "a", *[f"{lower_bound('a', f'{v}D', 100)} AS v{i}" for i, v in enumerate(values)]).collect()
+    for r in got:
+        for i, v in enumerate(values):
+            assert r[f"v{i}"] == (None if r.a is None else int(np.searchsorted(r.a, v)))
+
+
+def test_window_by_each_file_s_axis(spark):
+    """Axes shifted by whole pixels, with spectra that shift along, give one fluorescence; a nominal axis the fixed pixels."""
+    rng = np.random.default_rng(2)
+    nominal = QE.variant(pixels=60, black=((1, 3), (58, 60)), window=(20, 42), reference_pixel=30, dark="black")
+    by_axis = nominal.variant(window_from_nm=755.0)
+    axis = 736.0 + np.arange(1, 61)  # pixel 19 is at 755 - 0
+    axis = axis - axis[19] + 755.0  # pixel 20 at 755
+    base = rng.uniform(5_000, 60_000, (2, 90))
+    rows = []
+    for shift in (-5, 0, 3, 12, 30):
+        spectra = [[1000.0] * 3 + [float(v) for v in s[20 - shift + 3 : 20 - shift + 57]] + [1000.0] * 3 for s in base[:, :]] if shift <= 12 else [[1000.0] * 60] * 2
+        rows.append((shift, [float(v) for v in axis - shift], spectra))
+    df = spark.createDataFrame(rows, "file_id int, wavelength array<double>, spectra array<array<double>>").selectExpr(
+        "*", "array(1D, 0D, 0D, 0D, 0D, 0D, 0D, 0D) AS nl_coeff", "1000000L AS inte_t1_us", "1000000L AS inte_t2_us",
+        "transform(sequence(1, 60), p -> 1D) AS coef_irr", "transform(sequence(1, 60), p -> 1D) AS coef_rad",
+    )
+    got = {r.file_id: r for r in fluorescence(df, by_axis, ["file_id"]).collect()}
+    fixed = {r.file_id: r for r in fluorescence(df, nominal, ["file_id"]).collect()}
+    assert got[0][1:] == fixed[0][1:]
+    for shift in (-5, 3, 12):
+        np.testing.assert_allclose([got[shift].sif, got[shift].rsq], [got[0].sif, got[0].rsq], rtol=1e-9)
+        assert abs(fixed[shift].sif - got[0].sif) > 1e-9
+    assert got[30].status == "missing"

@@ -58,6 +58,17 @@ def median(arr: str) -> str:
     return bind({"v": f"sort_array({arr})"}, "s", middle)
 
 
+def lower_bound(arr: str, value: str, longest: int) -> str:
+    """How many elements of a rising array are below ``value``, by halving; ``longest`` bounds the array's length."""
+    middle = "int((b.lo + b.hi) div 2)"
+    step = f"""if(b.lo >= b.hi, b, if(get({arr}, {middle}) < {value},
+        named_struct('lo', {middle} + 1, 'hi', b.hi), named_struct('lo', b.lo, 'hi', {middle})))"""
+    return (
+        f"if({arr} IS NULL, NULL, aggregate(sequence(1, {longest.bit_length()}),"
+        f" named_struct('lo', 0, 'hi', size({arr})), (b, k) -> {step}, b -> b.lo))"
+    )
+
+
 def forward_difference(arr: str) -> str:
     """Step to the next element; the last element repeats the step before it."""
     return bind(

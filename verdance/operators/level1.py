@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from verdance.functions import radiometry as R
-from verdance.functions.arrays import num, pick, pixels, strict_mean
+from verdance.functions.arrays import lower_bound, num, pick, pixels, strict_mean
 from verdance.functions.lsq import fit_sums, line, merge_sums, solve_sums
 from verdance.profiles import InstrumentProfile
 
@@ -51,10 +51,14 @@ def file_scalars(profile: InstrumentProfile) -> dict[str, str]:
     return out
 
 
-def pixel_vectors(profile: InstrumentProfile, obs: DataFrame, first: int, last: int) -> dict[str, str]:
-    """Per-pixel inputs, cut to the pixels in use."""
+def pixel_vectors(
+    profile: InstrumentProfile, obs: DataFrame, first: int, last: int, start: str | None = None
+) -> dict[str, str]:
+    """Per-pixel inputs, cut to the pixels in use; ``start`` as in :func:`pair_pixels`."""
 
     def cut(name: str) -> str:
+        if start is not None:
+            return f"slice({name}, {start}, {last - first + 1})"
         return name if (first, last) == (1, profile.pixels) else pixels(name, first, last)
 
     out: dict[str, str] = {}
@@ -79,14 +83,16 @@ def corrected(profile: InstrumentProfile, which: str, counts: str, i: str) -> st
 
 
 def flux(
-    profile: InstrumentProfile, which: str, linear: str, i: str, span: tuple[int, int], per_pixel: bool
+    profile: InstrumentProfile, which: str, linear: str, i: str, span: tuple[int, int] | str, per_pixel: bool
 ) -> str:
-    """Flux of one pixel, NULL at black pixels; ``i`` counts from the start of ``span``."""
-    first, last = span
+    """Flux of one pixel, NULL at black pixels; ``i`` counts from the start of ``span``, or from the pixel it names."""
     scale = R.factor(
         f"get(k_{which}, {i})", f"t_{which}", profile, which, f"get(w, {i})" if per_pixel else None
     )
     value = f"{scale} * {linear}"
+    if isinstance(span, str):
+        return f"if({R.is_black(f'{i} + {span} - 1', profile)}, NULL, {value})"
+    first, last = span
     if not any(lo <= last and first <= hi for lo, hi in profile.black):
         return value
     return f"if({R.is_black(f'{i} + {first - 1}', profile)}, NULL, {value})"
@@ -137,36 +143,46 @@ def spectrum_pixels(
     )
 
 
+def window_start(profile: InstrumentProfile, axis: str = "wavelength") -> str:
+    """First pixel (from 1) whose wavelength reaches that of the profile's window."""
+    return f"{lower_bound(axis, num(profile.window_from_nm), profile.pixels)} + 1"
+
+
 def pair_pixels(
     obs: DataFrame,
     profile: InstrumentProfile,
     keys: Sequence[str],
     first: int = 1,
     last: int | None = None,
+    start: str | None = None,
 ) -> DataFrame:
     """Irradiance and radiance of a pair side by side, one row per pixel.
 
     Also carries both values at the middle of the range (``irr_mid, rad_mid``).
-    A file without spectra yields one row of NULLs, so no file is lost.
+    A file without spectra yields one row of NULLs, so no file is lost. ``start``
+    names a column with the first pixel of each file in place of ``first``; the
+    range keeps its length, unless the file ends before.
     """
     last = last or profile.pixels
-    vectors = pixel_vectors(profile, obs, first, last)
+    vectors = pixel_vectors(profile, obs, first, last, start)
     scalars = file_scalars(profile)
     per_pixel = "w" in vectors
-    held = [*keys, *scalars, *vectors]
+    span = (first, last) if start is None else start
+    origin = str(first) if start is None else start
+    keys = [*keys, *([] if start is None else [start])]
 
     middle = str((last - first) // 2)
 
     def at_middle(which: str) -> str:
         signal = corrected(profile, which, f"get(c_{which}, {middle})", middle)
-        return flux(profile, which, R.linearise(signal), middle, (first, last), per_pixel)
+        return flux(profile, which, R.linearise(signal), middle, span, per_pixel)
 
     pairs = (
         obs.selectExpr(
             *keys,
             *named(scalars),
             *named(vectors),
-            f"transform(spectra, r -> {pixels('r', first, last)}) AS rows",
+            f"transform(spectra, r -> slice(r, {origin}, {last - first + 1})) AS rows",
             "if(size(spectra) > 1, sequence(0, size(spectra) div 2 - 1), NULL) AS pairs",
         )
         .selectExpr("*", "explode_outer(pairs) AS p")
@@ -185,11 +201,8 @@ def pair_pixels(
     return px.selectExpr(
         *keys,
         "pair_no",
-        f"i + {first} AS pixel",
-        *[
-            f"{flux(profile, w, R.linearise(f'x_{w}'), 'i', (first, last), per_pixel)} AS {w}"
-            for w in CHANNELS
-        ],
+        f"i + {origin} AS pixel",
+        *[f"{flux(profile, w, R.linearise(f'x_{w}'), 'i', span, per_pixel)} AS {w}" for w in CHANNELS],
         "irr_mid",
         "rad_mid",
     )
@@ -240,7 +253,9 @@ def fluorescence(obs: DataFrame, profile: InstrumentProfile, keys: Sequence[str]
     ``x`` counts the window pixels from 1; ``c0 + c1*x`` is the fluorescence.
     Missing irradiance counts as zero. ``status`` says why a pair has no fit:
     ``no_signal`` (all irradiance or all radiance zero), ``bad_radiance`` (a
-    missing value), ``singular``, ``missing`` (no such spectra).
+    missing value), ``singular``, ``missing`` (no such spectra, or too short for
+    the window). Where the profile has a wavelength for it, the window begins by
+    each file's own axis (``wavelength``), else at a fixed pixel.
     """
     return fluorescence_of(fluorescence_sums(obs, profile, keys), profile, [*keys, "pair_no"])
 
@@ -250,10 +265,14 @@ def fluorescence_sums(obs: DataFrame, profile: InstrumentProfile, keys: Sequence
     first, last = profile.window
     n = profile.window_size
     mid, half = (n + 1) / 2, (n - 1) / 2
-    px = pair_pixels(obs, profile, keys, first, last).selectExpr(
+    start = None
+    if profile.window_from_nm is not None:
+        obs, start = obs.selectExpr("*", f"{window_start(profile)} AS _first"), "_first"
+    origin = str(first) if start is None else start
+    px = pair_pixels(obs, profile, keys, first, last, start).selectExpr(
         *keys,
         "pair_no",
-        f"(pixel - {num(first - 1 + mid)}) / {num(half)} AS x",
+        f"(pixel - {origin} + 1 - {num(mid)}) / {num(half)} AS x",
         "if(pixel IS NULL, NULL, coalesce(irr, 0D)) AS irr",
         "rad",
         "coalesce(irr_mid, 0D) AS irr_mid",

@@ -20,7 +20,7 @@ from verdance.plans.diurnal import COLUMNS, HOUR_OF_NAME, diurnal, refresh
 from verdance.plans.diurnal import diurnal_long as long_table
 from verdance.profiles import FIXED_RUN_US
 from verdance.session import scratch_path
-from verdance.sources import raw
+from verdance.sources import raw, rawfiles
 from verdance.sources import tables as T
 from verdance.sources.calibration import in_force
 from verdance.sources.sinks import latest_day
@@ -230,6 +230,31 @@ def sif_rsq(spark, sf):
     return _fits(spark, sf).selectExpr("file_id", "pair_no", "status", r("rsq"))
 
 
+@query
+def sif_by_wavelength(spark, sf):
+    """The window begins at 748.665 nm on each file's own axis, which is another pixel in half of the files."""
+    profile = T.EMB.variant(window_from_nm=748.665)
+    fits = level1.fluorescence(T.calibrated(spark, sf), profile, ["file_id", "wavelength"])
+    return fits.selectExpr(
+        "file_id", "pair_no", f"{level1.window_start(profile)} AS first_pixel", "status", r("sif"), r("rsq")
+    )
+
+
+@query
+def fit_status(spark, sf):
+    """Missing irradiance, all or some of a window; a missing radiance pixel; no spectra at all."""
+    damaged = """CASE file_id % 6 WHEN 4 THEN NULL ELSE transform(spectra, (s, k) -> transform(s, (v, i) -> CASE
+        WHEN file_id % 6 = 1 AND k % 2 = 0 AND i BETWEEN 20 AND 49 THEN NULL
+        WHEN file_id % 6 = 2 AND k % 2 = 0 AND i IN (24, 29) THEN NULL
+        WHEN file_id % 6 = 3 AND k = 3 AND i = 32 THEN NULL ELSE v END)) END"""
+    obs = T.calibrated(spark, sf).withColumn("spectra", F.expr(damaged))
+    sums = level1.fluorescence_sums(obs, T.EMB, ["file_id"])
+    fits = level1.fluorescence_of(sums, T.EMB, ["file_id", "pair_no", "dark_irr"])
+    return fits.selectExpr(
+        "file_id", "coalesce(pair_no, 0) AS pair_no", "status", "dark_irr AS n_dark", r("sif"), r("rsq")
+    )
+
+
 @query
 def sif_by_hour(spark, sf):
     """One fit per hour and pair over all its files, from the sums of the files' own fits, kept at rest."""
@@ -836,6 +861,50 @@ def raw_fixed(spark, sf):
     return _summary(raw.parse(files, _RAW_PROFILES, ("file_id",)))
 
 
+def _named_files(spark, sf) -> str:
+    """Both instruments' files under their own names, a folder per station; the folder's path."""
+    sides = [_raw(spark, sf, i, K.PREFIX[i]).where(f"file_id % 2 = {k}") for k, i in enumerate(("QE", "HR"))]
+    files = sides[0].unionByName(sides[1]).selectExpr("concat('s', file_id % 4) AS folder", "file_name", "value")
+    path = scratch_path(spark, "named")
+    rawfiles.write_files(files, path)
+    return path
+
+
+def _found(parsed: DataFrame) -> DataFrame:
+    return parsed.selectExpr(
+        "station",
+        "file_name",
+        "instrument",
+        stamp("obs_ts", "obs_ts"),
+        "n_rows",
+        r(_total("flatten(spectra)"), 2, "sum_counts"),
+        "coalesce(parse_error, 'none') AS parse_error",
+    )
+
+
+@query
+def raw_files_by_name(spark, sf):
+    """Written as single files, read back by bytes and parsed."""
+    files = rawfiles.read_files(spark, _named_files(spark, sf)).withColumnRenamed("folder", "station")
+    return _found(raw.parse(files, _RAW_PROFILES, ("station",)))
+
+
+@query
+def raw_discovered(spark, sf):
+    """The same folder discovered by Spark's text reader, the station from the path."""
+    files = raw.discover(spark, _named_files(spark, sf), station=r"/(s\d)/[^/]+$")
+    return _found(raw.parse(files, _RAW_PROFILES, ("station",)))
+
+
+@query
+def raw_discovered_stream(spark, sf):
+    """The same folder taken up as a stream of dropped files into the table by result, instrument and day."""
+    path = _named_files(spark, sf)
+    files = raw.discover(spark, path, streaming=True, station=r"/(s\d)/[^/]+$")
+    out = jobs.drain(jobs.ingest(files, _RAW_PROFILES, ["station"]), "dropped", jobs.INGEST_FOLDERS)
+    return _found(out)
+
+
 @query
 def quarantine(spark, sf):
     """Files damaged in six ways, by file number; every damage is named, none lost."""

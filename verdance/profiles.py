@@ -53,6 +53,9 @@ class InstrumentProfile:
     dark: str = "centred"
     channel_order: str = "irr_rad"
     window: tuple[int, int] | None = None
+    # with a wavelength the window has the same number of pixels but begins, file by
+    # file, at the first one that reaches it
+    window_from_nm: float | None = None
     report_index: int = 18
     display_clip: tuple[int, int] | None = None
     dark_limit: float | None = None
