@@ -43,8 +43,10 @@ def test_band_width_job(spark, tmp_path):
     )
     assert [r.nm for r in widths.orderBy("pixel").collect()] == [0.5, 0.75, 0.75, 0.75]
     sinks.write_band_width(widths, str(tmp_path / "w"))
-    back = C.read_band_width(spark, str(tmp_path / "w"), "QE").orderBy("pixel").collect()
-    assert [(r.pixel, r.nm) for r in back] == [(1, 0.5), (2, 0.75), (3, 0.75), (4, 0.75)]
+    assert [p.name for p in (tmp_path / "w").glob("*.csv")] == ["QE.csv"]
+    for owner in ("QE", None):
+        back = C.read_band_width(spark, str(tmp_path / "w"), owner).orderBy("pixel").collect()
+        assert [(r.instrument, r.pixel, r.nm) for r in back] == [("QE", 1, 0.5), ("QE", 2, 0.75), ("QE", 3, 0.75), ("QE", 4, 0.75)]
 
 
 @pytest.mark.parametrize("pixels", [[1, 2, 4], [1, 2, 2, 3], [0, 1, 2], [1, None, 3]])

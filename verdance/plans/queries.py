@@ -7,6 +7,7 @@ times are given as text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +19,11 @@ from verdance.functions.lsq import fit_groups
 from verdance.operators import darkmodel, level1, offsets, pairing, panels, quality
 from verdance.plans.diurnal import COLUMNS, HOUR_OF_NAME, diurnal, refresh
 from verdance.plans.diurnal import diurnal_long as long_table
-from verdance.profiles import FIXED_RUN_US
+from verdance.profiles import DARK_MODEL_BANDS, FIXED_RUN_US
 from verdance.session import scratch_path
-from verdance.sources import raw, rawfiles
+from verdance.sources import calibration as cal
+from verdance.sources import raw, rawfiles, sinks
 from verdance.sources import tables as T
-from verdance.sources.calibration import in_force
-from verdance.sources.sinks import latest_day
 from verdance.streaming import jobs, published
 from verdance.streaming import tables as streams
 
@@ -177,6 +177,32 @@ def flux_arrays(spark, sf):
     )
 
 
+@query
+def flux_from_files(spark, sf):
+    """Calibration and widths go through their files: coefficients by key, by lettered key, and as vendor lines."""
+    table, folder = T.calibration(spark), scratch_path(spark, "calibration")
+    sinks.write_coefficients(table.where("instrument = 'QE' AND channel = 'irr'"), folder)
+    sinks.write_coefficients(table.where("instrument = 'QE' AND channel = 'rad'"), folder, "V")
+    vendor = F.transform(
+        F.array_sort(F.collect_list(F.struct("pixel", "coef"))),
+        lambda s: F.concat_ws("\t", (s["pixel"] * 0.4 + 700).cast("string"), s["coef"].cast("string")),
+    )
+    head = F.lit("".join(f"line {k}\n" for k in range(1, 10)))
+    lines = table.where("instrument = 'HR'").groupBy("channel").agg(F.concat(head, F.array_join(vendor, "\n")).alias("value"))
+    rawfiles.write_files(lines.selectExpr("concat('HR_', channel, '.csv') AS file_name", "value"), folder)
+    sinks.write_band_width(T.band_width(spark), f"{folder}-widths")
+    parts = [
+        read(spark, f"{folder}/{i}_{c}.csv", i, c)
+        for i, read in (("QE", cal.read_coefficients), ("HR", cal.read_instrument_lines))
+        for c in ("irr", "rad")
+    ]
+    coefs = reduce(DataFrame.unionByName, parts)
+    dim = cal.vectors(coefs, cal.read_band_width(spark, f"{folder}-widths"), T.PIXELS)
+    obs = level1.attach_calibration(T.observations(spark, sf), dim)
+    px = level1.spectrum_pixels(obs, T.EMB, ["file_id"])
+    return px.selectExpr("file_id", "pair_no", "channel", "pixel", r("flux"))
+
+
 @query
 def calibration_as_of(spark, sf):
     """Irradiance at the reference pixel by the version of the calibration in force at the file's time."""
@@ -197,7 +223,7 @@ def version_in_force(spark, sf):
     kinds = events.select("event_type").distinct()
     listed = ", ".join(f"timestamp_ntz'{m}'" for m in marks)
     versions = kinds.selectExpr("event_type", f"explode(array({listed})) AS valid_from")
-    out = in_force(events, versions, "ts", ["event_type"])
+    out = cal.in_force(events, versions, "ts", ["event_type"])
     return out.selectExpr("event_id", f"coalesce({TIME.format('valid_from')}, 'none') AS valid_from")
 
 
@@ -230,6 +256,20 @@ def sif_rsq(spark, sf):
     return _fits(spark, sf).selectExpr("file_id", "pair_no", "status", r("rsq"))
 
 
+@query
+def sif_dark_files(spark, sf):
+    """The dark model goes through its files, one per temperature band."""
+    models, folder = T.dark_models(spark), scratch_path(spark, "dark-model")
+    row = "concat_ws(',', concat('\"', i + 1, '\"'), string(v), string(get(v2, i)))"
+    text = f"concat('\"\",\"V1\",\"V2\"\\n', array_join(transform(v1, (v, i) -> {row}), '\\n'), '\\n')"
+    rawfiles.write_files(models.selectExpr("concat(band, '.csv') AS file_name", f"{text} AS value"), folder)
+    paths = {band: f"{folder}/{band}.csv" for band, _, _ in DARK_MODEL_BANDS}
+    bands = darkmodel.listed_bands(cal.read_dark_model(spark, paths, DARK_MODEL_BANDS, T.EMB.pixels))
+    obs = T.dated(T.calibrated(spark, sf), spark, sf)
+    fits = level1.fluorescence(darkmodel.use_modelled_dark(obs, bands), T.EMB, ["file_id", "dark_status"])
+    return fits.selectExpr("file_id", "coalesce(pair_no, 0) AS pair_no", "dark_status", r("sif"), r("rsq"))
+
+
 @query
 def sif_by_wavelength(spark, sf):
     """The window begins at 748.665 nm on each file's own axis, which is another pixel in half of the files."""
@@ -506,7 +546,7 @@ def quarter_hour_bucket(spark, sf):
 @query
 def latest_day_key(spark, sf):
     dates = T.table(spark, sf, "events").selectExpr(f"{K.day_key('ts')} AS date")
-    return latest_day(dates)
+    return sinks.latest_day(dates)
 
 
 @query
@@ -633,6 +673,18 @@ def band_width(spark, sf):
     return steps.selectExpr("file_id", "n_rows", "i + 1 AS pixel", r("nm"))
 
 
+@query
+def band_width_files(spark, sf):
+    """Widths from the axis in every raw file, written as one file each and read back."""
+    parsed = raw.parse(_raw(spark, sf, "QE", "QE_PRO_"), _RAW_PROFILES, ("file_id",))
+    steps = parsed.selectExpr(
+        "concat('file', file_id) AS instrument", f"posexplode({forward_difference('wavelength')}) AS (i, nm)"
+    ).selectExpr("instrument", "i + 1 AS pixel", "nm")
+    folder = scratch_path(spark, "widths")
+    sinks.write_band_width(steps, folder)
+    return cal.read_band_width(spark, folder).selectExpr("instrument", "pixel", r("nm"))
+
+
 # --- products ---------------------------------------------------------------
 
 def _instruments(spark, sf, per_pixel: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -753,6 +805,16 @@ def diurnal_positional(spark, sf):
     return _rounded(diurnal(*_instruments(spark, sf), T.EMB, T.EMB_HR, pairing="position"))
 
 
+@query
+def diurnal_csv(spark, sf):
+    """The wide table as the published CSV file, read back."""
+    table = diurnal(*_instruments(spark, sf), T.EMB, T.EMB_HR).where("file_name IS NOT NULL")
+    path = sinks.write_diurnal_csv(table, scratch_path(spark, "csv"))
+    schema = ", ".join(["`row` BIGINT", *(f"`{c}` DOUBLE" for c in COLUMNS)])
+    back = spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
+    return back.selectExpr("`row`", *[r(c, 9 if c == "date" else 6) for c in COLUMNS])
+
+
 @query
 def diurnal_rad_irr(spark, sf):
     """Second set-up: radiance first, plain dark, width per pixel, pairing by position."""

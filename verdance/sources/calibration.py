@@ -185,12 +185,17 @@ def read_dark_model(
     )
 
 
-def read_band_width(spark: SparkSession, path: str, instrument: str) -> DataFrame:
-    """Width per pixel: a header and one number per line, in pixel order."""
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("l"))
-    body = lines.select(F.posexplode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))))
+def read_band_width(spark: SparkSession, path: str, instrument: str | None = None) -> DataFrame:
+    """Width per pixel: a header and one number per line, in pixel order.
+
+    Without ``instrument`` every file's own name, less its ending, tells whose widths it has.
+    """
+    lines = spark.read.text(path, wholetext=True)
+    owner = F.regexp_replace("_metadata.file_name", r"\.csv$", "") if instrument is None else F.lit(instrument)
+    split = lines.select(owner.alias("instrument"), F.split("value", r"\r?\n").alias("l"))
+    body = split.select("instrument", F.posexplode(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0)))))
     return body.where("trim(col) <> ''").select(
-        F.lit(instrument).alias("instrument"),
+        "instrument",
         (F.col("pos") + 1).cast("int").alias("pixel"),
         _finite(F.trim("col").try_cast("double")).alias("nm"),
     )

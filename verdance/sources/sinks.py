@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdance.operators.pairing import ordinal
 from verdance.plans.diurnal import COLUMNS, HOUR_OF_NAME
+from verdance.sources.rawfiles import write_files
 
 
 def write_observations(observations: DataFrame, path: str) -> None:
@@ -46,11 +47,24 @@ def write_diurnal_table(diurnal: DataFrame, path: str, year: str) -> None:
     diurnal.selectExpr("*", "int(floor(date)) AS doy").write.partitionBy(year, "doy").parquet(path)
 
 
-def write_band_width(widths: DataFrame, path: str) -> None:
-    """One number per line in pixel order, with a header, as one small file."""
-    widths.coalesce(1).sortWithinPartitions("pixel").selectExpr("nm AS x").write.option(
-        "header", True
-    ).csv(path)
+def write_band_width(widths: DataFrame, folder: str) -> None:
+    """``<instrument>.csv`` for every instrument: a header and one number per line in pixel order.
+
+    An instrument's widths are as many as its pixels, so a file is one row of a table of files.
+    """
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pixel", "nm"))), lambda s: F.coalesce(s["nm"].cast("string"), F.lit("NA")))
+    text = F.concat(F.lit("x\n"), F.array_join(lines, "\n"), F.lit("\n"))
+    files = widths.groupBy("instrument").agg(text.alias("value"))
+    write_files(files.select(F.concat("instrument", F.lit(".csv")).alias("file_name"), "value"), folder)
+
+
+def write_coefficients(calibration: DataFrame, folder: str, letter: str = "") -> None:
+    """``<instrument>_<channel>.csv`` with a row key and one coefficient per pixel, as ``read_coefficients`` takes it."""
+    items = F.array_sort(F.collect_list(F.struct("pixel", "coef")))
+    row = lambda s: F.concat(F.lit(f'"{letter}'), s["pixel"], F.lit('",'), F.coalesce(s["coef"].cast("string"), F.lit("NA")))
+    text = F.concat(F.lit('"","x"\n'), F.array_join(F.transform(items, row), "\n"), F.lit("\n"))
+    files = calibration.groupBy("instrument", "channel").agg(text.alias("value"))
+    write_files(files.select(F.concat("instrument", F.lit("_"), "channel", F.lit(".csv")).alias("file_name"), "value"), folder)
 
 
 def write_panels(panels: DataFrame, path: str) -> None:
