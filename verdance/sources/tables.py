@@ -98,9 +98,13 @@ def observations(spark: SparkSession, sf_dir: str, instrument: str | None = None
     if instrument is not None:
         flat = flat.where(f"{INSTRUMENT} = '{instrument}'")
     held = flat.groupBy("file_id").agg(F.expr("sort_array(collect_set(struct(r, embedding))) AS held"))
-    slots = held.selectExpr(
-        "file_id", *[f"get(filter(held, s -> s.r = {k}), 0).embedding AS e{k}" for k in range(ROWS)]
-    )
+
+    def slot(k: int) -> str:
+        # rows are in order: in a whole file the k-th is row k, and is looked for only where it is not the first such
+        first = f"get(held, {k}).r = {k}" + (f" AND get(held, {k - 1}).r < {k}" if k else "")
+        return f"if({first}, get(held, {k}), get(filter(held, s -> s.r = {k}), 0)).embedding AS e{k}"
+
+    slots = held.selectExpr("file_id", *[slot(k) for k in range(ROWS)])
     rows = ", ".join(f"e{k}" for k in range(ROWS))
     return slots.selectExpr(
         "file_id",
