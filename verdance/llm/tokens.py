@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that a worker's table of words takes, with what a dictionary entry needs besides its text.
-KEEP, ENTRY = 64 << 20, 200
+KEEP, ENTRY = 192 << 20, 200
 #: Bytes of a piece that is kept, and that is merged together with others.
 LONG = 256
 
