@@ -187,6 +187,24 @@ def stages(spark, docs, sf_dir, tmp_path):
     return out
 
 
+def test_a_stage_gives_back_the_disk_of_those_before(spark, sf_dir, tmp_path):
+    """Tables behind a written result go when a later stage begins; those of the same stage stay."""
+    import os
+
+    docs = frame(spark, odd_rows())
+    folders = {}
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        twice = [stage(spark, docs, sf_dir) for _ in range(2)]
+        folders[name] = [p.removeprefix("file:") for p in corpus_pipeline._written[name]]
+        for k, out in enumerate(twice):
+            out.write.parquet(str(tmp_path / f"{name}{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"{name}0"))
+    assert all(folders.values())
+    for name in ("line_dedup", "near_dedup"):
+        assert not any(os.path.exists(p) for p in folders[name]) and name not in corpus_pipeline._written
+    assert all(os.path.exists(p) for p in folders["mix"])
+
+
 def test_stage_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "mix", "pack"]
 
