@@ -15,12 +15,13 @@ An empty table gives an empty result at every stage.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from verdance.llm import bytenet, lines, minhash, mixing, packing
-from verdance.llm.common import cut, ship, table
+from verdance.llm.common import cut, drop_tables, recorded, ship, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,12 +29,37 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 BATCH = "8m"
 
 
+#: Tables that a stage wrote for itself, by stage.
+_written: dict[str, list[str]] = {}
+
+
+def stage(run: Stage) -> Stage:
+    """A stage that first gives back the disk of those before it.
+
+    A stage begins when its predecessor's result is written, so the tables behind that one have served. Those of the
+    stage itself stay until a later one begins, and those of the last stage until its result is read.
+    """
+
+    @wraps(run)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        order = [f.__name__ for _, f in STAGES]
+        for name in order[: order.index(run.__name__)]:
+            drop_tables(spark, _written.pop(name, []))
+        with recorded() as paths:
+            out = run(spark, docs, sf_dir)
+        _written.setdefault(run.__name__, []).extend(paths)
+        return out
+
+    return begun
+
+
 def workers(spark: SparkSession) -> None:
     """Python workers that know the package and take small batches."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that the classifier, trained on their own labels, predicts to be good."""
     workers(spark)
@@ -41,22 +67,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bytenet.accepted(docs, net)
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: texts without the later copies of repeated runs of lines."""
     return lines.without_copies(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: one document of each group of near copies, five words and a similarity of 0.8."""
     workers(spark)
     return minhash.first_of_each(docs, minhash.Near(words=5, percent=80))
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents as often as the mix of their sources takes them."""
     return mixing.mixed(docs)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: the documents' pieces with their places in sequences of 4096 tokens."""
     workers(spark)
