@@ -235,5 +235,5 @@ def test_pipeline_odd_rows_and_nothing(spark, sf_dir, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")] == list(range(1, 14))
     assert minhash.Near().words == 5 and minhash.Near().percent == 80
