@@ -373,18 +373,20 @@ def _slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"host": b["host"], "shape": b["shape"], "pages": b["pages"], "slots": found})
 
 
-def slotted(read: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, host, is_first: no copy of an earlier row, blocks: slot, inside, a hash of the text); pages of every slot."""
-    whole = read.select(
-        "row",
-        "host",
-        "shape",
-        F.xxhash64("shape").alias("s"),
-        F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("page"),
-        F.transform(
-            "blocks", lambda b: F.struct(b["node"].alias("node"), b["inside"].alias("inside"), F.xxhash64(b["text"]).alias("text"))
-        ).alias("blocks"),
-    )
+#: What a page is known by: its host, and hashes of its shape and of its texts.
+_PAGE = ["host", "s", "page"]
+
+
+def hashed(read: DataFrame) -> DataFrame:
+    """``read`` with the hashes ``s`` and ``page``."""
+    return read.withColumns({"s": F.xxhash64("shape"), "page": F.xxhash64(F.transform("blocks", lambda b: b["text"]))})
+
+
+def slotted(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (host, s, page, is_first: no copy of an earlier row, blocks: slot, inside, a hash of the text); pages of every slot.
+
+    ``whole``: row, host, shape, s, page and blocks with a hash in place of the text.
+    """
     # copies of a page are one page, its first row
     copied = whole.groupBy("host", "page").agg(F.min("row").alias("first"), F.count("*").alias("times")).where("times > 1")
     copied = cut(copied.drop("times"), "wrapper-copied")
@@ -401,7 +403,7 @@ def slotted(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     placed_blocks = whole.join(placed.drop("pages"), ["host", "shape"]).join(copied, ["host", "page"], "left")
     is_first = F.col("first").isNull() | (F.col("row") == F.col("first"))
-    placed_blocks = placed_blocks.select("row", "host", is_first.alias("is_first"), found.alias("blocks"))
+    placed_blocks = placed_blocks.select(*_PAGE, is_first.alias("is_first"), found.alias("blocks"))
     having = placed.select("host", "pages", F.explode(F.array_distinct("slots")).alias("slot"))
     having = having.groupBy("host", "slot").agg(F.sum("pages").alias("pages"))
     return placed_blocks, cut(having, "wrapper-having")
@@ -462,11 +464,19 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: a row for every row of ``pages``."""
-    read = cut(read_pages(pages).withColumn("row", F.monotonically_increasing_id()), "wrapper-pages")
-    placed, having = slotted(read)
-    blocks = placed.select("row", "host", F.posexplode("blocks").alias("at", "b")).select("row", "host", "at", "b.slot", "b.text")
-    gone = blocks.join(templates(placed, having), ["host", "slot", "text"]).groupBy("row").agg(F.collect_list("at").alias("gone"))
-    joined = read.join(gone, "row", "left").select("page_id", "url", "blocks", "groups", "gone")
+    """page_id, url, text, n_chars: a row for every row of ``pages``.
+
+    Pages are parsed twice: what is written in between are hashes, and texts move once, to the blocks that go.
+    """
+    lean = F.transform(
+        "blocks", lambda b: F.struct(b["node"].alias("node"), b["inside"].alias("inside"), F.xxhash64(b["text"]).alias("text"))
+    )
+    whole = hashed(read_pages(pages)).select(*_PAGE, "shape", lean.alias("blocks"), F.monotonically_increasing_id().alias("row"))
+    placed, having = slotted(cut(whole, "wrapper-pages"))
+    blocks = placed.select(*_PAGE, F.posexplode("blocks").alias("at", "b")).select(*_PAGE, "at", "b.slot", "b.text")
+    # copies of a page have the same blocks, and lose the same
+    gone = blocks.join(templates(placed, having), ["host", "slot", "text"]).groupBy(*_PAGE).agg(F.collect_set("at").alias("gone"))
+    again = hashed(read_pages(pages)).select(*_PAGE, "page_id", "url", "blocks", "groups")
+    joined = again.join(cut(gone, "wrapper-gone"), _PAGE, "left").select("page_id", "url", "blocks", "groups", "gone")
     text = joined.mapInArrow(_contents, "page_id long, url string, text string")
     return text.withColumn("n_chars", F.length("text").cast("long"))
