@@ -29,16 +29,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@cache
 def _powers(size: int, base: int) -> np.ndarray:
     out = np.full(size, base, U64)
-    out[0] = 1
+    out[:1] = 1
     return np.multiply.accumulate(out)
 
 
+_kept = cache(_powers)
+
+
 def powers(n: int, base: int) -> np.ndarray:
-    """base^0 ... base^(n - 1) modulo 2^64."""
-    return _powers(max(SLICE, 1 << (n - 1).bit_length()) if n > 1 else SLICE, base)[:n]
+    """base^0 ... base^(n - 1) modulo 2^64; a worker keeps those of one slice, and no longer ones."""
+    return _kept(SLICE + 1, base)[:n] if n <= SLICE + 1 else _powers(n, base)
 
 
 def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
