@@ -1093,6 +1093,20 @@ def stream_dedup(spark, sf):
     return out.selectExpr("file_name", stamp(jobs.naive("obs_ts"), "obs_ts"))
 
 
+@query
+def stream_redelivered(spark, sf):
+    """Deliveries known by name and content: a repeat goes, another text under the same name stays."""
+    prefix = "if(event_type = 'view', 'QE_PRO_', 'HR2000PLUS_')"
+    files = streams.events(spark, sf).selectExpr(
+        f"{K.file_name('ts', prefix)} AS file_name",
+        "explode(if(event_id % 3 = 0, array('whole', 'whole', 'cut'), array('whole'))) AS text",
+        "current_timestamp() AS taken_up",
+    )
+    files = files.selectExpr("*", "sha2(concat(file_name, text), 256) AS content")
+    once = jobs.drop_redelivered(files, "taken_up", ["file_name", "content"], "2 days")
+    return jobs.drain(once, "redelivered", state_partitions=STATE).select("file_name", "text", "content")
+
+
 @query
 def stream_ledger(spark, sf):
     """Files in a folder tree, taken up as a stream: a third came truncated first, a third twice; one good row each."""

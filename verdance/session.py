@@ -25,10 +25,15 @@ def local_session(app: str = "verdance", cores: int | str = 8, memory: str = "8g
     return spark
 
 
+#: Folders on this machine, by application, of local sessions that name none.
+_local: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder on this machine.
+    Only a local master may fall back to a folder on this machine, one for the application. The setting itself can't
+    be changed while a session runs, so the folder is kept here.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
@@ -37,9 +42,10 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    root = tempfile.mkdtemp(prefix="verdance-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _local:
+        _local[application] = tempfile.mkdtemp(prefix="verdance-")
+    return _local[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -143,8 +143,8 @@ def rollup(
     """Tumbling-window aggregates, one row per closed window and key.
 
     Append mode: rows later than ``delay`` are dropped and windows that the watermark
-    has not passed are not yet in the result. :func:`close_out` gives the same
-    rows for all windows from the table at rest.
+    has not passed are not yet in the result. ``published.Windows`` keeps a table
+    that has both.
     """
     aggs = [F.expr(f"{e} AS {n}") for n, e in values.items()]
     out = stream.withWatermark(ts, delay).groupBy(F.window(ts, every), *keys).agg(*aggs)
@@ -153,15 +153,6 @@ def rollup(
     )
 
 
-def close_out(
-    table: DataFrame, ts: str, every: str, keys: Sequence[str], values: Mapping[str, str]
-) -> DataFrame:
-    """The rows of :func:`rollup` from the table at rest: late rows and open windows included."""
-    aggs = [F.expr(f"{e} AS {n}") for n, e in values.items()]
-    out = table.where(f"{ts} IS NOT NULL").groupBy(F.window(ts, every), *keys).agg(*aggs)
-    return out.selectExpr(f"{naive('window.start')} AS window_start", *keys, *values)
-
-
 def pair_streams(
     left: DataFrame,
     right: DataFrame,
