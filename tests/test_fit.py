@@ -231,12 +231,13 @@ def test_window_by_each_file_s_axis(spark):
     rng = np.random.default_rng(2)
     nominal = QE.variant(pixels=60, black=((1, 3), (58, 60)), window=(20, 42), reference_pixel=30, dark="black")
     by_axis = nominal.variant(window_from_nm=755.0)
-    axis = 736.0 + np.arange(1, 61)  # pixel 19 is at 755 - 0
-    axis = axis - axis[19] + 755.0  # pixel 20 at 755
+    axis = 755.0 + np.arange(-19, 41)  # pixel 20 is at 755
     base = rng.uniform(5_000, 60_000, (2, 90))
     rows = []
     for shift in (-5, 0, 3, 12, 30):
-        spectra = [[1000.0] * 3 + [float(v) for v in s[20 - shift + 3 : 20 - shift + 57]] + [1000.0] * 3 for s in base[:, :]] if shift <= 12 else [[1000.0] * 60] * 2
+        # black pixels at both ends; beyond the last shift the window doesn't fit into the file
+        cut = slice(20 - min(shift, 12) + 3, 20 - min(shift, 12) + 57)
+        spectra = [[1000.0] * 3 + s[cut].tolist() + [1000.0] * 3 for s in base]
         rows.append((shift, [float(v) for v in axis - shift], spectra))
     df = spark.createDataFrame(rows, "file_id int, wavelength array<double>, spectra array<array<double>>").selectExpr(
         "*", "array(1D, 0D, 0D, 0D, 0D, 0D, 0D, 0D) AS nl_coeff", "1000000L AS inte_t1_us", "1000000L AS inte_t2_us",
