@@ -59,6 +59,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     for paths in _records:
         paths.append(path)
     df.write.parquet(path)
+    if _records:
+        # Spark drops the files of finished shuffles when the driver collects its garbage; a chain of stages asks for it
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
