@@ -3,10 +3,14 @@
 import datetime as dt
 import os
 
+import pyarrow.parquet as pq
 import pytest
 import rawfiles as rf
+from compare import differences, duck
 from pyspark.sql import functions as F
 
+from verdance.plans.oracle import ORACLE
+from verdance.plans.queries import QUERIES
 from verdance.sources import raw
 from verdance.sources import rawfiles as R
 
@@ -72,3 +76,45 @@ def test_nothing_to_write_and_nothing_to_read(spark, tmp_path):
     assert R.read_files(spark, str(tmp_path / "out")).collect() == []
     with pytest.raises(Exception, match="mode append"):
         spark.range(1).selectExpr("'a.csv' AS file_name", "'' AS value").write.format(R.FORMAT).mode("overwrite").save(str(tmp_path / "o"))
+
+
+def test_files_of_one_path_are_set_apart(spark, tmp_path):
+    rows = [("s1", "a.csv", t) for t in ("one", "two", "two")] + [("s2", "a.csv", "one"), (None, "a.csv", "x"), ("", "a.csv", "y")]
+    df = spark.createDataFrame(rows, "folder string, file_name string, value string").repartition(4)
+    path = str(tmp_path / "out")
+    for _ in range(2):  # again after a failure: the same
+        R.write_files(R.apart(df), path)
+        assert tree(path) == sorted(f"{f}a.csv" for f in ("", "again-1/", "again-1/s1/", "again-2/s1/", "s1/", "s2/"))
+    found = R.read_files(spark, path).select(F.substring_index("folder", "/", -1).alias("f"), "value").collect()
+    assert sorted((r.f or "", r.value) for r in found) == sorted([("", "x"), ("again-1", "y"), *[r[::2] for r in rows[:4]]])
+    # without folders
+    R.write_files(R.apart(df.where("folder = 's1'").drop("folder")), str(tmp_path / "flat"))
+    assert tree(tmp_path / "flat") == ["a.csv", "again-1/a.csv", "again-2/a.csv"]
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """Eight files of which two of each station began in one second; one of the events comes twice."""
+    path = tmp_path_factory.mktemp("crowded")
+    vectors = spark.range(0, 80, 1, 2).selectExpr(
+        "id AS vec_id", "transform(sequence(1, 64), i -> float(pmod(hash(id, i), 1000) / 2000)) AS embedding", "1 AS label"
+    )
+    events = spark.range(8).selectExpr(
+        "id AS event_id",
+        "timestamp_ntz'2024-01-05 10:00:00' + make_dt_interval(0, 0, 0, id % 4 + id / 10) AS ts",
+        "id AS user_id",
+        "'view' AS event_type",
+        "id * 1.5D AS value",
+        "'{}' AS props",
+    )
+    events = events.unionByName(events.where("event_id = 2"))
+    for name, df in (("embeddings", vectors), ("events", events)):
+        pq.write_table(df.toArrow(), path / f"{name}.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["raw_discovered"])
+def test_runs_of_one_second_are_all_found(spark, crowded, name):
+    got = QUERIES[name](spark, crowded).toPandas()
+    assert len(got) == 9 and got["file_name"].nunique() == 4
+    assert differences(got, duck(crowded).execute(ORACLE[name]).df()) == []

@@ -10,6 +10,7 @@ after tasks, and its text reader weighs every file like several megabytes. This
   listed once, and files go to tasks by bytes (option ``taskBytes``), however many or few that makes.
 
 Names must be plain: no separators, no leading dot or underscore, and unique within their folder, or the write fails.
+Where two runs may have one name, :func:`apart` gives each file a folder in which its name is unique.
 A row without a name or value is refused as well; nothing is written for a task that has one. Paths may be local or any
 URI of a file system that PyArrow knows. For other stores :func:`verdance.sources.raw.discover` reads the same files by
 Spark's text reader.
@@ -23,7 +24,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -199,6 +201,21 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(NamedFiles)
 
 
+def apart(files: DataFrame) -> DataFrame:
+    """``files`` with a folder each: of rows with one path the first keeps it, others go below ``again-1``, ``again-2``, ...
+
+    The given folder stays the end of the path. A name tells a run's second only, so two runs can share one: neither is
+    lost, nor is a row that comes twice. They are numbered in the order of their texts, so that a task that runs again
+    deals them alike.
+    """
+    folder = F.coalesce("folder", F.lit("")) if "folder" in files.columns else F.lit("")
+    numbered = files.withColumn("folder", folder)
+    again = F.row_number().over(Window.partitionBy("folder", "file_name").orderBy("value")) - 1
+    above = F.when(again > 0, F.concat(F.lit("again-"), again))
+    own = F.concat_ws("/", above, F.nullif("folder", F.lit("")))
+    return numbered.withColumn("folder", F.nullif(own, F.lit("")))
+
+
 def write_files(files: DataFrame, path: str) -> None:
     """Write ``file_name, value`` and optionally ``folder`` as one text file per row.
 
