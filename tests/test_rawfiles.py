@@ -113,7 +113,7 @@ def crowded(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["raw_discovered", "raw_discovered_stream"])
+@pytest.mark.parametrize("name", ["raw_files_by_name", "raw_discovered", "raw_discovered_stream"])
 def test_runs_of_one_second_are_all_found(spark, crowded, name):
     got = QUERIES[name](spark, crowded).toPandas()
     assert len(got) == 9 and got["file_name"].nunique() == 4
