@@ -1,6 +1,7 @@
 """Operators over documents: odd rows, empty tables, and plain versions of the same."""
 
 import hashlib
+import tempfile
 import zlib
 from random import Random
 
@@ -324,6 +325,41 @@ def test_a_long_text_goes_in_stretches(monkeypatch):
     assert set().union(*map(owned, parts)) == owned(whole)
 
 
+def test_anchors_are_found_once(spark, documents, tmp_path, monkeypatch):
+    found, seen = repeats.sampled, str(tmp_path)
+
+    def noted(batches):
+        with tempfile.NamedTemporaryFile(dir=seen, delete=False):
+            yield from batches
+
+    def counted(docs):
+        made = found(docs)
+        return made.mapInArrow(noted, made.schema)
+
+    monkeypatch.setattr(repeats, "sampled", counted)
+    some = spark.createDataFrame(documents[["doc_id", "text"]].iloc[:60]).coalesce(1)
+    assert len(repeats.without_repeats(some).collect()) == 60
+    assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_anchors_of_many_texts_are_those_of_each():
+    r = np.random.default_rng(2)
+    sizes = [0, 399, 400, 5000, 0, 401, 3, 2500, 1200, 0]
+    texts = [r.integers(97, 100, n).astype(np.uint8) for n in sizes]
+    texts[8][:] = 97
+    together = repeats.anchors(np.concatenate(texts), np.cumsum([0, *sizes]))
+    for k, text in enumerate(texts):
+        alone = repeats.anchors(text, np.array([0, len(text)]))
+        own = together["row"] == k
+        assert own.any() == (alone is not None)
+        for name in "abpgc" if alone else "":
+            assert together[name][own].tolist() == alone[name].tolist()
+        # every window has one anchor, the first of the least 32-byte strings in it
+        owned = [s for a, b in zip(together["a"][own], together["b"][own], strict=True) for s in range(a, b + 1)]
+        assert owned == list(range(len(text) - 399))
+    assert together["p"][together["row"] == 8].tolist() == together["a"][together["row"] == 8].tolist()
+
+
 # ---- quality classifier
 
 
