@@ -2,12 +2,14 @@
 
 import hashlib
 import tempfile
+import tracemalloc
 import zlib
 from random import Random
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from corpus import frame, linked_groups, odd_rows, repeat_mask, words
 from hypothesis import given, settings
@@ -192,6 +194,26 @@ def test_a_word_of_a_megabyte_and_bounded_tables(monkeypatch):
 
 
 
+def _peak(call) -> float:
+    """MB that a call holds at once, NumPy's arrays included."""
+    tracemalloc.start()
+    try:
+        call()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_of_the_pipeline_holds_little():
+    own = tokens.WordIds(WORDS)
+    texts = [" ".join(f"w{k * j}" for j in range(200)) for k in range(2500)]
+    assert own.encode(texts[:50]) and "tokenizer" not in vars(own)
+    tb._kept.cache_clear()
+    column = pa.array(texts)
+    assert _peak(lambda: [len(grams) for _, grams in minhash.shingles(column, 5)]) < 20
+    assert _peak(lambda: minhash._minima(np.arange(5000, dtype=np.uint64), 2048)) < 6
+
+
 def test_token_counts_of_documents(spark, documents, odd, none):
     got = tokens.token_counts(spark.createDataFrame(documents), BYTE).toPandas().set_index("doc_id")
     for i, t in documents[["doc_id", "text"]].itertuples(index=False):

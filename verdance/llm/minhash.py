@@ -42,6 +42,9 @@ BLOCK = 256
 #: Rounds in which only the best partner of each member is confirmed.
 BEST_ROUNDS = 2
 
+#: Hashes that are made at once, so that they stay in the cache.
+_CELLS = 1 << 17
+
 _SEED = np.random.Generator(np.random.PCG64(7))
 _FLIP = _SEED.integers(0, 2**64, 4096, dtype=np.uint64)
 _ODD = _SEED.integers(0, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
@@ -98,7 +101,7 @@ def _pack(low: np.ndarray, bits: int) -> np.ndarray:
 def _minima(grams: np.ndarray, n: int) -> np.ndarray:
     """The least of n hashes over the set."""
     minima = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    step = (1 << 20) // n
+    step = max(1, _CELLS // n)
     for lo in range(0, len(grams), step):
         part = (grams[None, lo : lo + step] ^ _FLIP[:n, None]) * _ODD[:n, None]
         np.minimum(minima, part.min(axis=1), out=minima)

@@ -29,7 +29,7 @@ LIMIT = 4096
 #: Id behind each document's own ids.
 END = 1
 #: Characters of text that are split into words at once.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 def tokenized(docs: DataFrame, path: str, limit: int = LIMIT, ids: bool = False) -> DataFrame:

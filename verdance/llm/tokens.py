@@ -11,8 +11,9 @@ tables are kept; a text's prefixes are its pieces' tables behind a running sum.
 its space-separated words in order; words seen for the first time are handed to the library together.
 
 Both keep the results of words in a worker, the first it meets, among them all common ones, up to a bound in bytes
-(``KEEP``). Other words, and words of more than ``LONG`` bytes, are worked out each time; the ids of a long piece come
-from the library, whose merges are not quadratic in its length.
+(``KEEP``, of which word ids take ``IDS``). Other words, and words of more than ``LONG`` bytes, are worked out each time;
+the ids of a long piece come from the library, whose merges are not quadratic in its length. It is loaded when a text
+needs it, as its own vocabulary takes memory too.
 
 Rows that share a doc_id, or have none, are counted each; an empty table gives an empty result.
 """
@@ -24,7 +25,8 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: Bytes that a worker's table of words takes, with what a dictionary entry needs besides its text.
 KEEP, ENTRY = 192 << 20, 200
+#: Share of it for ids: they are cheap to make again, and a worker that packs has done other work before.
+IDS = 0.5
 #: Bytes of a piece that is kept, and that is merged together with others.
 LONG = 256
 
@@ -340,15 +347,20 @@ class WordIds:
     """Ids of the word tokenizer as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.known: dict[str, bytes] = {"": b""}
         self.held = 0
         self.merges = PieceMerges(path)
         self.pattern = regex.compile(WORD_SPLIT)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def plain(self, text: str) -> bool:
         """Whether the text can be taken word by word: nothing in it spans a space or changes by its surroundings."""
@@ -382,7 +394,7 @@ class WordIds:
                 out.append(b"".join(map(known.__getitem__, words)))
         for word, ids in fresh.items():
             size = ENTRY + len(word) + len(ids)
-            if self.held + size > KEEP or size > ENTRY + 16 * LONG:
+            if self.held + size > IDS * KEEP or size > ENTRY + 16 * LONG:
                 del known[word]
             else:
                 self.held += size
